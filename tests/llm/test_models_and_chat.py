@@ -1,6 +1,7 @@
 """Classifiers on held-out rows, chat formatting, and the pipeline."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,7 @@ def test_quality_on_held_out_rows(spark):
     held = got[got.held_out]
     assert len(held) > 80 and ((held.score >= 0.5) == (held.quality == 1)).mean() > 0.95
     assert ((got.score >= 0.5) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
-    crc = [hashlib.md5, __import__("zlib").crc32][1]
-    assert all(h == (crc(str(i).encode()) % 3 == 1) for i, h in zip(got.doc_id, got.held_out))
+    assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in zip(got.doc_id, got.held_out))
 
 
 def test_quality_learns_no_held_out_label(spark):
@@ -53,10 +53,11 @@ def test_gradient_descent_separates():
 
 
 def test_toxicity_on_unseen_texts(spark):
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    got = toxicity.toxicity_report(docs, labels).join(labels.withColumnRenamed("toxic", "y"), "doc_id").toPandas()
-    assert got[got.y == 1].toxic.mean() > 0.9 and got[got.y == 0].toxic.mean() < 0.02
+    model = toxicity.train(docs, labels.filter("doc_id % 3 <> 0"))
+    got = toxicity.grade_documents(docs.filter("doc_id % 3 = 0"), model).join(labels.withColumnRenamed("toxic", "y"), "doc_id").toPandas()
+    assert got[got.y == 1].toxic.mean() > 0.85 and got[got.y == 0].toxic.mean() < 0.01
     assert got.severity.between(0, 3).all() and got.grade.isin(range(4)).all()
 
 
@@ -133,7 +134,7 @@ def test_chat_round_trip(spark):
     assert len(targets) == sum(t[2] == "assistant" for t in TURNS)
     assert {r.conv_id for r in examples if r.loss_start is None} == {1, 2, None, 5}
     back = {r.conv_id: r for r in chat.read_back(chat.expand_conversations(df)).collect()}
-    assert back[1].n_turns == 6 and back[1].examples == 3 and back[3].loss_chars == 9015 and back[4].n_turns == 2
+    assert back[1].n_turns == 6 and back[1].examples == 3 and back[3].loss_chars == 9014 and back[4].n_turns == 2
     assert back[2].loss_sha256 == hashlib.sha256(b"").hexdigest() and back[5].n_turns == 1
     assert chat.expand_conversations(df.limit(0)).count() == 0
     only = chat.chat_report(df.limit(0)).collect()

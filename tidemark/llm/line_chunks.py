@@ -1,11 +1,13 @@
 """Operator 10: globally repeated passages of lines, found as content-defined chunks.
 
 A text is cut into chunks of lines by content alone. A line of at least LONG_LINE words
-is a passage of its own, with a boundary on both sides. Runs of shorter lines are cut
-where a rolling hash over two line hashes hits a divisor, in chunks of 2 to 16 lines, so
-that an inserted line shifts the boundaries next to it only. Chunks are grouped by a
-128-bit hash and then by their bytes; of each chunk that occurs again, in the same or in
-another document, all but the first occurrence (smallest doc_id) are removed.
+is a passage of its own, with a boundary on both sides. In a run of shorter lines a
+rolling hash covers each line and the one before, and a line ends a chunk where that hash
+is smaller than those next to it: three lines decide, so an inserted line shifts only the
+boundaries beside it. A repeated passage may begin or end inside a chunk; so the spans
+compared are the chunk and all its shorter beginnings and ends of two lines or more. Spans
+are grouped by a 192-bit hash and by their bytes; of a span that occurs again, in the same
+or another document, all but the first occurrence (smallest doc_id, then line) go.
 """
 
 from __future__ import annotations
@@ -19,37 +21,50 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import NULL_KEY, key_of
 
-LONG_LINE, DIVISOR, LEAST_LINES, MOST_LINES = 20, 2, 2, 16
+LONG_LINE, LEAST_LINES, MOST_LINES = 20, 2, 16
+_MASK = (1 << 64) - 1
 
 
-def chunk_lines(lines: list[str]) -> list[tuple[int, int]]:
-    """(first line, number of lines) of the chunks that may be removed.
+def _is_long(line: str) -> bool:
+    return len(line) >= 2 * LONG_LINE - 1 and len(line.split()) >= LONG_LINE
 
-    Blank lines belong to no passage of their own; a lone short line is no chunk.
-    """
+
+def chunk_lines(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, number of lines) of the content-defined chunks, in order."""
     chunks: list[tuple[int, int]] = []
-    start, before = 0, 0
+    n, at = len(lines), 0
+    while at < n:
+        if _is_long(lines[at]):
+            chunks.append((at, 1))
+            at += 1
+            continue
+        end = at
+        while end < n and not _is_long(lines[end]):
+            end += 1
+        own = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines[at:end]]
+        rolled = [((a * 0x9E3779B97F4A7C15 ^ b) * 0xC2B2AE3D27D4EB4F) & _MASK for a, b in zip([0, *own], own)]
+        start = at
+        for i in range(at, end):
+            k = i - at
+            least = 0 < k < len(rolled) - 1 and rolled[k - 1] > rolled[k] < rolled[k + 1]
+            if least or i + 1 == end or i + 1 - start == MOST_LINES:
+                chunks.append((start, i + 1 - start))
+                start = i + 1
+        at = end
+    return chunks
 
-    def close(end: int) -> None:
-        if end - start >= LEAST_LINES and any(x.strip() for x in lines[start:end]):
-            chunks.append((start, end - start))
 
-    for i, line in enumerate(lines):
-        if len(line) >= 2 * LONG_LINE - 1 and len(line.split()) >= LONG_LINE:
-            close(i)
-            chunks.append((i, 1))
-            start, before = i + 1, 0
+def spans_of(lines: list[str]) -> list[tuple[int, int]]:
+    """Spans to compare: long lines, and of each chunk of short lines the whole, its
+    beginnings and its ends, from LEAST_LINES lines. Spans of blank lines are left out."""
+    spans = []
+    for first, count in chunk_lines(lines):
+        if count == 1 and _is_long(lines[first]):
+            spans.append((first, 1))
             continue
-        here = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-        rolled = (before * 0x9E3779B97F4A7C15 + here) & 0xFFFFFFFFFFFFFFFF
-        rolled ^= rolled >> 29
-        n = i + 1 - start
-        if n >= MOST_LINES or n >= LEAST_LINES and rolled % DIVISOR == 0:
-            close(i + 1)
-            start = i + 1
-        before = here
-    close(len(lines))
-    return chunks
+        spans += [(first, k) for k in range(LEAST_LINES, count + 1)]
+        spans += [(first + count - k, k) for k in range(LEAST_LINES, count)]
+    return [(f, c) for f, c in spans if any(x.strip() for x in lines[f : f + c])]
 
 
 def _hash(text: str) -> tuple[int, int, int]:
@@ -66,9 +81,9 @@ def _chunks(with_text: bool):
                 part, out = batch.iloc[at : at + 512], []
                 for key, tie, text in zip(part["key"].tolist(), part["tie"].tolist(), part["text"], strict=True):
                     lines = text.split("\n")
-                    for n, (first, count) in enumerate(chunk_lines(lines)):
+                    for first, count in spans_of(lines):
                         chunk = "\n".join(lines[first : first + count])
-                        row = (key, tie, n, first, count, *_hash(chunk))
+                        row = (key, tie, first, count, *_hash(chunk))
                         out.append((*row, chunk) if with_text else row)
                 names = [x.split()[0] for x in _SCHEMA.split(", ")] + ["chunk"] * with_text
                 yield pd.DataFrame(out, columns=names)
@@ -76,21 +91,24 @@ def _chunks(with_text: bool):
     return run
 
 
-_SCHEMA = "key long, tie long, n int, first int, count int, h1 long, h2 long, h3 long"
+_SCHEMA = "key long, tie long, first int, count int, h1 long, h2 long, h3 long"
 
 
 def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts, removed, spans = [], [], []
         for text, gone in zip(batch["text"], batch["gone"], strict=True):
-            ranges = sorted((int(g["first"]), int(g["count"])) for g in gone) if gone is not None else []
-            lines, kept, at = text.split("\n"), [], 0
-            for first, count in ranges:
+            lines, kept, at, ranges = text.split("\n"), [], 0, []
+            for first, count in sorted((int(g["first"]), int(g["count"])) for g in gone) if gone is not None else []:
                 kept += lines[at:first]
-                at = first + count
+                start, at = max(at, first), max(at, first + count)
+                if start < at:
+                    if ranges and ranges[-1][1] == start:
+                        start = ranges.pop()[0]
+                    ranges.append((start, at))
             texts.append("\n".join(kept + lines[at:]))
-            removed.append(sum(c for _, c in ranges))
-            spans.append(",".join(f"{f}:{f + c}" for f, c in ranges))
+            removed.append(sum(e - f for f, e in ranges))
+            spans.append(",".join(f"{f}:{e}" for f, e in ranges))
         yield pd.DataFrame({"doc_id": batch["key"], "text": texts, "removed_lines": removed, "removed_spans": spans})
 
 
@@ -105,7 +123,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(
         key_of(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).withColumn("tie", F.xxhash64("text"))
-    place = F.struct("key", "tie", "n")
+    place = F.struct("key", "tie", "first", "count")
     # grouping by the chunk itself compares bytes; copies collapse before the shuffle
     repeated = (
         rows.mapInPandas(_chunks(True), f"{_SCHEMA}, chunk string")
@@ -114,10 +132,16 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
         .filter("times > 1")
         .select("h1", "h2", "h3", "keep")
     )
+    # an occurrence that overlaps the one that stays stays with it
+    apart = (
+        (F.col("key") != F.col("keep.key"))
+        | (F.col("tie") != F.col("keep.tie"))
+        | (F.col("first") >= F.col("keep.first") + F.col("keep.count"))
+    )
     victims = (
         rows.mapInPandas(_chunks(False), _SCHEMA)
         .join(repeated, ["h1", "h2", "h3"])
-        .filter(place != F.col("keep"))
+        .filter(apart)
         .groupBy("key", "tie")
         .agg(F.collect_set(F.struct("first", "count")).alias("gone"))
     )
