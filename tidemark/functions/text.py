@@ -155,7 +155,7 @@ def read_metadata(metadata: Column, field: str) -> Column:
 
 
 def file_size_label(size: Column) -> Column:
-    unit = lambda power, name: F.concat(F.format_number(size / 1024**power, "0.0"), F.lit(f" {name}"))
+    unit = lambda power, name: F.format_string(f"%.1f {name}", size / float(1024**power))
     return (
         F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
         .when(size < 1024**2, unit(1, "KB"))

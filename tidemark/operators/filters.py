@@ -67,10 +67,10 @@ def zip_problem(stats: Column) -> Column:
     )
 
 
-def violated_rules(kind: str, df: DataFrame) -> Column:
+def violated_rules(kind: str, df: DataFrame, lengths: dict = LENGTHS) -> Column:
     """Names of the fields of a record that break a rule."""
     checks = []
-    for field, (least, most) in LENGTHS[kind].items():
+    for field, (least, most) in lengths[kind].items():
         value = F.col(field)
         bad = ~F.char_length(value).between(least, most)
         checks.append(F.when(bad | (value.isNull() & F.lit(least > 0)), field))

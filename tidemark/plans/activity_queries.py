@@ -1 +1,143 @@
+"""Queries of event logs: limits, lockouts, workflows and jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import workflow
+from tidemark.plans import standins as st
+from tidemark.sources import tables
+from tidemark.streaming import replay
+
 QUERIES, SQL = {}, {}
+AS_OF = f"TIMESTAMP '{st.AS_OF}'"
+LIMITS_SQL = "CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 5 ELSE 2 END"
+WINDOW_SQL = "CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 10 ELSE 5 END * 86400000000"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query(
+    f"""SELECT user_id AS key, event_type AS action, count(*) AS n, count(*) < max({LIMITS_SQL}) AS allowed, greatest(0, max({LIMITS_SQL}) - count(*) - 1)::BIGINT AS remaining
+    FROM events WHERE epoch_us(ts) >= epoch_us({AS_OF}) - {WINDOW_SQL} GROUP BY ALL"""
+)
+def attempts_in_window(spark, sf_dir):
+    return replay.attempts_in_window(st.attempts(spark, sf_dir), F.to_timestamp(F.lit(st.AS_OF)), st.TEST_LIMITS)
+
+
+@query(
+    """SELECT user_id AS key, time_bucket(INTERVAL 12 HOUR, ts) AS window_start, count(*) AS n, count(*) <= 2 AS allowed, greatest(0, 2 - count(*))::BIGINT AS remaining
+    FROM events GROUP BY ALL"""
+)
+def fixed_window_counts(spark, sf_dir):
+    return replay.fixed_window_counts(st.attempts(spark, sf_dir), 12 * 3600, 2)
+
+
+@query(f"SELECT event_id AS id FROM events WHERE ts >= {AS_OF} - INTERVAL 1 HOUR")
+def expire_attempts(spark, sf_dir):
+    return replay.expire_attempts(st.attempts(spark, sf_dir), F.to_timestamp(F.lit(st.AS_OF))).select("id")
+
+
+@query(
+    f"""WITH RECURSIVE a AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t, {LIMITS_SQL} AS most, {WINDOW_SQL} AS span,
+        row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+    s AS (
+      SELECT user_id, event_type, 0::BIGINT AS n, []::BIGINT[] AS kept, NULL::BIGINT AS id, true AS allowed FROM (SELECT DISTINCT user_id, event_type FROM a)
+      UNION ALL
+      SELECT s.user_id, s.event_type, a.n,
+        CASE WHEN len(list_filter(s.kept, lambda x: x >= a.t - a.span)) < a.most THEN list_append(list_filter(s.kept, lambda x: x >= a.t - a.span), a.t) ELSE list_filter(s.kept, lambda x: x >= a.t - a.span) END,
+        a.event_id, len(list_filter(s.kept, lambda x: x >= a.t - a.span)) < a.most
+      FROM s JOIN a ON a.user_id = s.user_id AND a.event_type = s.event_type AND a.n = s.n + 1)
+    SELECT user_id AS key, event_type AS action, id, allowed FROM s WHERE id IS NOT NULL"""
+)
+def sliding_log_limit(spark, sf_dir):
+    return replay.sliding_log_limit(st.attempts(spark, sf_dir), st.TEST_LIMITS).drop("ts")
+
+
+@query(
+    """WITH RECURSIVE a AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type = 'purchase' AS good, user_id % 13 <> 0 AS known, user_id % 7 <> 0 AS active,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    o AS (
+      SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS failures, 0::BIGINT AS locked, NULL::BIGINT AS id, NULL::VARCHAR AS outcome FROM (SELECT DISTINCT user_id FROM a)
+      UNION ALL
+      SELECT o.user_id, a.n,
+        CASE WHEN NOT known OR locked > t OR NOT active THEN failures WHEN good THEN 0 ELSE failures + 1 END,
+        CASE WHEN NOT known OR locked > t OR NOT active THEN locked WHEN good THEN 0 WHEN failures + 1 >= 5 THEN t + 900000000 ELSE 0 END,
+        event_id,
+        CASE WHEN NOT known THEN 'user_not_found' WHEN locked > t THEN 'account_locked' WHEN NOT active THEN 'account_inactive' WHEN good THEN 'success' ELSE 'wrong_password' END
+      FROM o JOIN a ON a.user_id = o.user_id AND a.n = o.n + 1)
+    SELECT user_id, id, outcome, failures FROM o WHERE id IS NOT NULL"""
+)
+def login_lockout(spark, sf_dir):
+    """Events as logins: purchases succeed, all else fails; some users are unknown."""
+    events = st.table(spark, sf_dir, "events")
+    attempts = events.select("user_id", "ts", F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("success"))
+    users = events.filter("user_id % 13 <> 0").select(F.col("user_id").alias("id")).distinct()
+    return replay.login_lockout(attempts, users.withColumn("is_active", F.col("id") % 7 != 0))
+
+
+TARGETS = {"view": "UNDER_REVIEW", "click": "APPROVED", "purchase": "PUBLISHED", "signup": "DRAFT", "error": "ARCHIVED"}
+
+
+@query(
+    """WITH RECURSIVE a AS (SELECT user_id AS item_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+      CASE event_type WHEN 'view' THEN 'UNDER_REVIEW' WHEN 'click' THEN 'APPROVED' WHEN 'purchase' THEN 'PUBLISHED' WHEN 'signup' THEN 'DRAFT' ELSE 'ARCHIVED' END AS target FROM events),
+    s AS (
+      SELECT item_id, 0::BIGINT AS n, 'DRAFT' AS status, NULL::BIGINT AS seq, NULL::VARCHAR AS target, NULL::BOOLEAN AS accepted FROM (SELECT DISTINCT item_id FROM a)
+      UNION ALL
+      SELECT s.item_id, a.n, CASE WHEN ok THEN a.target ELSE s.status END, a.seq, a.target, ok
+      FROM s JOIN a ON a.item_id = s.item_id AND a.n = s.n + 1
+      CROSS JOIN LATERAL (SELECT (a.target = 'UNDER_REVIEW' AND s.status = 'DRAFT') OR (a.target = 'APPROVED' AND s.status = 'UNDER_REVIEW')
+        OR (a.target = 'PUBLISHED' AND s.status = 'APPROVED') OR (a.target = 'DRAFT' AND s.status IN ('UNDER_REVIEW', 'APPROVED'))
+        OR (a.target = 'ARCHIVED' AND s.status <> 'ARCHIVED') AS ok))
+    SELECT item_id, seq, target, accepted, status FROM s WHERE seq IS NOT NULL"""
+)
+def knowledge_transitions(spark, sf_dir):
+    """Events as requests: the user is the item, the event type the status asked for."""
+    target = F.element_at(F.create_map(*(F.lit(x) for kv in TARGETS.items() for x in kv)), F.col("event_type"))
+    requests = st.table(spark, sf_dir, "events").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), target.alias("target"))
+    return workflow.knowledge_transitions(requests)
+
+
+@query(
+    """WITH a AS (SELECT user_id AS item_id, event_id AS seq, ts, CASE event_type WHEN 'view' THEN 'submit' WHEN 'click' THEN 'approve' WHEN 'purchase' THEN 'publish'
+      WHEN 'signup' THEN 'reject' ELSE 'archive' END AS action FROM events)
+    SELECT item_id, CASE max_by(action, seq) WHEN 'submit' THEN 'SUBMITTED' WHEN 'approve' THEN 'APPROVED' WHEN 'reject' THEN 'CHANGES_REQUESTED' WHEN 'publish' THEN 'PUBLISHED' ELSE 'ARCHIVED' END AS status,
+      max(ts) FILTER (action = 'submit') AS submit_at, max(ts) FILTER (action = 'approve') AS approve_at, max(ts) FILTER (action = 'reject') AS reject_at,
+      max(ts) FILTER (action = 'publish') AS publish_at, max(ts) FILTER (action = 'archive') AS archive_at FROM a GROUP BY item_id"""
+)
+def experience_transitions(spark, sf_dir):
+    actions = {"view": "submit", "click": "approve", "purchase": "publish", "signup": "reject", "error": "archive"}
+    action = F.element_at(F.create_map(*(F.lit(x) for kv in actions.items() for x in kv)), F.col("event_type"))
+    requests = st.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), action.alias("action"), "ts"
+    )
+    return workflow.experience_transitions(requests)
+
+
+@query(
+    f"""WITH {st.JOBS_SQL}, f AS (SELECT l_orderkey AS id, count(*) AS failed FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+    SELECT id, retry_count + coalesce(failed, 0) AS retry_count, CASE WHEN failed IS NULL THEN 'COMPLETED' WHEN retry_count + failed < max_retries THEN 'PENDING' ELSE 'FAILED' END AS status
+    FROM jobs LEFT JOIN f USING (id)"""
+)
+def job_outcomes(spark, sf_dir):
+    """Returned line items as failures of an order's job."""
+    failures = st.table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("job_id"))
+    return workflow.job_outcomes(st.jobs(spark, sf_dir), failures)
+
+
+@query(
+    f"""WITH {st.AUDIT_SQL} SELECT id, event_code, CASE WHEN event_code = 'FAILED_LOGIN' THEN 'FAILURE' ELSE 'SUCCESS' END AS outcome, 'INFO' AS severity, metadata FROM audit"""
+)
+def append_events(spark, sf_dir):
+    """Audit rows as they are appended: with their defaults."""
+    events = st.audit(spark, sf_dir).withColumn("outcome", F.when(F.col("event_code") == "FAILED_LOGIN", "FAILURE"))
+    return tables.with_event_defaults(events).select("id", "event_code", "outcome", "severity", "metadata")

@@ -16,6 +16,10 @@ LOCK_AFTER, LOCK_MINUTES, KEEP_HOURS = 5, 15, 1
 # ---- end of fixed values
 
 
+def _micros(ts: Column | str) -> Column:
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 def limit_of(action: Column, limits: dict[str, tuple[int, int]] = LIMITS) -> tuple[Column, Column]:
     """Attempts allowed and window in seconds of an action."""
     pick = lambda i, scale: F.coalesce(
@@ -28,7 +32,7 @@ def limit_of(action: Column, limits: dict[str, tuple[int, int]] = LIMITS) -> tup
 def attempts_in_window(attempts: DataFrame, as_of: Column, limits=LIMITS) -> DataFrame:
     """(key, action, n, allowed, remaining) of the attempts in each action's window."""
     most, seconds = limit_of(F.col("action"), limits)
-    recent = attempts.filter(F.unix_micros("ts") >= F.unix_micros(as_of) - seconds.cast("long") * 1_000_000)
+    recent = attempts.filter(_micros("ts") >= _micros(as_of) - seconds.cast("long") * 1_000_000)
     n = F.col("n")
     return recent.groupBy("key", "action").agg(F.count("*").alias("n")).select(
         "key", "action", "n", (n < most).alias("allowed"), F.greatest(F.lit(0).cast("long"), most - n - 1).alias("remaining")
@@ -70,7 +74,7 @@ def sliding_log_limit(attempts: DataFrame, limits=LIMITS) -> DataFrame:
     times of one key's window, at most as many as the limit.
     """
     most, seconds = limit_of(F.col("action"), limits)
-    rows = attempts.select("key", "action", F.unix_micros("ts").alias("t"), "id", most.alias("most"), seconds.alias("seconds"))
+    rows = attempts.select("key", "action", _micros("ts").alias("t"), "id", most.alias("most"), seconds.alias("seconds"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         owner, accepted = None, deque()
@@ -116,7 +120,7 @@ def login_lockout(attempts: DataFrame, users: DataFrame) -> DataFrame:
     locks again."""
     known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("known"), "is_active")
     rows = attempts.join(known, "user_id", "left").select(
-        "user_id", "id", F.unix_micros("ts").alias("t"), F.coalesce("known", F.lit(False)).alias("known"),
+        "user_id", "id", _micros("ts").alias("t"), F.coalesce("known", F.lit(False)).alias("known"),
         F.coalesce("is_active", F.lit(False)).alias("is_active"), "success",
     )
 

@@ -20,7 +20,8 @@ LATENESS = "10 minutes"
 def stream_fixed_window_limit(attempts: DataFrame, seconds: int = WINDOW_SECONDS, most: int = WINDOW_MOST) -> DataFrame:
     """Counts of tumbling windows for each key, final once the watermark has passed."""
     counts = (
-        attempts.withWatermark("ts", LATENESS)
+        attempts.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", LATENESS)
         .groupBy("key", F.window("ts", f"{seconds} seconds").alias("w"))
         .agg(F.count("*").alias("n"))
     )
@@ -32,8 +33,8 @@ def stream_sliding_log_limit(attempts: DataFrame, limits=LIMITS) -> DataFrame:
     State: the accepted times of the window, dropped when the window is over."""
     most, seconds = limit_of(F.col("action"), limits)
     rows = attempts.select(
-        F.col("key").cast("string").alias("key"), "action", F.unix_micros("ts").alias("t"), F.col("id").cast("long").alias("id"),
-        most.alias("most"), seconds.alias("seconds"), "ts",
+        F.col("key").cast("string").alias("key"), "action", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("id").cast("long").alias("id"),
+        most.alias("most"), seconds.alias("seconds"), F.col("ts").cast("timestamp").alias("ts"),
     ).withWatermark("ts", LATENESS)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
