@@ -22,8 +22,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    return simhash.deduplicate(docs)
+    """One document of each group of texts that share 80 percent of their five-word
+    shingles or more, as wide fingerprints tell: the one with the smallest id."""
+    return simhash.deduplicate_similar(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,21 @@ def tokens(rows, tokenizer):
         out[i] = (start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids)))
         start += len(ids)
     return out
+
+
+def first_of_similar(rows, similarity=0.8):
+    """Ids that stay if all pairs of wide fingerprints are compared."""
+    from tidemark.llm import simhash as s
+
+    radius = int(s.share_of_bits(similarity) * 256 + 0.5)
+    prints = {i: int.from_bytes(s.wide_simhash(t), "little") for i, t in rows}
+    root = {}
+    ids = sorted(prints)
+    for i in ids:
+        root[i] = i
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= radius and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return sorted(set(root.values()))

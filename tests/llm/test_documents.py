@@ -121,6 +121,20 @@ def test_links_of_close_fingerprints(spark, block_rows):
     assert {v: got.get(v, v) for v in signed} == {v: find(v) for v in signed}
 
 
+def test_similar_texts(spark):
+    """Texts with few changed words go, unlike ones stay, whatever else is in the row."""
+    rng = np.random.default_rng(1)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 300)] for _ in range(30)]
+    data = [(i, " ".join(w), None, None, 0) for i, w in enumerate(base)]
+    for i, w in enumerate(base[:20]):
+        data.append((100 + i, " ".join(w[:40] + ["changed"] + w[41:]), None, None, 0))
+    data += [(200, None, None, None, None), (201, "", None, None, None), (None, " ", None, None, None), (1, data[1][1], None, None, 0)]
+    kept = simhash.deduplicate_similar(odd(spark, data))
+    assert kept.columns == odd(spark).columns
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0)] + [(True, i) for i in range(30)]
+    assert simhash.deduplicate_similar(empty(spark)).count() == 0
+
+
 def test_long_text_simhash():
     text = " ".join(f"W{i % 977} w{i % 31}" for i in range(60_000))
     assert simhash.simhash(text) == brute.simhash(text)

@@ -63,23 +63,26 @@ def simhash_column(text: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
-    """(64, words): bit i of plane k is bit k of values[i]; one spare word at the end."""
-    n = len(values)
-    bits = np.unpackbits(values.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    lanes = np.zeros((64, (n // 64 + 2) * 64), np.uint8)
+    """(bits, words) of values (rows, 64-bit words): lane i of plane k is bit k of row i;
+    one spare word at the end."""
+    n, width = values.shape
+    bits = np.unpackbits(values.view(np.uint8).reshape(n, 8 * width), axis=1, bitorder="little")
+    lanes = np.zeros((64 * width, (n // 64 + 2) * 64), np.uint8)
     lanes[:, :n] = bits.T
     return np.packbits(lanes, axis=1, bitorder="little").view("<u8")
 
 
 def close_lanes(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int) -> np.ndarray:
-    """Indices i where values[i] and values[i + shift] differ in at most radius bits, of
-    those whose bit is set in valid. Radius 1 or 3: a counter of one or two bits."""
+    """Indices i where rows i and i + shift differ in at most radius bits, of those whose
+    bit is set in valid. The counters start so that radius + 1 differences overflow them."""
     word, bit = divmod(shift, 64)
     at = np.flatnonzero(valid)
-    counters = [np.zeros(len(at), np.uint64) for _ in range(radius.bit_length())]
+    size = radius.bit_length()
+    start = (1 << size) - 1 - radius
+    counters = [np.full(len(at), _ALL if start >> i & 1 else 0, np.uint64) for i in range(size)]
     over = ~valid[at]
     last = planes.shape[1] - 1
-    for k in range(0, 64, 8):
+    for k in range(0, len(planes), 8):
         low = planes[k : k + 8, np.minimum(at + word, last)]
         if bit:
             low = (low >> np.uint64(bit)) | (
@@ -100,22 +103,23 @@ def close_lanes(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int)
 
 
 def forest(values: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, root) that join all values of equal bucket linked by a chain of
-    pairs within the radius. bucket: numbers of runs, as sorted."""
+    """Links (member, root), as row numbers, that join all rows of equal bucket linked by a
+    chain of pairs within the radius. bucket: numbers of runs, as sorted."""
     _, inverse, size = np.unique(bucket, return_inverse=True, return_counts=True)
     order = np.lexsort((inverse, -size[inverse]))  # larger buckets first: shifts end early
     order = order[size[inverse[order]] > 1]
+    if not len(order):
+        return order, order
     values, group, size = values[order], inverse[order], size[inverse[order]]
-    if not len(values):
-        return values, values
-    planes, parent = bit_planes(values), np.arange(len(values))
+    planes, parent = bit_planes(values), np.arange(len(order))
     for shift in range(1, int(size[0])):
         lanes = np.searchsorted(-size, -shift, "left")  # lanes of buckets larger than shift
-        same = np.zeros((lanes // 64 + 1) * 64, np.uint8)
-        n = min(lanes, len(values) - shift)
-        same[:n] = group[:n] == group[shift : shift + n]
-        near = close_lanes(planes, shift, np.packbits(same, bitorder="little").view("<u8"), radius)
-        near = near[parent[near] != parent[near + shift]]
+        n = min(lanes, len(order) - shift)
+        apart = np.zeros((lanes // 64 + 1) * 64, np.uint8)  # of one bucket, not yet joined
+        apart[:n] = (group[:n] == group[shift : shift + n]) & (parent[:n] != parent[shift : shift + n])
+        if not apart.any():
+            continue
+        near = close_lanes(planes, shift, np.packbits(apart, bitorder="little").view("<u8"), radius)
         for i in near.tolist():
             a, b = i, i + shift
             while parent[a] != a:
@@ -127,76 +131,80 @@ def forest(values: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndar
         if len(near):
             while (up := parent[parent] != parent).any():
                 parent[up] = parent[parent[up]]
-    moved = np.flatnonzero(parent != np.arange(len(values)))
-    return values[moved], values[parent[moved]]
+    moved = np.flatnonzero(parent != np.arange(len(order)))
+    return order[moved], order[parent[moved]]
 
 
 def _link_buckets(radius: int):
+    """Links of rows (bucket, part, id, fp) sorted by bucket and part; fp: the bytes of one
+    or more 64-bit words."""
+
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
         rows = 0
 
-        def flush(data: np.ndarray) -> pd.DataFrame:
-            run = np.cumsum(np.r_[True, (data[1:, :2] != data[:-1, :2]).any(axis=1)])
-            a, b = forest(np.ascontiguousarray(data[:, 2]).view(np.uint64), run, radius)
-            return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        def flush(keys: np.ndarray, ids: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+            run = np.cumsum(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            a, b = forest(values, run, radius)
+            return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
         for batch in batches:
-            held.append(batch[["bucket", "part", "fp"]].to_numpy(np.int64))
+            words = np.frombuffer(b"".join(batch["fp"]), "<u8").reshape(len(batch), -1)
+            held.append((batch[["bucket", "part"]].to_numpy(np.int64), batch["id"].to_numpy(np.int64), words))
             rows += len(batch)
             if rows < _SLICE:
                 continue
-            data = np.concatenate(held)
-            ends = np.flatnonzero((data[1:, :2] != data[:-1, :2]).any(axis=1)) + 1
+            data = [np.concatenate(x) for x in zip(*held, strict=True)]
+            ends = np.flatnonzero((data[0][1:] != data[0][:-1]).any(axis=1)) + 1
             if len(ends):  # the last bucket may go on in the next batch
-                yield flush(data[: ends[-1]])
-                data = data[ends[-1] :]
-            held, rows = [data], len(data)
+                yield flush(*(x[: ends[-1]] for x in data))
+                data = [x[ends[-1] :] for x in data]
+            held, rows = [tuple(data)], len(data[0])
         if rows:
-            yield flush(np.concatenate(held))
+            yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return link
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links (a, b) that join the distinct fingerprints nodes.fp within the radius."""
-    if radius not in (1, 3):
-        raise ValueError("the counters hold a radius of 1 or 3")
-    spark = nodes.sparkSession
-    cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
-    block = lambda i: F.expr(
-        f"shiftrightunsigned(fp, {cuts[i]}) & {(1 << (cuts[i + 1] - cuts[i])) - 1}L"
-    )
-    keys = [
-        F.lit(n << 40).bitwiseOR(F.shiftleft(block(i), cuts[j + 1] - cuts[j])).bitwiseOR(block(j))
-        for n, (i, j) in enumerate(combinations(range(radius + 2), 2))
-    ]
-    rows = nodes.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+def _link(rows: DataFrame, radius: int, block_rows: int) -> DataFrame:
+    """Links (a, b) of rows (bucket, id, fp). A bucket above block_rows is cut into blocks
+    by a hash of the id, and each pair of blocks meets in a task of its own."""
     large, _ = save(
         rows.groupBy("bucket").count().filter(F.col("count") > block_rows)
         .select("bucket", F.ceil(F.col("count") / block_rows).cast("long").alias("blocks")),
         "large-buckets",
     )
     if n_large := large.count():
-        rows = rows.join(small(large, n_large, 64), "bucket", "left")
-        blocks, own = F.coalesce("blocks", F.lit(1).cast("long")), F.expr("pmod(xxhash64(fp), coalesce(blocks, 1))")
-        other = F.col("other")
-        rows = rows.select("bucket", "fp", blocks.alias("blocks"), own.alias("own")).select(
-            "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-        )
-        rows = rows.withColumn(
-            "part", F.least("own", other) * F.col("blocks") + F.greatest("own", other)
+        rows = rows.join(small(large, n_large, 64), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        rows = rows.withColumn("own", F.expr("pmod(xxhash64(id), blocks)")).withColumn(
+            "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
         )
+        rows = rows.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
     else:
         rows = rows.withColumn("part", F.lit(0).cast("long"))
     return (
-        rows.select("bucket", "part", "fp")
-        .repartition(partitions(spark), "bucket", "part")
+        rows.select("bucket", "part", "id", "fp")
+        .repartition(partitions(rows.sparkSession), "bucket", "part")
         .sortWithinPartitions("bucket", "part")
         .mapInPandas(_link_buckets(radius), "a long, b long")
     )
 
 
+def links(nodes: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) that join the distinct fingerprints nodes.fp within the radius."""
+    cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
+    block = lambda i: F.expr(
+        f"shiftrightunsigned(fp, {cuts[i]}) & {(1 << (cuts[i + 1] - cuts[i])) - 1}L"
+    )
+    keys = [
+        F.lit(n << 40).bitwiseOR(F.shiftleft(block(i), cuts[j + 1] - cuts[j])).bitwiseOR(block(j))
+        for n, (i, j) in enumerate(combinations(range(radius + 2), 2))
+    ]
+    raw = F.unhex(F.lpad(F.hex("fp"), 16, "0"))  # the order of the bytes does not matter
+    rows = nodes.select(F.col("fp").alias("id"), raw.alias("fp"), F.explode(F.array(*keys)).alias("bucket"))
+    return _link(rows, radius, block_rows)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the smallest node reachable."""
     spark = edges.sparkSession
@@ -264,6 +272,97 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
+# ---- near copies of a given similarity: wider fingerprints and sampled keys ----
+
+WIDE_WORDS, SIMILAR_WORDS, SIMILARITY = 4, 5, 0.8
+#: Share of the pairs of NEAR similarity that meet in some bucket.
+NEAR, RECALL = 0.9, 0.99
+
+
+def wide_simhash(text: str | None, shingle_words: int = SIMILAR_WORDS) -> bytes:
+    """256-bit SimHash of the distinct shingles' hashes, as 32 bytes; words as in simhash."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(8 * WIDE_WORDS)
+    k = min(shingle_words, len(words))
+    shingles = list({b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)})
+    counts = np.zeros(64 * WIDE_WORDS, np.int64)
+    for at in range(0, len(shingles), _SLICE):
+        raw = b"".join(map(xxhash.xxh3_128_digest, shingles[at : at + _SLICE]))
+        one, two = np.frombuffer(raw, "<u8").reshape(-1, 2).T
+        three = (one ^ (two >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        four = (two ^ (one >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        three, four = three ^ (three >> np.uint64(32)), four ^ (four >> np.uint64(32))
+        hashes = np.ascontiguousarray(np.stack([one, two, three, four], axis=1))
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8 * WIDE_WORDS), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(shingles), bitorder="little").tobytes()
+
+
+def share_of_bits(similarity: float) -> float:
+    """Expected share of differing bits of two texts of a Jaccard similarity and one size."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _wide_column(text: Column, shingle_words: int) -> Column:
+    @F.pandas_udf("binary")
+    def fingerprints(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: wide_simhash(t, shingle_words), na_action=None)
+
+    return fingerprints(text)
+
+
+def similar_links(nodes: DataFrame, n: int, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (a, b) of nodes (id, fp) whose fingerprints differ in no more bits than texts
+    of the similarity do on average.
+
+    Keys are samples of about log2(n) bits, so a bucket holds few unrelated nodes at any
+    size; their number follows from RECALL, and grows slowly with n.
+    """
+    bits = max(8, int(n).bit_length())
+    meet = (1 - share_of_bits(NEAR)) ** bits
+    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - meet)))
+    rng = np.random.default_rng(5)
+    samples = [rng.choice(64 * WIDE_WORDS, bits, replace=False) for _ in range(tables)]
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(len(batch), -1)
+            lanes = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
+            for t, sample in enumerate(samples):
+                yield batch.assign(bucket=(np.int64(t) << 44) | (lanes[:, sample] @ weights))
+
+    radius = int(share_of_bits(similarity) * 64 * WIDE_WORDS + 0.5)
+    return _link(nodes.mapInPandas(keyed, "id long, fp binary, bucket long"), radius, block_rows)
+
+
+def deduplicate_similar(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    similarity: float = SIMILARITY,
+    shingle_words: int = SIMILAR_WORDS,
+) -> DataFrame:
+    """docs with one row for each group of near copies: the one with the smallest id, null
+    first. Groups are joined by links of at least the similarity over word shingles, as
+    256-bit fingerprints estimate it; texts with equal fingerprints are one group. Null and
+    wordless texts are one group; an empty table stays empty; all columns are kept.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    print_of = _wide_column(F.col(f"`{text_col}`"), shingle_words)
+    rows, _ = save(docs.select(key_of(id_col).alias("key"), print_of.alias("fp")), "fingerprints")
+    nodes, _ = save(
+        rows.groupBy("fp").agg(F.min("key").alias("least")).withColumn("id", F.monotonically_increasing_id()), "nodes"
+    )
+    roots = components(similar_links(nodes.select("id", "fp"), nodes.count(), similarity)).withColumnRenamed("node", "id")
+    rooted = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    keepers = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").alias("key"), "fp")).alias("k")).select("k.*")
+    keyed = docs.select(row, key_of(id_col).alias("key"), print_of.alias("fp"))
+    kept = keyed.join(keepers, ["key", "fp"]).dropDuplicates(["key", "fp"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint as 16 lowercase hex digits, and component_id."""
     return near_duplicates(docs).select(
