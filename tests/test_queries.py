@@ -12,7 +12,7 @@ def plain(df: pd.DataFrame) -> pd.DataFrame:
         if df[c].dtype.kind == "f":
             df[c] = df[c].round(9)
         whole = lambda v: str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
-        df[c] = [None if v is None or v != v else whole(v) for v in df[c]]
+        df[c] = [None if pd.isna(v) else whole(v) for v in df[c]]
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 

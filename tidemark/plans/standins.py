@@ -82,8 +82,8 @@ chunks AS (
 
 
 def experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lessons: none of the given tables holds any, so a page of each language's documents
-    never stands for one; an empty frame with the columns that matter."""
+    """Lessons: none of the given tables holds any, so there are none; with the columns
+    that matter."""
     return documents(spark, sf_dir).filter("false").select("id", "status", "is_deleted")
 
 
