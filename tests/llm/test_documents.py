@@ -231,6 +231,16 @@ def test_guess_cost_orders_values():
     assert cost("password") < cost("qwertyuiop") < cost("monkey1984") < cost("xK9#mQ2$vL5")
 
 
+@pytest.mark.parametrize("text", ["the token is available, and", "a secret: Something.", "auth = required", "password: password123"])
+def test_ordinary_words_are_no_secrets(text):
+    assert not [s for s in secrets.find_secrets(text)[0] if s[2] == "guess"]
+
+
+def test_phrases_and_mixed_values_are_secrets():
+    for text in ("passphrase: correcthorsebatterystaple", "pwd is Tr0ub4dor&3xQ", "Bearer: eyJhbGciOiJ9.x1Yz"):
+        assert [s[2] for s in secrets.find_secrets(text)[0]] == ["guess"]
+
+
 def test_containment_odd(spark):
     passage = " ".join(f"word{i}" for i in range(30))
     far = " ".join(f"other{i}" for i in range(9000))

@@ -48,7 +48,8 @@ WALKS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqr
 LEET = str.maketrans("4@3105$7!", "aaelosstl"[:9])
 # ---- end of fixed values
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+#: Any other run of letters in one case may be a word of a language: guesses of one such.
+UNLISTED_WORD, _LONGEST = math.log10(50_000), 14
 _DATE = re.compile(
     r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d"
 )
@@ -79,9 +80,12 @@ def segments_ending(value: str) -> list[list[tuple[int, float, str]]]:
         for end in range(start + 3, min(n, start + _LONGEST) + 1):
             rank = _RANK.get(low[start:end])
             leet = rank is None and _RANK.get(plain[start:end])
+            part = value[start:end]
+            cased = 0.0 if part == low[start:end] else 0.6
             if rank or leet:
-                cased = 0.0 if value[start:end] == low[start:end] else 0.6
                 out[end].append((start, math.log10((rank or leet) + 1) + cased + (0.6 if leet else 0), "word"))
+            elif part.isalpha() and part[1:].islower():
+                out[end].append((start, UNLISTED_WORD + cased, "word"))
     run = walk = 0
     for i in range(1, n):
         run = run if value[i] == value[i - 1] else i
