@@ -2,12 +2,16 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
+settings.register_profile("steady", deadline=None, derandomize=True)
+settings.load_profile("steady")
+
 TABLES = (
     "region nation customer supplier part orders lineitem events"
     " documents embeddings pages benchmark labels conversations"
