@@ -10,8 +10,10 @@ Id i of a block starts at bit i * bits, so any range can be unpacked alone.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +27,13 @@ from tidemark.llm.common import NULL_KEY, key_of, partitions, shared_dir
 END_ID = 0
 #: A block is closed at the first document end past so many ids.
 BLOCK_IDS = 1 << 17
-#: Words whose ids a worker remembers, and most characters of such a word.
-CACHE_WORDS, CACHE_CHARS = 600_000, 64
+#: Pieces of text whose ids a worker remembers between batches.
+CACHE_WORDS = 1_000_000
 BLOCKS = (
     "shard int, block int, start long, n_ids long, bits int,"
     " doc_ids array<long>, doc_tokens array<long>, payload binary"
 )
 _SLICE = 1 << 16
-_coders: dict[str, tuple] = {}
 
 
 def bits_for(vocabulary: int) -> int:
@@ -62,46 +63,44 @@ def unpack(payload: bytes, bits: int, first: int, last: int) -> np.ndarray:
     return out
 
 
-def _coder(path: str):
-    """The tokenizer and the worker's memory of words: word -> ids as bytes."""
-    if path not in _coders:
+#: White space as the tokenizer's first step knows it (Unicode White_Space).
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+
+
+class _Memory(dict):
+    """Ids of pieces of text as little-endian unsigned 32-bit integers, as far as a worker
+    remembers them. A full stop or comma after a letter is parted from the piece it ends."""
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        _coders[path] = (Tokenizer.from_file(path), {})
-    return _coders[path]
+        self.encode = Tokenizer.from_file(path).encode
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece[-1] in ".," and piece[-2:-1].isalpha() and piece[-2] < "\u0250":
+            ids = self[piece[:-1]] + self[piece[-1]]
+        else:
+            ids = array("I", self.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(self) < CACHE_WORDS:
+            self[piece] = ids
+        return ids
+
+
+_memories: dict[str, _Memory] = {}
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers.
 
-    The tokenizer's first step never joins a character to white space after it, so a text
-    can be cut before each space that follows another character; each distinct piece
-    passes the tokenizer once. Texts with two spaces in a row pass it whole.
+    The tokenizer's first step parts a text wherever white space follows another
+    character, so the pieces between can be encoded apart, and each distinct piece passes
+    the tokenizer once while it is remembered.
     """
-    tokenizer, memory = _coder(path)
-    whole = [i for i, t in enumerate(texts) if "  " in t or t.startswith(" ")]
-    encode = lambda pieces: [
-        np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-    ]
-    out: list[bytes] = [b""] * len(texts)
-    for i, ids in zip(whole, encode([texts[i] for i in whole]), strict=True):
-        out[i] = ids
-    skip = set(whole)
-    for i, text in enumerate(texts):
-        if i in skip or not text:
-            continue
-        first, *pieces = text.split(" ")
-        known = memory.get
-        new = {p for p in pieces if p not in memory}
-        if new:
-            listed = list(new)
-            fresh = dict(zip(listed, encode([" " + p for p in listed]), strict=True))
-            for p, ids in fresh.items():
-                if len(memory) < CACHE_WORDS and len(p) <= CACHE_CHARS:
-                    memory[p] = ids
-            known = lambda p: memory.get(p) or fresh[p]  # noqa: E731, B023
-        out[i] = (encode([first])[0] if first else b"") + b"".join(map(known, pieces))
-    return out
+    if path not in _memories:
+        _memories[path] = _Memory(path)
+    ids_of = _memories[path].__getitem__
+    return [b"".join(map(ids_of, _PIECE.findall(t))) for t in texts]
 
 
 def _encode(path: str, end_id: int, bits: int, block_ids: int):
