@@ -32,10 +32,16 @@ def replace_index(index: DataFrame, fresh: DataFrame, reindexed: DataFrame | Non
     return index.join(keys, ["source_type", "source_id"], "left_anti").unionByName(fresh)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(organization_id, term, chunk_id, tf). Counted a chunk at a time, with the chunk in
-    the key, so the partial counts before the shuffle are already final for most rows."""
+def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(organization_id, term, chunk_id, tf), of the wanted (organization_id, term) only
+    where they are given: other words then go before anything is shuffled for counting.
+
+    Counted with the chunk in the key, so the partial counts before the shuffle are
+    already final for most rows.
+    """
     terms = chunks.select("organization_id", "chunk_id", F.explode(tx.posting_terms(F.col("content"))).alias("term"))
+    if wanted is not None:
+        terms = terms.join(wanted.select("organization_id", "term").distinct(), ["organization_id", "term"], "left_semi")
     return terms.groupBy("organization_id", "term", "chunk_id").agg(F.count("*").alias("tf"))
 
 

@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import index, retrieval
+from tidemark.operators.bounds import small
 
 
 def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = retrieval.TOP_K) -> DataFrame:
-    """The k best chunks of each question by keywords alone, with rank and excerpt."""
+    """The k best chunks of each question by keywords alone, with rank and excerpt.
+
+    The ranked rows are at most k a question; below a bound they are broadcast, so the
+    chunks' texts are not shuffled to be looked up.
+    """
     terms = retrieval.query_terms(questions)
-    found = retrieval.keyword_candidates(terms, index.postings(chunks))
+    found = retrieval.keyword_candidates(terms, index.postings(chunks, terms))
     best = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
-    return ranked.join(chunks, "chunk_id").select(
+    few = small(ranked, k * questions.count(), 64)
+    return few.join(chunks, "chunk_id").select(
         "query_id", "rank", "chunk_id", "source_id", "section", "keyword_score", tx.excerpt(F.col("content")).alias("excerpt")
     )
 
@@ -23,5 +29,6 @@ def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = retrieval.T
 def fused(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Candidates of questions (with embedding) by vectors and by keywords, fused."""
     by_vector = retrieval.vector_candidates(questions, chunks)
-    by_keyword = retrieval.keyword_candidates(retrieval.query_terms(questions), index.postings(chunks))
+    terms = retrieval.query_terms(questions)
+    by_keyword = retrieval.keyword_candidates(terms, index.postings(chunks, terms))
     return retrieval.fuse_candidates(by_vector, by_keyword)

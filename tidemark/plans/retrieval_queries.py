@@ -38,7 +38,8 @@ HYBRID = f"WITH {st.HYBRID_SQL}"
     JOIN searched USING (chunk_id) WHERE rank <= 8"""
 )
 def keyword_search(spark, sf_dir):
-    return hybrid.keyword_search(st.questions(spark, sf_dir), index.eligible_chunks(st.chunks(spark, sf_dir), st.live(spark, sf_dir)))
+    """Only live documents are chunked, as if their chunks had been stored."""
+    return hybrid.keyword_search(st.questions(spark, sf_dir), st.chunks(spark, sf_dir, st.live(spark, sf_dir)))
 
 
 @query(WITH_CHUNKS + " SELECT source_id, organization_id, page, chunk_index, section, content, token_count FROM chunks")
@@ -165,7 +166,8 @@ def chunk_index(spark, sf_dir):
 @query(SEARCHED + " SELECT query_id, chunk_id, keyword_score FROM keyword_pool")
 def keyword_candidates(spark, sf_dir):
     chunks = index.eligible_chunks(st.chunks(spark, sf_dir), st.live(spark, sf_dir))
-    return retrieval.keyword_candidates(retrieval.query_terms(st.questions(spark, sf_dir)), index.postings(chunks))
+    terms = retrieval.query_terms(st.questions(spark, sf_dir))
+    return retrieval.keyword_candidates(terms, index.postings(chunks, terms))
 
 
 def _fused(spark, sf_dir):
@@ -173,6 +175,7 @@ def _fused(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
+    """The ranked chunks, a few rows a question, with what answers need of them."""
     ranked = retrieval.fused_topk(_fused(spark, sf_dir))
     about = st.vector_rows(spark, sf_dir).select(
         "chunk_id", "content", F.lit("document").alias("source_type"), F.col("chunk_id").alias("source_id"),

@@ -36,9 +36,13 @@ DOCUMENTS_SQL = """docs AS (
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of all documents; as their texts have single newlines, these part paragraphs."""
-    docs = documents(spark, sf_dir).select(
+def chunks(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Chunks of all documents, or of the only sources given; as their texts have single
+    newlines, these part paragraphs."""
+    docs = documents(spark, sf_dir)
+    if only is not None:
+        docs = docs.join(only.select(F.col("source_id").alias("id")), "id", "left_semi")
+    docs = docs.select(
         F.col("id").alias("source_id"), "organization_id", F.col("title").alias("source_title"),
         F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"),
     )
