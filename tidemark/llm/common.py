@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of bytes, estimated from a count, that is broadcast on purpose.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a batch of rows that goes to a Python worker.
+BATCH_BYTES, _BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Stands for a null key where keys are compared; nulls sort first.
 NULL_KEY = -(1 << 63)
 
@@ -48,6 +50,13 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of bounded bytes, not only of rows, unless
+    the session already says how large they may be: a worker holds a batch at a time."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+
 SHINGLE_WORDS, THRESHOLD_PERCENT = 5, 80
 #: Bytes of item texts that a task holds at once.
 BLOCK_BYTES = 8 << 20
@@ -128,6 +130,7 @@ def contained_items(
     ids stay null; repeated rows each give their pairs; without items or documents the
     result is empty; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, item_shingles long, shared_shingles long"
 
@@ -162,6 +165,7 @@ def contains_any(text: Column, sketches: Sketches) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the documents that contain an item, without a shuffle."""
+    bounded_batches(docs.sparkSession)
     for sketches in item_blocks(items, "item_id", "text", block_bytes):
         docs = docs.filter(~contains_any(F.col(f"`{text_col}`"), sketches))
     return docs

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop, key_of, partitions, save, small
+from tidemark.llm.common import bounded_batches, drop, key_of, partitions, save, small
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
 #: Fingerprints of one bucket that are compared in one task; larger buckets are split.
@@ -241,7 +241,7 @@ def near_duplicates(
     take part but never name a component unless it has no other id; repeated rows share a
     component; an empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     rows, _ = save(
         docs.select(F.col(id_col).cast("long").alias(id_col), simhash_column(F.col(text_col), shingle_words).alias("fp")),
         "fingerprints",
@@ -349,6 +349,7 @@ def deduplicate_similar(
     256-bit fingerprints estimate it; texts with equal fingerprints are one group. Null and
     wordless texts are one group; an empty table stays empty; all columns are kept.
     """
+    bounded_batches(docs.sparkSession)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     print_of = _wide_column(F.col(f"`{text_col}`"), shingle_words)
     rows, _ = save(docs.select(key_of(id_col).alias("key"), print_of.alias("fp")), "fingerprints")

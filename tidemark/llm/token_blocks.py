@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_KEY, key_of, partitions, shared_dir
+from tidemark.llm.common import NULL_KEY, bounded_batches, key_of, partitions, shared_dir
 
 END_ID = 0
 #: A block is closed at the first document end past so many ids.
@@ -154,6 +154,7 @@ def write_blocks(
     table gives a table without blocks; a long document makes one long block.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(
         key_of(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
