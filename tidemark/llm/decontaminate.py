@@ -29,7 +29,7 @@ SHINGLE_WORDS, THRESHOLD_PERCENT = 5, 80
 #: Bytes of item texts that a task holds at once.
 BLOCK_BYTES = 8 << 20
 _WORD = re.compile(r"[^\W_]+")
-_MEMORY_WORDS = 500_000
+_MEMORY_WORDS = 50_000
 
 
 def words(text: str | None) -> list[str]:

@@ -28,7 +28,7 @@ END_ID = 0
 #: A block is closed at the first document end past so many ids.
 BLOCK_IDS = 1 << 17
 #: Pieces of text whose ids a worker remembers between batches.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 BLOCKS = (
     "shard int, block int, start long, n_ids long, bits int,"
     " doc_ids array<long>, doc_tokens array<long>, payload binary"
