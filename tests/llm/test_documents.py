@@ -135,6 +135,23 @@ def test_similar_texts(spark):
     assert simhash.deduplicate_similar(empty(spark)).count() == 0
 
 
+def test_all_pairs_at_the_similarity_go(spark):
+    """Pairs of Jaccard similarity just above 0.8 all go and those just below all stay, in
+    texts of 20 to 400 words, one of them a cluster in which many share a bucket."""
+    data = []
+    for i in range(60):
+        n = (20, 60, 400)[i % 3]
+        words = [f"d{i}w{j}" for j in range(n)]
+        # a changed tail of c words changes c shingles of n - 4: (n - 4 - c) / (n - 4 + c)
+        most = int((n - 4) * 0.2 / 1.8)
+        for k, c in enumerate((0, most, most + 1)):
+            data.append((100 * k + i, " ".join(words[: n - c] + [f"x{i}k{k}w{j}" for j in range(c)])))
+    base = [f"c{j}" for j in range(200)]
+    data += [(1000 + i, " ".join([*base[:i], f"y{i}", *base[i + 1 :]])) for i in range(100)]
+    kept = {r.doc_id for r in simhash.deduplicate_similar(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert kept == set(range(60)) | set(range(200, 260)) | {1000}
+
+
 def test_long_text_simhash():
     text = " ".join(f"W{i % 977} w{i % 31}" for i in range(60_000))
     assert simhash.simhash(text) == brute.simhash(text)

@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -272,11 +273,13 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
-# ---- near copies of a given similarity: wider fingerprints and sampled keys ----
+# ---- near copies of a given similarity: sampled keys, and whole sets compared ----
 
 WIDE_WORDS, SIMILAR_WORDS, SIMILARITY = 4, 5, 0.8
-#: Share of the pairs of NEAR similarity that meet in some bucket.
-NEAR, RECALL = 0.9, 0.99
+#: Share of the pairs of just the similarity that meet in some bucket; minima in a key.
+RECALL, KEY_ROWS = 0.9999, 5
+#: Parts of a bucket in which a first link is looked for apart.
+PARTS = 16
 
 
 def wide_simhash(text: str | None, shingle_words: int = SIMILAR_WORDS) -> bytes:
@@ -304,37 +307,108 @@ def share_of_bits(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def _wide_column(text: Column, shingle_words: int) -> Column:
+def shingle_hashes(text: str | None, shingle_words: int = SIMILAR_WORDS) -> np.ndarray:
+    """Ascending distinct 64-bit hashes of all word shingles; words as in simhash."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, "<u8")
+    k = min(shingle_words, len(words))
+    joined, digest = b" ".join(words), xxhash.xxh3_64_intdigest
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    spans = zip((ends - sizes).tolist(), ends[k - 1 :].tolist())
+    return np.unique(np.fromiter((digest(joined[s:e]) for s, e in spans), "<u8", len(words) - k + 1))
+
+
+def sampled_keys(hashes: np.ndarray, tables: int) -> list[int]:
+    """Signed keys of KEY_ROWS minima each: two sets agree on one with the probability
+    similarity ** KEY_ROWS, whatever their sizes. An empty set has none."""
+    if not len(hashes):
+        return []
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, tables * KEY_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(factors), _ALL)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * factors).min(axis=0), out=least)
+    return [
+        xxhash.xxh64_intdigest(row.tobytes(), t) - (1 << 63) for t, row in enumerate(least.reshape(tables, KEY_ROWS))
+    ]
+
+
+def _sketch_column(text: Column, shingle_words: int, tables: int) -> Column:
+    """fp: a hash of the set of shingles; keys: sampled keys; hashes: the set itself."""
+
+    @F.pandas_udf("fp binary, keys array<long>, hashes binary")
+    def sketches(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_hashes(t, shingle_words) for t in texts]
+        raw = [x.tobytes() for x in sets]
+        return pd.DataFrame(
+            {"fp": [hashlib.sha256(x).digest() for x in raw], "keys": [sampled_keys(x, tables) for x in sets], "hashes": raw}
+        )
+
+    return sketches(text)
+
+
+def _set_column(text: Column, shingle_words: int) -> Column:
     @F.pandas_udf("binary")
-    def fingerprints(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: wide_simhash(t, shingle_words), na_action=None)
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series([hashlib.sha256(shingle_hashes(t, shingle_words).tobytes()).digest() for t in texts], index=texts.index)
 
-    return fingerprints(text)
+    return prints(text)
 
 
-def similar_links(nodes: DataFrame, n: int, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links (a, b) of nodes (id, fp) whose fingerprints differ in no more bits than texts
-    of the similarity do on average.
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (id, hashes) have at least the Jaccard similarity."""
 
-    Keys are samples of about log2(n) bits, so a bucket holds few unrelated nodes at any
-    size; their number follows from RECALL, and grows slowly with n.
-    """
-    bits = max(8, int(n).bit_length())
-    meet = (1 - share_of_bits(NEAR)) ** bits
-    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - meet)))
-    rng = np.random.default_rng(5)
-    samples = [rng.choice(64 * WIDE_WORDS, bits, replace=False) for _ in range(tables)]
-    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(len(batch), -1)
-            lanes = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
-            for t, sample in enumerate(samples):
-                yield batch.assign(bucket=(np.int64(t) << 44) | (lanes[:, sample] @ weights))
-
-    radius = int(share_of_bits(similarity) * 64 * WIDE_WORDS + 0.5)
-    return _link(nodes.mapInPandas(keyed, "id long, fp binary, bucket long"), radius, block_rows)
+            ok = []
+            for x, y in zip(batch["x"], batch["y"]):
+                one, two = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                ok.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
+            yield batch.loc[ok, ["a", "b"]]
+
+    one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
+    two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(alike, "a long, b long")
+
+
+def _pairs_apart(rows: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of rows (bucket, id, size, root) that share a bucket, have
+    different roots, and sizes that allow the similarity."""
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
+    rows = rows.join(mixed, "bucket")
+    one, two = (rows.select("bucket", *(F.col(c).alias(c + n) for c in ("id", "size", "root"))) for n in "12")
+    fits = F.least("size1", "size2") >= similarity * F.greatest("size1", "size2") - 1e-9
+    met = one.join(two, "bucket").filter(F.col("root1") < F.col("root2")).filter(fits)
+    return met.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
+
+
+def similar_links(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of nodes (id, fp, key, size, keys) whose sets have at least the
+    similarity; every link is checked on the whole sets, rows (key, fp, hashes).
+
+    1. Members of a bucket against the smallest of their part of it.
+    2. One node of each component so far against those of the others in its bucket.
+    3. Every pair that shares a bucket and is in different components still: no pair of a
+       bucket is left out unless it is joined already.
+    """
+    keyed, _ = save(nodes.select("id", "size", F.explode("keys").alias("bucket")), "keys")
+    common = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    keyed, _ = save(keyed.join(common, "bucket"), "shared-keys")
+    wanted = nodes.join(keyed.select("id").distinct(), "id", "left_semi").select("id", "fp", "key")
+    sets, _ = save(rows.select("fp", "key", "hashes").join(wanted, ["fp", "key"]).select("id", "hashes").dropDuplicates(["id"]), "sets")
+    parts = keyed.withColumn("part", F.expr(f"pmod(xxhash64(id), {PARTS})"))
+    first = parts.groupBy("bucket", "part").agg(F.min("id").alias("b"))
+    star = parts.join(first, ["bucket", "part"]).select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
+    found, _ = save(verified(star, sets, similarity), "links")
+    for whole in (False, True):
+        roots = components(found).withColumnRenamed("node", "id")
+        rooted, _ = save(keyed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        one = rooted.groupBy("bucket", "root").agg(F.min(F.struct("id", "size")).alias("m")).select("bucket", "m.*", "root")
+        more, _ = save(verified(_pairs_apart(rooted if whole else one, similarity), sets, similarity), "links")
+        found = found.unionByName(more)
+    return found
 
 
 def deduplicate_similar(
@@ -345,21 +419,29 @@ def deduplicate_similar(
     shingle_words: int = SIMILAR_WORDS,
 ) -> DataFrame:
     """docs with one row for each group of near copies: the one with the smallest id, null
-    first. Groups are joined by links of at least the similarity over word shingles, as
-    256-bit fingerprints estimate it; texts with equal fingerprints are one group. Null and
-    wordless texts are one group; an empty table stays empty; all columns are kept.
+    first. Groups are joined by links of at least the Jaccard similarity of whole sets of
+    word shingles; texts with equal sets are one group. Null and wordless texts are one
+    group; an empty table stays empty; all columns are kept.
+
+    A pair at the similarity itself is compared with the probability RECALL, one above it
+    with a higher one, at any number of documents.
     """
     bounded_batches(docs.sparkSession)
+    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - similarity**KEY_ROWS)))
+    text = F.col(f"`{text_col}`")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    print_of = _wide_column(F.col(f"`{text_col}`"), shingle_words)
-    rows, _ = save(docs.select(key_of(id_col).alias("key"), print_of.alias("fp")), "fingerprints")
+    sketch = _sketch_column(text, shingle_words, tables).alias("s")
+    rows, _ = save(docs.select(key_of(id_col).alias("key"), sketch).select("key", "s.*"), "sketches")
+    light = rows.select("key", "fp", "keys", F.expr("length(hashes) div 8").alias("size"))
     nodes, _ = save(
-        rows.groupBy("fp").agg(F.min("key").alias("least")).withColumn("id", F.monotonically_increasing_id()), "nodes"
+        light.groupBy("fp").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+        .withColumn("id", F.monotonically_increasing_id()),
+        "nodes",
     )
-    roots = components(similar_links(nodes.select("id", "fp"), nodes.count(), similarity)).withColumnRenamed("node", "id")
-    rooted = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    keepers = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").alias("key"), "fp")).alias("k")).select("k.*")
-    keyed = docs.select(row, key_of(id_col).alias("key"), print_of.alias("fp"))
+    roots = components(similar_links(nodes, rows, similarity)).withColumnRenamed("node", "id")
+    rooted = nodes.select("fp", "key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    keepers = rooted.groupBy("root").agg(F.min(F.struct("key", "fp")).alias("k")).select("k.*")
+    keyed = docs.select(row, key_of(id_col).alias("key"), _set_column(text, shingle_words).alias("fp"))
     kept = keyed.join(keepers, ["key", "fp"]).dropDuplicates(["key", "fp"])
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
