@@ -339,6 +339,25 @@ def test_line_chunks_odd(spark):
     assert line_chunks.remove_repeated_chunks(df.limit(0)).count() == 0
 
 
+def test_every_line_of_a_repeated_run_goes(spark):
+    """Against all runs of two lines or more that two documents share, at any place."""
+    data, want = [], {}
+    for i in range(60):
+        n = 2 + i % 7
+        run = [f"shared {i} line {j}" for j in range(n)]
+        if i % 4 == 0:  # a lone short line between long ones
+            run = [" ".join(f"{i}long{e}w{k}" for k in range(25)) for e in "ab"]
+            run.insert(1, f"short {i}")
+        if i % 4 == 1:
+            run[1:1] = [""] * (i % 5)
+        for d in range(2):
+            own = [[f"own {i} {d} {side} {j}" for j in range(5)] for side in range(2)]
+            data.append((2 * i + d, "\n".join(own[0] + run + own[1])))
+            want[2 * i + d] = ("\n".join(own[0] + (run if d == 0 else []) + own[1]), 0 if d == 0 else len(run))
+    got = by_id(line_chunks.remove_repeated_chunks(spark.createDataFrame(data, "doc_id long, text string")), "text", "removed_lines")
+    assert got == want
+
+
 def test_all_nulls(spark):
     nulls = spark.createDataFrame([(None,) * 5] * 3, SCHEMA)
     items = spark.createDataFrame([(None, None)], "item_id long, text string")

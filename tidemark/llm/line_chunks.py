@@ -1,13 +1,11 @@
-"""Operator 10: globally repeated passages of lines, found as content-defined chunks.
-
-A text is cut into chunks of lines by content alone. A line of at least LONG_LINE words
-is a passage of its own, with a boundary on both sides. In a run of shorter lines a
-rolling hash covers each line and the one before, and a line ends a chunk where that hash
-is smaller than those next to it: three lines decide, so an inserted line shifts only the
-boundaries beside it. A repeated passage may begin or end inside a chunk; so the spans
-compared are the chunk and all its shorter beginnings and ends of two lines or more. Spans
-are grouped by a 192-bit hash and by their bytes; of a span that occurs again, in the same
-or another document, all but the first occurrence (smallest doc_id, then line) go.
+"""Operator 10: globally repeated passages of lines, found as windows of two lines.
+
+A line of at least LONG_LINE words is a passage of its own. Besides, every two lines next to
+each other are a span: a repeated run of two lines or more is the union of the repeated
+spans in it, wherever it begins and ends, so no line of it is lost. Spans are grouped by a
+192-bit hash and by their bytes; of a span that occurs again, in the same or another
+document, all but the first occurrence (smallest doc_id, then line) go. chunk_lines cuts a
+text into content-defined chunks: a boundary is a local minimum of a rolling hash.
 """
 
 from __future__ import annotations
@@ -55,16 +53,21 @@ def chunk_lines(lines: list[str]) -> list[tuple[int, int]]:
 
 
 def spans_of(lines: list[str]) -> list[tuple[int, int]]:
-    """Spans to compare: long lines, and of each chunk of short lines the whole, its
-    beginnings and its ends, from LEAST_LINES lines. Spans of blank lines are left out."""
-    spans = []
-    for first, count in chunk_lines(lines):
-        if count == 1 and _is_long(lines[first]):
-            spans.append((first, 1))
-            continue
-        spans += [(first, k) for k in range(LEAST_LINES, count + 1)]
-        spans += [(first + count - k, k) for k in range(LEAST_LINES, count)]
-    return [(f, c) for f, c in spans if any(x.strip() for x in lines[f : f + c])]
+    """Spans to compare: long lines, and all windows of LEAST_LINES lines but those of two
+    long lines, which are compared one by one. Spans of blank lines are left out; more than
+    two of them are in a span with the lines around them."""
+    long = [_is_long(x) for x in lines]
+    blank = [not x.strip() for x in lines]
+    spans = [(i, 1) for i, x in enumerate(long) if x]
+    windows = range(len(lines) - LEAST_LINES + 1)
+    spans += [
+        (i, LEAST_LINES)
+        for i in windows
+        if not all(long[i : i + LEAST_LINES]) and not all(blank[i : i + LEAST_LINES])
+    ]
+    filled = [i for i, x in enumerate(blank) if not x]
+    spans += [(i, j - i + 1) for i, j in zip(filled, filled[1:]) if j - i > LEAST_LINES + 1]
+    return spans
 
 
 def _hash(text: str) -> tuple[int, int, int]:
