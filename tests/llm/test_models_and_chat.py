@@ -46,6 +46,19 @@ def test_quality_edge_cases(spark):
     assert quality.keep_quality(docs, quality.train(docs, none)).columns == docs.columns
 
 
+def test_quality_reads_whole_words():
+    """Text without spaces is scored by all its n-grams, however far they are."""
+    head = "中文" * 30
+    good, bad = (head + x * 20_000 for x in ("好书", "垃圾"))
+    model = quality.fit([quality.document_features(t) for t in (good, bad) * 20], [1, 0] * 20)
+    assert model.score(head + "好书" * 9000) > 0.5 > model.score(head + "垃圾" * 9000)
+    used, shares = quality.document_features("abcd" * 30_000)
+    marked = f"<{'abcd' * 30_000}>"
+    grams = [marked[i : i + 3] for i in range(len(marked) - 2)] + [marked.replace("<", "\0")[:-1]]
+    want = np.bincount([zlib.crc32(g.encode()) % quality.BUCKETS for g in grams], minlength=quality.BUCKETS)
+    assert used.tolist() == np.flatnonzero(want).tolist() and shares == pytest.approx(want[used] / want.sum())
+
+
 def test_gradient_descent_separates():
     texts = [("good fine words here " * 3, 1), ("bad!!! noise### junk%%% " * 3, 0)] * 20
     model = quality.fit([quality.document_features(t) for t, _ in texts], [y for _, y in texts])

@@ -25,17 +25,22 @@ from tidemark.llm.labelled import not_held_out, training_rows
 
 #: Labelled documents of each class that the model is fitted on, at most.
 ROWS_PER_LABEL = 1200
-BUCKETS, DIMENSIONS, NGRAM, WORD_CHARS = 1 << 16, 8, 3, 40
+BUCKETS, DIMENSIONS, NGRAM = 1 << 16, 8, 3
 EPOCHS, BATCH, RATE, VECTOR_RATE, SEED = 8, 32, 0.6, 10, 7
-_MEMORY_WORDS = 120_000
+#: Words that a worker remembers, and characters of one at most.
+_MEMORY_WORDS, _MEMORY_CHARS = 120_000, 80
+#: n-grams of a long word that are held at a time.
+_SLICE = 1 << 14
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of a word: the word itself and the n-grams of its first WORD_CHARS
-    characters, between marks (the word's own bucket covers all of it)."""
-    marked = f"<{word[:WORD_CHARS]}>"
-    grams = [marked[i : i + NGRAM] for i in range(len(marked) - NGRAM + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in (f"\0{word}", *grams)]
+def word_features(word: str) -> Iterator[list[int]]:
+    """Buckets of a word, in slices: the word itself and all its n-grams between marks."""
+    marked, own = f"<{word}>", [f"\0{word}"]
+    for at in range(0, max(1, len(marked) - NGRAM + 1), _SLICE):
+        end = min(at + _SLICE, len(marked) - NGRAM + 1)
+        grams = own + [marked[i : i + NGRAM] for i in range(at, end)]
+        yield [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams]
+        own = []
 
 
 _REPEAT = zlib.crc32(b"\1same word again") % BUCKETS
@@ -46,12 +51,22 @@ _REPEAT_WEIGHT = 8
 def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares, which sum to 1."""
     words = text.split()
+    counts = np.zeros(BUCKETS)
     ids, times = [], []
+
+    def add() -> None:
+        nonlocal counts
+        counts += np.bincount(np.array(ids, np.int64), np.array(times, np.float64), BUCKETS)
+        ids.clear()
+        times.clear()
+
     for word, n in Counter(words).items():
-        found = word_features(word)
-        ids += found
-        times += [n] * len(found)
-    counts = np.bincount(np.array(ids, np.int64), np.array(times, np.float64), BUCKETS)
+        for found in word_features(word):
+            ids += found
+            times += [n] * len(found)
+            if len(ids) >= _SLICE:
+                add()
+    add()
     counts[_REPEAT] += _REPEAT_WEIGHT * sum(map(str.__eq__, words, words[1:]))
     used = np.flatnonzero(counts)
     return used, counts[used] / max(counts.sum(), 1)
@@ -69,9 +84,12 @@ class Model:
     def word(self, word: str) -> tuple[float, int]:
         found = self.memory.get(word)
         if found is None:
-            at = word_features(word)
-            found = (sum(map(self.listed.__getitem__, at)), len(at))
-            if len(self.memory) < _MEMORY_WORDS and len(word) <= 2 * WORD_CHARS:
+            total, size = 0.0, 0
+            for at in word_features(word):
+                total += sum(map(self.listed.__getitem__, at))
+                size += len(at)
+            found = (total, size)
+            if len(self.memory) < _MEMORY_WORDS and len(word) <= _MEMORY_CHARS:
                 self.memory[word] = found
         return found
 
