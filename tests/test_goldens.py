@@ -184,6 +184,24 @@ def test_workflow(spark):
     assert [r.accepted for r in got] == [False, True, True, True, False, True] and got[-1].status == "ARCHIVED"
 
 
+def test_workflow_of_a_hot_item(spark, capsys):
+    """One item with most requests streams in order; no row holds them all."""
+    order = ["UNDER_REVIEW", "DRAFT", "UNDER_REVIEW", "APPROVED", "PUBLISHED", "DRAFT", ""]
+    data = [(item, i, order[(i * i + i // 3) % 7]) for item, n in ((2**60 + 1, 30_000), (None, 50), (2**60, 9)) for i in range(n)]
+    df = spark.createDataFrame(data, "item_id long, seq long, target string").repartition(5)
+    out = workflow.knowledge_transitions(df)
+    out.explain()
+    assert "collect_list" not in capsys.readouterr().out
+    want, status = {}, {}
+    for item, seq, target in data:
+        now = status.get(item, "DRAFT")
+        ok = now in workflow.ALLOWED_FROM.get(target, ())
+        status[item] = target if ok else now
+        if target:
+            want[item, seq] = (target, ok, status[item])
+    assert {(r.item_id, r.seq): (r.target, r.accepted, r.status) for r in out.collect()} == want
+
+
 def test_jobs(spark):
     jobs = spark.createDataFrame([(1, 0, 3)], "id int, retry_count int, max_retries int")
     for failures, status in ((1, "PENDING"), (2, "PENDING"), (3, "FAILED")):

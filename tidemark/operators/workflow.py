@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values: from which status each target may be reached, and what actions set
@@ -23,37 +26,30 @@ ACTIONS = {
 # ---- end of fixed values
 
 
-def may_follow(status: Column, target: Column) -> Column:
-    pairs = [f"{s}>{t}" for t, sources in ALLOWED_FROM.items() for s in sources]
-    return F.concat(status, F.lit(">"), target).isin(*pairs)
-
-
 def knowledge_transitions(requests: DataFrame) -> DataFrame:
     """(item_id, seq, target, accepted, status) of requests (item_id, seq, target): each is
     accepted if the status reached so far allows it. Items begin as drafts.
 
-    The requests of one item are folded in order; acceptance depends on the ones before.
+    Requests stream through a task in the order of their item; it holds one status.
     """
-    ordered = F.sort_array(F.collect_list(F.struct("seq", "target")))
-    step = "struct<seq:bigint,target:string,accepted:boolean,status:string>"
+    rows = requests.select("item_id", F.col("seq").cast("long").alias("seq"), "target")
 
-    def fold(done: Column, r: Column) -> Column:
-        now = F.element_at(done, -1)["status"]
-        ok = may_follow(now, r["target"])
-        row = F.struct(
-            r["seq"].cast("long").alias("seq"),
-            r["target"].alias("target"),
-            ok.alias("accepted"),
-            F.when(ok, r["target"]).otherwise(now).alias("status"),
-        )
-        return F.concat(done, F.array(row)).cast(f"array<{step}>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, status = (), "DRAFT"
+        for batch in batches:
+            accepted, reached = [], []
+            for item, target in zip(batch["item_id"].to_pylist(), batch["target"].to_pylist()):
+                if (item,) != owner:
+                    owner, status = (item,), "DRAFT"
+                accepted.append(status in ALLOWED_FROM.get(target, ()))
+                status = target if accepted[-1] else status
+                reached.append(status)
+            data = [*batch.columns, pa.array(accepted, pa.bool_()), pa.array(reached, pa.string())]
+            yield pa.RecordBatch.from_arrays(data, names=["item_id", "seq", "target", "accepted", "status"])
 
-    rows = requests.groupBy("item_id").agg(ordered.alias("requests"))
-    # the fold starts from a row for the draft, which is dropped
-    start = F.array(F.struct(F.lit(-1).cast("long").alias("seq"), F.lit("").alias("target"), F.lit(True).alias("accepted"), F.lit("DRAFT").alias("status")))
-    return rows.select("item_id", F.explode(F.aggregate("requests", start.cast(f"array<{step}>"), fold)).alias("r")).filter(
-        "r.target <> ''"
-    ).select("item_id", "r.*")
+    ordered = rows.filter("target <> ''").repartition("item_id").sortWithinPartitions("item_id", "seq", "target")
+    schema = f"item_id {dict(rows.dtypes)['item_id']}, seq long, target string, accepted boolean, status string"
+    return ordered.mapInArrow(run, schema)
 
 
 def experience_transitions(requests: DataFrame) -> DataFrame:
