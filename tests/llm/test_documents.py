@@ -166,6 +166,27 @@ def test_token_blocks(spark, sf_dir, rows):
     assert got == brute.tokens(rows, tokenizer)
 
 
+def test_pieces_of_uneven_texts():
+    """Texts of white space, stops, marks and special tokens in all orders, and a task that
+    forgets words between batches, against whole texts through the tokenizer."""
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    rng = np.random.default_rng(4)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\ta", ".", ",", "'s", "a", "Be", "é", "1", "23", "!", "　", "你", "<|endoftext|>", "Ġ", "\x85", "\x1c", "\x02", "😀"]
+    texts = ["", "a.\n\nB, c.", "a,.b", "..., a."] + ["".join(rng.choice(parts, n)) for n in rng.integers(0, 25, 3000)]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    encoder = token_blocks.Encoder(path)
+    for known in (600_000, 10):
+        token_blocks.REMEMBERED, kept = known, token_blocks.REMEMBERED
+        for at in range(0, len(texts), 500):
+            ids, counts = encoder.encode(pa.array(texts[at : at + 500]))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[at : at + 500]
+        token_blocks.REMEMBERED = kept
+
+
 def test_token_blocks_odd(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -173,12 +194,12 @@ def test_token_blocks_odd(spark, tmp_path):
     path = public_tokenizers.path(queries.TOKENIZER)
     tokenizer = Tokenizer.from_file(path)
     data = [r for r in ODD if r[0] is not None] + [(20, "a<|endoftext|> b \n\n c  d \t e ", None, None, 1), (21, "ab " * 70_000, None, None, 1)]
-    got = by_id(token_blocks.token_report(odd(spark, data), path, queries.VOCABULARY), "start", "n_tokens", "ids_crc32")
+    got = by_id(token_blocks.token_report(odd(spark, data), path), "start", "n_tokens", "ids_crc32")
     assert got == brute.tokens([(r[0], r[1]) for r in data], tokenizer)
-    got = token_blocks.token_report(odd(spark, REPEATED), path, queries.VOCABULARY).collect()
+    got = token_blocks.token_report(odd(spark, REPEATED), path).collect()
     assert len(got) == len(REPEATED) and min(got, key=lambda r: r.start).doc_id is None
-    assert token_blocks.token_report(empty(spark), path, queries.VOCABULARY).count() == 0
-    token_blocks.write_blocks(odd(spark), str(tmp_path / "b"), path, queries.VOCABULARY, block_ids=64)
+    assert token_blocks.token_report(empty(spark), path).count() == 0
+    token_blocks.write_blocks(odd(spark), str(tmp_path / "b"), path, block_ids=64)
     back = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_blocks.read_documents(spark, str(tmp_path / "b")).collect()}
     assert back == {r[0]: [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in ODD}
 
@@ -187,6 +208,9 @@ def test_token_blocks_odd(spark, tmp_path):
 def test_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 150_001, dtype=np.uint64).astype("<u4")
     payload = token_blocks.pack(ids, bits)
+    if bits < 32:
+        with pytest.raises(ValueError):
+            token_blocks.pack(np.array([1 << bits], "<u4"), bits)
     assert len(payload) == -(-len(ids) * bits // 8)
     assert (token_blocks.unpack(payload, bits, 0, len(ids)) == ids).all()
     assert (token_blocks.unpack(payload, bits, 70_003, 140_009) == ids[70_003:140_009]).all()

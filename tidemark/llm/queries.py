@@ -52,7 +52,7 @@ def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_blocks.token_report(
-        table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), VOCABULARY
+        table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)
     )
 
 
