@@ -73,18 +73,31 @@ def tokens(rows, tokenizer):
 
 
 def first_of_similar(rows, similarity=0.8):
-    """Ids that stay if all pairs of wide fingerprints are compared."""
-    from tidemark.llm import simhash as s
-
-    radius = int(s.share_of_bits(similarity) * 256 + 0.5)
-    prints = {i: int.from_bytes(s.wide_simhash(t), "little") for i, t in rows}
-    root = {}
-    ids = sorted(prints)
-    for i in ids:
-        root[i] = i
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= radius and root[a] != root[b]:
-                low, high = sorted((root[a], root[b]))
-                root = {k: low if v == high else v for k, v in root.items()}
-    return sorted(set(root.values()))
+    """Ids that stay if all pairs of sets of five-word shingles are compared."""
+    from fractions import Fraction
+
+    least, sets = Fraction(str(similarity)), {}
+    for i, text in rows:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = {tuple(words[p : p + 5]) for p in range(max(1, len(words) - 4))} if words else set()
+    holders = {}
+    for i in sorted(sets):
+        for s in sets[i] or [()]:
+            holders.setdefault(s, []).append(i)
+    shared = {}
+    for found in holders.values():
+        for n, a in enumerate(found):
+            for b in found[n + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (a, b), n in shared.items():
+        if not sets[a] and not sets[b] or n >= least * (len(sets[a]) + len(sets[b]) - n):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return sorted({find(i) for i in sets})

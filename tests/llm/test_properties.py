@@ -90,6 +90,6 @@ def test_wide_fingerprints_estimate_similarity(similarity):
         shared = int(round(2000 * similarity / (1 + similarity)))
         words = [f"w{x}" for x in rng.integers(0, 10**9, 1000 + 1000 - shared)]
         a, b = words[:1000], words[1000 - shared :]
-        x, y = (int.from_bytes(simhash.wide_simhash(" ".join(t), 1), "little") for t in (a, b))
+        x, y = (int.from_bytes(simhash.wide_simhash(simhash.shingle_hashes(" ".join(t), 1)), "little") for t in (a, b))
         distances.append((x ^ y).bit_count())
     assert abs(np.mean(distances) / 256 - simhash.share_of_bits(similarity)) < 0.03

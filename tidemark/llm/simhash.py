@@ -15,11 +15,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,9 +104,12 @@ def close_lanes(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int)
     return at[rows] * 64 + lanes
 
 
-def forest(values: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest(
+    values: np.ndarray, bucket: np.ndarray, radius: int, alike: Callable[[int, int], bool] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, root), as row numbers, that join all rows of equal bucket linked by a
-    chain of pairs within the radius. bucket: numbers of runs, as sorted."""
+    chain of pairs within the radius; with alike, of those pairs only that it accepts.
+    bucket: numbers of runs, as sorted."""
     _, inverse, size = np.unique(bucket, return_inverse=True, return_counts=True)
     order = np.lexsort((inverse, -size[inverse]))  # larger buckets first: shifts end early
     order = order[size[inverse[order]] > 1]
@@ -127,7 +131,7 @@ def forest(values: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndar
                 a = parent[a]
             while parent[b] != b:
                 b = parent[b]
-            if a != b:
+            if a != b and (alike is None or alike(order[i], order[i + shift])):
                 parent[max(a, b)] = min(a, b)
         if len(near):
             while (up := parent[parent] != parent).any():
@@ -167,24 +171,26 @@ def _link_buckets(radius: int):
     return link
 
 
-def _link(rows: DataFrame, radius: int, block_rows: int) -> DataFrame:
-    """Links (a, b) of rows (bucket, id, fp). A bucket above block_rows is cut into blocks
-    by a hash of the id, and each pair of blocks meets in a task of its own."""
-    large, _ = save(
-        rows.groupBy("bucket").count().filter(F.col("count") > block_rows)
-        .select("bucket", F.ceil(F.col("count") / block_rows).cast("long").alias("blocks")),
-        "large-buckets",
+def _in_parts(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """rows (bucket, id, ...) with part: a bucket of large (bucket, blocks) is cut into blocks
+    by a hash of the id, and each pair of blocks meets in a part of its own."""
+    large, _ = save(large, "large-buckets")
+    if not (n_large := large.count()):
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    rows = rows.join(small(large, n_large, 64), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("own", F.expr("pmod(xxhash64(id), blocks)")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     )
-    if n_large := large.count():
-        rows = rows.join(small(large, n_large, 64), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-        rows = rows.withColumn("own", F.expr("pmod(xxhash64(id), blocks)")).withColumn(
-            "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-        )
-        rows = rows.withColumn("part", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    else:
-        rows = rows.withColumn("part", F.lit(0).cast("long"))
+    part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    return rows.withColumn("part", part).drop("blocks", "own", "other")
+
+
+def _link(rows: DataFrame, radius: int, block_rows: int) -> DataFrame:
+    """Links (a, b) of rows (bucket, id, fp), buckets above block_rows in parts."""
+    blocks = F.ceil(F.col("count") / block_rows).cast("long").alias("blocks")
+    large = rows.groupBy("bucket").count().filter(F.col("count") > block_rows).select("bucket", blocks)
     return (
-        rows.select("bucket", "part", "id", "fp")
+        _in_parts(rows, large).select("bucket", "part", "id", "fp")
         .repartition(partitions(rows.sparkSession), "bucket", "part")
         .sortWithinPartitions("bucket", "part")
         .mapInPandas(_link_buckets(radius), "a long, b long")
@@ -207,7 +213,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, block_rows: int = BLOCK_ROWS)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (a, b): root is the smallest node reachable."""
+    """(node, root) of every node of edges (a, b) that is not a root itself: root is the
+    smallest node reachable."""
     spark = edges.sparkSession
     now, path = save(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
@@ -273,142 +280,173 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
-# ---- near copies of a given similarity: sampled keys, and whole sets compared ----
+# ---- near copies of a given similarity: wide fingerprints, and whole sets compared ----
 
 WIDE_WORDS, SIMILAR_WORDS, SIMILARITY = 4, 5, 0.8
 #: Share of the pairs of just the similarity that meet in some bucket; minima in a key.
 RECALL, KEY_ROWS = 0.9999, 5
-#: Parts of a bucket in which a first link is looked for apart.
-PARTS = 16
-
-
-def wide_simhash(text: str | None, shingle_words: int = SIMILAR_WORDS) -> bytes:
-    """256-bit SimHash of the distinct shingles' hashes, as 32 bytes; words as in simhash."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return bytes(8 * WIDE_WORDS)
-    k = min(shingle_words, len(words))
-    shingles = list({b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)})
-    counts = np.zeros(64 * WIDE_WORDS, np.int64)
-    for at in range(0, len(shingles), _SLICE):
-        raw = b"".join(map(xxhash.xxh3_128_digest, shingles[at : at + _SLICE]))
-        one, two = np.frombuffer(raw, "<u8").reshape(-1, 2).T
-        three = (one ^ (two >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        four = (two ^ (one >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-        three, four = three ^ (three >> np.uint64(32)), four ^ (four >> np.uint64(32))
-        hashes = np.ascontiguousarray(np.stack([one, two, three, four], axis=1))
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8 * WIDE_WORDS), axis=1, bitorder="little")
-        counts += np.add.reduce(bits, axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(shingles), bitorder="little").tobytes()
+#: Standard deviations by which a pair of the similarity may differ in more bits than on average.
+DEVIATIONS = 4
+#: Shingle sets of one group that are compared in one task, by rows and bytes.
+SET_ROWS, SET_BYTES = 1024, 8 << 20
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, WIDE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def share_of_bits(similarity: float) -> float:
-    """Expected share of differing bits of two texts of a Jaccard similarity and one size."""
+    """Expected share of differing bits of two sets of a Jaccard similarity and one size."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def wide_radius(similarity: float = SIMILARITY) -> int:
+    """Differing bits of wide fingerprints up to which two sets may have the similarity."""
+    share, bits = share_of_bits(similarity), 64 * WIDE_WORDS
+    return int(bits * share + DEVIATIONS * np.sqrt(bits * share * (1 - share)))
+
+
 def shingle_hashes(text: str | None, shingle_words: int = SIMILAR_WORDS) -> np.ndarray:
     """Ascending distinct 64-bit hashes of all word shingles; words as in simhash."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, "<u8")
-    k = min(shingle_words, len(words))
-    joined, digest = b" ".join(words), xxhash.xxh3_64_intdigest
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    spans = zip((ends - sizes).tolist(), ends[k - 1 :].tolist())
-    return np.unique(np.fromiter((digest(joined[s:e]) for s, e in spans), "<u8", len(words) - k + 1))
+    n = max(1, len(words) - shingle_words + 1)
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "<u8", len(words))
+    mixed = np.zeros(n, "<u8")
+    for i in range(min(shingle_words, len(words))):
+        mixed = (mixed ^ each[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def wide_simhash(hashes: np.ndarray) -> bytes:
+    """SimHash of WIDE_WORDS 64-bit words of a set of hashes, as bytes."""
+    counts = np.zeros(64 * WIDE_WORDS, np.int64)
+    for at in range(0, len(hashes), 255):  # sums of one byte
+        mixed = hashes[at : at + 255, None] * _ODD
+        mixed ^= mixed >> np.uint64(32)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes()
 
 
-def sampled_keys(hashes: np.ndarray, tables: int) -> list[int]:
+def key_tables(similarity: float) -> int:
+    """Number of keys with which pairs of the similarity meet with the probability RECALL."""
+    return int(np.ceil(np.log(1 - RECALL) / np.log(1 - similarity**KEY_ROWS)))
+
+
+def sampled_keys(hashes: np.ndarray, tables: int) -> np.ndarray:
     """Signed keys of KEY_ROWS minima each: two sets agree on one with the probability
     similarity ** KEY_ROWS, whatever their sizes. An empty set has none."""
     if not len(hashes):
-        return []
-    factors = np.random.default_rng(SEED).integers(0, 1 << 63, tables * KEY_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(len(factors), _ALL)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[at : at + 1024, None] * factors).min(axis=0), out=least)
-    return [
-        xxhash.xxh64_intdigest(row.tobytes(), t) - (1 << 63) for t, row in enumerate(least.reshape(tables, KEY_ROWS))
-    ]
+        return np.empty(0, np.int64)
+    factors = np.random.default_rng(SEED).integers(0, 1 << 31, tables * KEY_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    low, least = hashes.astype(np.uint32), np.full(len(factors), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 512):
+        np.minimum(least, (low[at : at + 512, None] * factors).min(axis=0), out=least)
+    keys = np.arange(1, tables + 1, dtype=np.uint64)
+    for column in least.reshape(tables, KEY_ROWS).T.astype(np.uint64):
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
 
 
-def _sketch_column(text: Column, shingle_words: int, tables: int) -> Column:
-    """fp: a hash of the set of shingles; keys: sampled keys; hashes: the set itself."""
+_SKETCHES = "key long, text_hash long, digest binary, fp binary, size long, keys array<long>"
 
-    @F.pandas_udf("fp binary, keys array<long>, hashes binary")
-    def sketches(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_hashes(t, shingle_words) for t in texts]
-        raw = [x.tobytes() for x in sets]
-        return pd.DataFrame(
-            {"fp": [hashlib.sha256(x).digest() for x in raw], "keys": [sampled_keys(x, tables) for x in sets], "hashes": raw}
-        )
 
-    return sketches(text)
+def _sketch(shingle_words: int, tables: int):
+    """digest: of the set of shingles; fp: its wide fingerprint; size; keys: sampled keys."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, prints, sizes, keys = [], [], [], []
+            for text in batch.column("text"):
+                hashes = shingle_hashes(text.as_py(), shingle_words)
+                digests.append(hashlib.sha256(hashes).digest())
+                prints.append(wide_simhash(hashes))
+                sizes.append(len(hashes))
+                keys.append(sampled_keys(hashes, tables))
+            columns = [batch.column("key"), batch.column("text_hash"), pa.array(digests, pa.binary()), pa.array(prints, pa.binary())]
+            columns += [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SKETCHES.split(", ")])
 
-def _set_column(text: Column, shingle_words: int) -> Column:
-    @F.pandas_udf("binary")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(shingle_hashes(t, shingle_words).tobytes()).digest() for t in texts], index=texts.index)
+    return run
 
-    return prints(text)
 
+def _sets(shingle_words: int):
+    """Rows (bucket, id, fp, text) with the hashes of all shingles in place of the text."""
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (id, hashes) have at least the Jaccard similarity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t.as_py(), shingle_words).tobytes() for t in batch.column("text")]
+            rest = [batch.column(c) for c in ("bucket", "id", "fp")]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(hashes, pa.binary())], ["bucket", "id", "fp", "hashes"])
 
-    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return run
+
+
+def _link_sets(radius: int, similarity: float):
+    """Links (a, b) of rows (bucket, part, id, fp, hashes) sorted by bucket and part: of the
+    pairs in a part whose fingerprints are within the radius, those whose sets have the
+    similarity, as far as they join what is not joined yet."""
+
+    def flush(rows: list[tuple]) -> pd.DataFrame:
+        sets = [np.frombuffer(r[3], "<u8") for r in rows]
+
+        def alike(i: int, j: int) -> bool:
+            one, two = sorted((sets[i], sets[j]), key=len)
+            if len(one) < similarity * len(two) - 1e-9:
+                return False
+            at = np.minimum(two.searchsorted(one), len(two) - 1)
+            both = int(np.count_nonzero(two[at] == one))
+            return both >= similarity * (len(one) + len(two) - both) - 1e-9
+
+        runs = np.cumsum([0] + [a[0] != b[0] for a, b in zip(rows, rows[1:])])
+        values = np.frombuffer(b"".join(r[2] for r in rows), "<u8").reshape(len(rows), -1)
+        a, b = forest(values, runs, radius, alike)
+        ids = np.array([r[1] for r in rows], np.int64)
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = whole = 0  # bytes held; rows of groups that have ended
         for batch in batches:
-            ok = []
-            for x, y in zip(batch["x"], batch["y"]):
-                one, two = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                ok.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
-            yield batch.loc[ok, ["a", "b"]]
-
-    one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(alike, "a long, b long")
-
-
-def _pairs_apart(rows: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of rows (bucket, id, size, root) that share a bucket, have
-    different roots, and sizes that allow the similarity."""
-    mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    rows = rows.join(mixed, "bucket")
-    one, two = (rows.select("bucket", *(F.col(c).alias(c + n) for c in ("id", "size", "root"))) for n in "12")
-    fits = F.least("size1", "size2") >= similarity * F.greatest("size1", "size2") - 1e-9
-    met = one.join(two, "bucket").filter(F.col("root1") < F.col("root2")).filter(fits)
-    return met.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
-
-
-def similar_links(nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of nodes (id, fp, key, size, keys) whose sets have at least the
-    similarity; every link is checked on the whole sets, rows (key, fp, hashes).
-
-    1. Members of a bucket against the smallest of their part of it.
-    2. One node of each component so far against those of the others in its bucket.
-    3. Every pair that shares a bucket and is in different components still: no pair of a
-       bucket is left out unless it is joined already.
-    """
-    keyed, _ = save(nodes.select("id", "size", F.explode("keys").alias("bucket")), "keys")
+            buckets, parts, ids = (batch.column(c).to_pylist() for c in ("bucket", "part", "id"))
+            for row in zip(zip(buckets, parts), ids, batch.column("fp").to_pylist(), batch.column("hashes").to_pylist()):
+                if held and row[0] != held[-1][0]:
+                    whole = len(held)
+                held.append(row)
+                size += len(row[3]) + 64
+                if size >= SET_BYTES and whole:
+                    yield pa.RecordBatch.from_pandas(flush(held[:whole]), preserve_index=False)
+                    held, whole = held[whole:], 0
+                    size = sum(len(r[3]) + 64 for r in held)
+        if held:
+            yield pa.RecordBatch.from_pandas(flush(held), preserve_index=False)
+
+    return link
+
+
+def similar_groups(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(id, bucket) of the nodes (id, fp, keys) that may be alike: chains of pairs that share a
+    key and whose wide fingerprints are within the radius have one bucket."""
+    keyed = nodes.select("id", F.explode("keys").alias("bucket"))
     common = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    keyed, _ = save(keyed.join(common, "bucket"), "shared-keys")
-    wanted = nodes.join(keyed.select("id").distinct(), "id", "left_semi").select("id", "fp", "key")
-    sets, _ = save(rows.select("fp", "key", "hashes").join(wanted, ["fp", "key"]).select("id", "hashes").dropDuplicates(["id"]), "sets")
-    parts = keyed.withColumn("part", F.expr(f"pmod(xxhash64(id), {PARTS})"))
-    first = parts.groupBy("bucket", "part").agg(F.min("id").alias("b"))
-    star = parts.join(first, ["bucket", "part"]).select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
-    found, _ = save(verified(star, sets, similarity), "links")
-    for whole in (False, True):
-        roots = components(found).withColumnRenamed("node", "id")
-        rooted, _ = save(keyed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-        one = rooted.groupBy("bucket", "root").agg(F.min(F.struct("id", "size")).alias("m")).select("bucket", "m.*", "root")
-        more, _ = save(verified(_pairs_apart(rooted if whole else one, similarity), sets, similarity), "links")
-        found = found.unionByName(more)
-    return found
+    shared, _ = save(keyed.join(common, "bucket").join(nodes.select("id", "fp"), "id"), "shared-keys")
+    found = components(_link(shared, wide_radius(similarity), BLOCK_ROWS))
+    roots = found.select(F.col("root").alias("node"), "root").distinct()
+    return found.unionByName(roots).select(F.col("node").alias("id"), F.col("root").alias("bucket"))
+
+
+def similar_links(rows: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between rows (bucket, id, fp, hashes) of one bucket whose sets have the
+    similarity. sizes: (bucket, size) of the same rows; large buckets are cut into parts."""
+    cut = F.ceil(F.greatest(F.count("*") / SET_ROWS, F.sum("size") * 8 / SET_BYTES)).cast("long")
+    large = sizes.groupBy("bucket").agg(cut.alias("blocks")).filter("blocks > 1")
+    return (
+        _in_parts(rows, large).select("bucket", "part", "id", "fp", "hashes")
+        .repartition(partitions(rows.sparkSession), "bucket", "part")
+        .sortWithinPartitions("bucket", "part")
+        .mapInArrow(_link_sets(wide_radius(similarity), similarity), "a long, b long")
+    )
 
 
 def deduplicate_similar(
@@ -421,28 +459,44 @@ def deduplicate_similar(
     """docs with one row for each group of near copies: the one with the smallest id, null
     first. Groups are joined by links of at least the Jaccard similarity of whole sets of
     word shingles; texts with equal sets are one group. Null and wordless texts are one
-    group; an empty table stays empty; all columns are kept.
+    group; repeated rows are one; an empty table stays empty; all columns are kept.
 
-    A pair at the similarity itself is compared with the probability RECALL, one above it
-    with a higher one, at any number of documents.
+    Wide SimHash fingerprints are compared bit-sliced where MinHash keys agree; what is then
+    linked by chains is compared again on whole sets. A pair at the similarity itself is
+    compared with a probability of RECALL, less what DEVIATIONS leaves out; one above it
+    with a higher one, at any number of documents. Ids and fingerprints are shuffled; texts
+    only where the ids that go are too many for a broadcast.
     """
     bounded_batches(docs.sparkSession)
-    tables = int(np.ceil(np.log(1 - RECALL) / np.log(1 - similarity**KEY_ROWS)))
-    text = F.col(f"`{text_col}`")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    sketch = _sketch_column(text, shingle_words, tables).alias("s")
-    rows, _ = save(docs.select(key_of(id_col).alias("key"), sketch).select("key", "s.*"), "sketches")
-    light = rows.select("key", "fp", "keys", F.expr("length(hashes) div 8").alias("size"))
+    key, text = key_of(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text")
+    text_hash = F.xxhash64(text).alias("text_hash")
+    sketch = _sketch(shingle_words, key_tables(similarity))
+    rows, _ = save(docs.select(key, text_hash, text).mapInArrow(sketch, _SKETCHES), "sketches")
+    place = F.struct("key", "text_hash")
     nodes, _ = save(
-        light.groupBy("fp").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-        .withColumn("id", F.monotonically_increasing_id()),
+        rows.groupBy("digest").agg(F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("fp", "size", "keys")))
+        .select("place.*", "fp", "size", "keys", F.monotonically_increasing_id().alias("id")),
         "nodes",
     )
-    roots = components(similar_links(nodes, rows, similarity)).withColumnRenamed("node", "id")
-    rooted = nodes.select("fp", "key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    keepers = rooted.groupBy("root").agg(F.min(F.struct("key", "fp")).alias("k")).select("k.*")
-    keyed = docs.select(row, key_of(id_col).alias("key"), _set_column(text, shingle_words).alias("fp"))
-    kept = keyed.join(keepers, ["key", "fp"]).dropDuplicates(["key", "fp"])
+    repeated, _ = save(rows.groupBy("key", "text_hash").count().filter("count > 1").drop("count"), "repeated-rows")
+    n_repeated = repeated.count()
+
+    groups, _ = save(similar_groups(nodes, similarity).join(nodes.drop("keys"), "id"), "groups")
+    wanted = small(groups.drop("size"), groups.count(), 160)
+    members = docs.select(key, text_hash, text).join(wanted, ["key", "text_hash"])
+    sets = members.select("bucket", "id", "fp", "text").mapInArrow(_sets(shingle_words), "bucket long, id long, fp binary, hashes binary")
+    sets = sets.dropDuplicates(["id"]) if n_repeated else sets
+    roots = components(similar_links(sets, groups.select("bucket", "size"), similarity)).withColumnRenamed("node", "id")
+
+    rooted = nodes.select("key", "text_hash", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    keepers = rooted.groupBy("root").agg(F.min(place).alias("place")).select("place.*")
+    gone, _ = save(rows.select("key", "text_hash").distinct().join(keepers, ["key", "text_hash"], "left_anti"), "near-copies")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    kept = docs.select(row, key, text_hash).join(small(gone, gone.count(), 32), ["key", "text_hash"], "left_anti")
+    if n_repeated:
+        again = small(repeated, n_repeated, 32)
+        once = kept.join(again, ["key", "text_hash"], "left_semi").dropDuplicates(["key", "text_hash"])
+        kept = kept.join(again, ["key", "text_hash"], "left_anti").unionByName(once)
     return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
