@@ -282,3 +282,118 @@ def test_audit_append(spark, tmp_path):
     tables.append_events(rows.filter("id = 2"), path)
     got = sorted((r.id, r.outcome, r.severity, r.metadata, str(r.date)) for r in tables.read_table(spark, path).collect())
     assert got == [(1, "SUCCESS", "INFO", "{}", "2024-01-01"), (2, "FAILURE", "INFO", "{}", "2024-01-02"), (2, "FAILURE", "INFO", "{}", "2024-01-02")]
+
+
+def test_records(spark):
+    """Bounds and lists of values of all fields; what is optional may be null or absent."""
+    kind = "title string, problem_description string, root_cause string, actions_taken string, lessons_learned string, importance string, visibility string, tags array<string>"
+    good = ("ok", "p" * 10, None, "a" * 10, "l" * 10, "HIGH", "organization", [])
+    rows = [good, ("ok", "p" * 10, "r" * 2001, "a" * 10, "l" * 10, "high", "public", ["t"] * 21), (None, "p" * 9, "r", "a" * 5001, "l" * 3001, None, None, ["t" * 101])]
+    df = spark.createDataFrame(rows, kind)
+    got = [r.x for r in df.select(filters.violated_rules("experience", df).alias("x")).collect()]
+    assert got[0] == [] and got[1] == ["root_cause", "importance", "visibility", "tags"]
+    assert got[2] == ["title", "problem_description", "actions_taken", "lessons_learned", "tags"]
+    article = spark.createDataFrame([("t", "c" * 10, "s" * 1001)], "title string, content string, summary string")
+    assert article.select(filters.violated_rules("knowledge", article).alias("x")).first().x == ["title", "summary"]
+
+
+def test_superadmins_pass_unlisted_codes(spark):
+    users = spark.createDataFrame([(1, True), (2, False)], "id int, is_superadmin boolean")
+    held = spark.createDataFrame([(2, "doc.read")], "user_id int, code string")
+    asked = spark.createDataFrame([(1, ["no.such"]), (2, ["no.such", "doc.read"]), (3, ["doc.read"])], "user_id int, codes array<string>")
+    got = {r.user_id: (r.has_all, r.has_any) for r in access.check_permissions(held, asked, users).collect()}
+    assert got == {1: (True, True), 2: (False, True), 3: (False, False)}
+    assert [r.id for r in access.has_permission(users, held, "no.such").collect()] == [1]
+    requests = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (None, "a"), (2, None)], "user_id int, target string")
+    allowed = access.permitted_requests(requests, held, users, {"a": "doc.read", "b": "doc.write"}, "target").collect()
+    assert {(r.user_id, r.target): r.permitted for r in allowed} == {(1, "a"): True, (2, "a"): True, (2, "b"): False, (None, "a"): False, (2, None): False}
+
+
+def test_stored_duplicates(spark):
+    incoming = spark.createDataFrame([(10, "o", "x"), (11, "o", "y"), (12, "o", "y"), (13, "p", "x")], "id int, organization_id string, sha256 string")
+    stored = spark.createDataFrame([(1, "o", "x", None), (2, "o", "y", dt.datetime(2024, 1, 1))], "id int, organization_id string, sha256 string, deleted_at timestamp")
+    assert {r.id: r.existing_id for r in index.duplicate_uploads(incoming, stored).collect()} == {10: 1, 11: None, 12: 11, 13: None}
+
+
+def test_summary_counts_pages_without_chunks(spark):
+    documents = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    pages = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 1, False)], "source_id int, page int, ocr_used boolean")
+    chunks = spark.createDataFrame([(1, 1)], "source_id int, page int")
+    got = {r.id: tuple(r)[1:] for r in access.ingest_summary(documents, pages, chunks).collect()}
+    assert got == {1: (2, 1, True, "completed"), 2: (1, 0, False, "failed"), 3: (0, 0, False, "failed")}
+
+
+def test_embedding_texts(spark):
+    row = {n: F.lit(v) for n, v in {"title": "t", "subject": "", "problem_description": "p", "actions_taken": "a", "lessons_learned": "l", "suggestion": "s"}.items()}
+    got = spark.range(1).select(tx.experience_embedding_text(row, False).alias("a"), tx.experience_embedding_text(row, True).alias("b")).first()
+    assert got.a == "t\np\nl\na" and got.b == "t\n\np\n\na\n\nl\n\ns"
+
+
+def test_null_and_large_keys_have_their_own_limits(spark):
+    rows = [(key, "x", t, 100 * n + i) for n, key in enumerate((None, 2**60, 2**60 + 1)) for i, t in enumerate(minutes(*range(4)))]
+    df = spark.createDataFrame(rows, "key long, action string, ts timestamp, id long")
+    got = {r.id: (r.key, r.allowed, r.remaining, r.reset_at) for r in replay.sliding_log_limit(df, {"default": (2, 30)}).collect()}
+    assert len(got) == 12
+    for key, _, ts, i in rows:
+        assert got[i] == (key, i % 100 < 2, max(0, 1 - i % 100), ts + dt.timedelta(minutes=30))
+
+
+def test_lockout_from_stored_state(spark):
+    rows = [(u, t, 10 * n + i, True) for n, u in enumerate((None, 2**60, 2**60 + 1, 3)) for i, t in enumerate(minutes(0, 20))]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp, id long, success boolean")
+    locked = dt.datetime(2024, 1, 1, 10, 10)
+    users = spark.createDataFrame([(2**60, True, 4, locked, None), (2**60 + 1, True, None, None, locked), (3, False, 2, None, locked)], "id long, is_active boolean, failed_login_attempts int, locked_until timestamp, last_login timestamp")
+    got = {r.id: (r.user_id, r.outcome, r.failures, r.locked_until, r.last_login) for r in replay.login_lockout(df, users).collect()}
+    first, second = minutes(0, 20)
+    assert got[0] == (None, "user_not_found", 0, None, None) and got[30] == (3, "account_inactive", 2, None, locked)
+    assert got[10] == (2**60, "account_locked", 4, locked, None) and got[11] == (2**60, "success", 0, None, second)
+    assert got[20] == (2**60 + 1, "success", 0, None, first)
+
+
+def test_stamps_of_articles(spark):
+    steps = [("UNDER_REVIEW", True), ("APPROVED", False), ("APPROVED", True), ("DRAFT", True), ("UNDER_REVIEW", True), ("APPROVED", True), ("PUBLISHED", True), ("ARCHIVED", True)]
+    df = spark.createDataFrame([(1, i, t, 100 + i, 1000 + i, ok) for i, (t, ok) in enumerate(steps)], "item_id int, seq long, target string, user_id long, ts long, permitted boolean")
+    got = {r.seq: r for r in workflow.knowledge_transitions(df).collect()}
+    assert [got[i].accepted for i in range(8)] == [ok for _, ok in steps]
+    assert (got[2].reviewed_by, got[2].approved_at, got[3].reviewed_by) == (102, 1002, 102)
+    assert (got[4].reviewed_by, got[4].reviewed_at, got[4].approved_by) == (None, None, 102)
+    assert (got[7].approved_by, got[7].published_by, got[7].archived_at) == (105, 106, 1007)
+
+
+def test_stamps_of_lessons(spark):
+    steps = [("submit", "n0", True), ("approve", "n1", True), ("reject", None, True), ("publish", "n3", True), ("archive", None, True), ("approve", "n5", False)]
+    df = spark.createDataFrame([(1, i, a, 1000 + i, 100 + i, n, ok) for i, (a, n, ok) in enumerate(steps)], "item_id int, seq long, action string, ts long, user_id long, notes string, permitted boolean")
+    r = workflow.experience_transitions(df).first()
+    assert (r.status, r.submitted_by, r.approved_at, r.reviewed_by, r.review_notes, r.archived_at, r.embedding_cleared) == ("ARCHIVED", 100, 1001, 102, "n1", 1004, True)
+    again = workflow.experience_transitions(df.unionByName(df.filter("action = 'publish'").withColumn("seq", F.lit(9).cast("long")))).first()
+    assert (again.status, again.embedding_cleared) == ("PUBLISHED", False)
+
+
+def test_runs_of_jobs(spark):
+    jobs = spark.createDataFrame([(1, "PENDING", 0, 3), (2, "PENDING", 2, 3), (3, "PENDING", 0, 3), (4, "PROCESSING", 1, 3)], "id int, status string, retry_count int, max_retries int")
+    t = minutes(*range(6))
+    runs = spark.createDataFrame([(1, False, t[0], t[1]), (1, True, t[2], t[3]), (2, False, t[4], t[5]), (3, False, t[0], t[1])], "job_id int, ok boolean, started_at timestamp, ended_at timestamp")
+    got = {r.id: tuple(r)[1:] for r in workflow.job_outcomes(jobs, runs).collect()}
+    assert got == {1: (1, "COMPLETED", t[2], t[3]), 2: (3, "FAILED", t[4], t[5]), 3: (1, "PENDING", t[0], None), 4: (1, "PROCESSING", None, None)}
+
+
+def test_tables_of_text_and_damaged_archives(spark, stored, tmp_path):
+    raw = stored[1]["c.pptx"]
+    at = raw.index(b"slide 2")
+    made = {
+        "a.csv": b"x;y;z\n1,5;2;3\n", "b.csv": b"x\ty\n1\t2\n", "c.csv": b"one cell, as prose\n\nwithout any order", "d.csv": b'big,"' + b"x" * 200_000 + b'"\n',
+        "e.csv": b"", "f.pptx": raw[:at] + b"SLIDE 9" + raw[at + 7 :], "g.pptx": raw[: len(raw) // 2],
+    }
+    df = spark.createDataFrame([(n, n, bytearray(b)) for n, b in made.items()] + [("h.csv", "h.csv", None)], "source_id string, file_name string, content binary")
+    text = {r.source_id: r.text for r in files.csv_pages(df.filter("file_name LIKE '%.csv'")).collect()}
+    assert text["a.csv"] == "x | y | z\n1,5 | 2 | 3" and text["b.csv"] == "x | y\n1 | 2" and len(text["d.csv"]) == 200_006 and "h.csv" not in text
+    assert text["c.csv"].startswith("one cell") and text["e.csv"] == ""
+    assert files.office_pages(df.filter("file_name LIKE '%.pptx'")).count() == 0
+    assert files.plain_text_pages(df.filter("file_name = 'h.csv'")).count() == 0
+
+
+def test_large_files_are_named_not_dropped(spark, stored):
+    found = files.read_files(spark, stored[0], most_bytes=10).withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    rows = {r.file_name: r for r in found.select("file_name", "length", F.col("content").isNull().alias("none"), filters.upload_problem(F.col("file_name"), F.col("length"), 10).alias("problem")).collect()}
+    assert set(rows) == set(stored[1]) and not rows["a.txt"].none and rows["a.txt"].problem is None
+    assert rows["c.pptx"].none and rows["c.pptx"].problem == "too_big" and rows["c.pptx"].length == len(stored[1]["c.pptx"])

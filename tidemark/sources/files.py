@@ -6,6 +6,7 @@ import csv
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,50 +17,77 @@ from tidemark.functions.text import file_extension, strip_markup
 from tidemark.operators.filters import MOST_BYTES, MOST_ZIP_BYTES, ZIP_EXTENSIONS
 
 CELL_JOINER = " | "
+#: Delimiters that a table of text may have, and the rows from which it is guessed.
+DELIMITERS, PREVIEW_ROWS = (",", "\t", "|", ";", "\x1e", "\x1f"), 10
 _SLIDE = re.compile(r"ppt/slides/slide(\d+)\.xml")
 
 
 def read_files(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(path, organization_id, category, length, content) of <org>/<category>/<id>.bin.
-    Files above the size are left out before their content is read."""
+    """(path, organization_id, category, length, content) of <org>/<category>/<id>.bin. Of
+    files above the size the content is null and is never read; upload_problem names them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     part = lambda n: F.regexp_extract("path", r"([^/]+)/(documents|experiences)/[^/]+$", n)
-    return files.filter(F.col("length") <= most_bytes).select(
-        "path", part(1).alias("organization_id"), part(2).alias("category"), "length", "content"
-    )
+    named = lambda df, content: df.select("path", part(1).alias("organization_id"), part(2).alias("category"), "length", content)
+    fits = F.col("length") <= most_bytes
+    return named(files.filter(fits), F.col("content")).unionByName(named(files.filter(~fits), F.lit(None).cast("binary").alias("content")))
 
 
 def plain_text_pages(files: DataFrame) -> DataFrame:
-    """(source_id, page, text) of text files: one page, decoded as UTF-8."""
-    return files.select("source_id", F.lit(1).alias("page"), F.decode("content", "UTF-8").alias("text"))
+    """(source_id, page, text) of text files: one page, decoded as UTF-8. Files whose content
+    is null have no page; so it is for the other kinds."""
+    return files.filter("content IS NOT NULL").select("source_id", F.lit(1).alias("page"), F.decode("content", "UTF-8").alias("text"))
 
 
 def _pages(read):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                pages = read(row)
-                yield pd.DataFrame({"source_id": [row.source_id] * len(pages), "page": range(1, len(pages) + 1), "text": pages})
+                if pages := read(row):
+                    yield pd.DataFrame({"source_id": [row.source_id] * len(pages), "page": range(1, len(pages) + 1), "text": pages})
 
     return run
 
 
+def guess_delimiter(text: str) -> str:
+    """The delimiter under which the first rows have the steadiest number of cells, two or
+    more on average; of several the one with the most cells; a comma if there is none."""
+    best, found = None, ","
+    for delimiter in DELIMITERS:
+        sizes = [len(cells) for _, cells in zip(range(PREVIEW_ROWS), csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)) if cells]
+        if not sizes or sum(sizes) / len(sizes) <= 1.99:
+            continue
+        rank = (sum(abs(a - b) for a, b in zip(sizes, sizes[1:])), -sum(sizes) / len(sizes))
+        if best is None or rank < best:
+            best, found = rank, delimiter
+    return found
+
+
 def _csv_text(row) -> list[str]:
+    """The rows of a file; a file that is no table is one page of plain text."""
+    csv.field_size_limit(1 << 62)
     text = bytes(row.content).decode("utf-8", "replace").strip()
-    return ["\n".join(CELL_JOINER.join(cells) for cells in csv.reader(io.StringIO(text)))]
+    try:
+        rows = csv.reader(io.StringIO(text, newline=""), delimiter=guess_delimiter(text))
+        return ["\n".join(map(CELL_JOINER.join, rows))]
+    except csv.Error:
+        return [text]
 
 
 def csv_pages(files: DataFrame) -> DataFrame:
     """One page a file: cells joined by bars, rows by newlines; ragged rows and quoted
-    newlines are kept."""
-    return files.select("source_id", "content").mapInPandas(_pages(_csv_text), "source_id string, page int, text string")
+    newlines are kept. The delimiter is guessed from the first rows."""
+    return files.filter("content IS NOT NULL").select("source_id", "content").mapInPandas(_pages(_csv_text), "source_id string, page int, text string")
 
 
 def _office_parts(row) -> list[str]:
+    """Texts of an archive's pages; an archive that is damaged anywhere in them has none."""
     try:
-        archive = zipfile.ZipFile(io.BytesIO(bytes(row.content)))
-    except zipfile.BadZipFile:
+        return _parts_of(zipfile.ZipFile(io.BytesIO(bytes(row.content))), row)
+    except (zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, ValueError):
         return []
+
+
+def _parts_of(archive: zipfile.ZipFile, row) -> list[str]:
     with archive:
         if row.extension == "odt":
             names = ["content.xml"] if "content.xml" in archive.namelist() else []
@@ -71,7 +99,7 @@ def _office_parts(row) -> list[str]:
 def office_pages(files: DataFrame) -> DataFrame:
     """Pages of pptx files, a slide each in the order of their numbers, and of odt files,
     one page. Files (source_id, file_name, content); markup is stripped by Spark."""
-    rows = files.select("source_id", file_extension(F.col("file_name")).alias("extension"), "content")
+    rows = files.filter("content IS NOT NULL").select("source_id", file_extension(F.col("file_name")).alias("extension"), "content")
     xml = rows.mapInPandas(_pages(_office_parts), "source_id string, page int, text string")
     return xml.withColumn("text", strip_markup(F.col("text")))
 
@@ -80,7 +108,7 @@ def _zip_stats(content: bytes) -> tuple[bool, int, int, int]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             entries = archive.infolist()
-    except zipfile.BadZipFile:
+    except (zipfile.BadZipFile, ValueError, OSError):
         return False, 0, 0, 0
     unsafe_at = over_at = len(entries)
     total = 0
@@ -97,7 +125,7 @@ def _zip_stats(content: bytes) -> tuple[bool, int, int, int]:
 def zip_stats(files: DataFrame) -> DataFrame:
     """files with stats (readable, entries, unsafe_at, over_at) of zip containers: the
     first entry with an unsafe path, and the first that passes the unpacked size (the
-    number of entries if none). Other files have null stats."""
+    number of entries if none). Other files, and those without content, have null stats."""
     kind = "struct<readable:boolean,entries:int,unsafe_at:int,over_at:int>"
 
     @F.pandas_udf(kind)
@@ -105,5 +133,5 @@ def zip_stats(files: DataFrame) -> DataFrame:
         rows = [_zip_stats(bytes(c)) for c in contents]
         return pd.DataFrame(rows, columns=["readable", "entries", "unsafe_at", "over_at"])
 
-    is_zip = file_extension(F.col("file_name")).isin(*ZIP_EXTENSIONS)
+    is_zip = file_extension(F.col("file_name")).isin(*ZIP_EXTENSIONS) & F.col("content").isNotNull()
     return files.withColumn("stats", F.when(is_zip, look(F.coalesce("content", F.lit("").cast("binary")))))
