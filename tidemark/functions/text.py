@@ -122,14 +122,21 @@ def limiter_key(ip: Column, suffix: Column) -> Column:
     return F.concat(F.coalesce(ip, F.lit("unknown")), F.lit(":"), suffix)
 
 
-def experience_text(row: dict[str, Column], tags: Column, labelled: bool = True) -> Column:
+def experience_text(row: dict[str, Column], tags: Column) -> Column:
     """Fields of a lesson, each after its label, empty optional ones skipped."""
-    part = lambda label, c: F.when(c != "", F.concat(F.lit(label if labelled else ""), c))
+    part = lambda label, c: F.when(c != "", F.concat(F.lit(label), c))
     parts = [part(EXPERIENCE_LABELS[name], row[name]) for name in EXPERIENCE_LABELS if name in row]
-    joined = F.when(F.size(tags) > 0, F.concat(F.lit(TAGS_LABEL if labelled else ""), F.array_join(tags, TAG_JOINER)))
+    joined = F.when(F.size(tags) > 0, F.concat(F.lit(TAGS_LABEL), F.array_join(tags, TAG_JOINER)))
     return F.concat_ws("\n\n", *parts, joined)
 
 
+def experience_embedding_text(row: dict[str, Column], published: bool) -> Column:
+    """What the vector of a lesson is made of: all fields in order when it is published, at
+    first its title, problem, lessons and actions only; without labels and tags."""
+    names = list(EXPERIENCE_LABELS) if published else ["title", "problem_description", "lessons_learned", "actions_taken"]
+    return F.concat_ws("\n\n" if published else "\n", *(F.when(row[n] != "", row[n]) for n in names if n in row))
+
+
 def excerpt(text: Column, chars: int = EXCERPT_CHARS) -> Column:
     return F.substring(text, 1, chars)
 

@@ -41,20 +41,37 @@ def effective_permissions(
     return granted.unionByName(supers).distinct()
 
 
-def check_permissions(permissions: DataFrame, required: DataFrame) -> DataFrame:
-    """(user_id, has_all, has_any) of required (user_id, codes); no grants: denied."""
+def check_permissions(permissions: DataFrame, required: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """(user_id, has_all, has_any) of required (user_id, codes); no grants: denied. With
+    users (id, is_superadmin), a superadmin passes whatever is asked, listed or not."""
     own = permissions.groupBy("user_id").agg(F.collect_set("code").alias("own"))
     held = F.coalesce("own", F.array().cast("array<string>"))
-    return required.join(own, "user_id", "left").select(
+    rows, anything = required.join(own, "user_id", "left"), F.lit(False)
+    if users is not None:
+        supers = users.filter("is_superadmin").select(F.col("id").alias("user_id"), F.lit(True).alias("anything")).distinct()
+        rows, anything = rows.join(supers, "user_id", "left"), F.coalesce("anything", F.lit(False))
+    return rows.select(
         "user_id",
-        (F.size(F.array_except("codes", held)) == 0).alias("has_all"),
-        F.arrays_overlap("codes", held).alias("has_any"),
+        (anything | (F.size(F.array_except("codes", held)) == 0)).alias("has_all"),
+        (anything | F.coalesce(F.arrays_overlap("codes", held), F.lit(False))).alias("has_any"),
     )
 
 
 def has_permission(users: DataFrame, permissions: DataFrame, code: str) -> DataFrame:
-    """The users who hold the code."""
-    return users.join(permissions.filter(F.col("code") == code), users["id"] == permissions["user_id"], "left_semi")
+    """The users who hold the code; superadmins hold every code, listed or not."""
+    able = permissions.filter(F.col("code") == code).select(F.col("user_id").alias("id"), F.lit(True).alias("able")).distinct()
+    rows = users.join(able, "id", "left")
+    return rows.filter(F.coalesce("able", F.lit(False)) | F.col("is_superadmin")).drop("able")
+
+
+def permitted_requests(requests: DataFrame, permissions: DataFrame, users: DataFrame, codes: dict[str, str], what: str) -> DataFrame:
+    """requests (user_id, ...) with permitted: whether the user holds the code that codes
+    gives for the value of the column what, or is a superadmin."""
+    need = F.element_at(F.create_map(*(F.lit(x) for kv in codes.items() for x in kv)), F.col(what))
+    able = permissions.select("user_id", F.col("code").alias("need"), F.lit(True).alias("able")).distinct()
+    supers = users.filter("is_superadmin").select(F.col("id").alias("user_id"), F.lit(True).alias("anything")).distinct()
+    rows = requests.withColumn("need", need).join(able, ["user_id", "need"], "left").join(supers, "user_id", "left")
+    return rows.withColumn("permitted", F.coalesce("able", "anything", F.lit(False))).drop("need", "able", "anything")
 
 
 def role_matrix(defaults: DataFrame, roles: DataFrame, permissions: DataFrame) -> DataFrame:
@@ -138,16 +155,20 @@ def scanned_documents(pages: DataFrame, documents: DataFrame, least: int = 20) -
     return rows.select("id", F.coalesce("n", F.lit(0).cast("long")).alias("page_count"), mean.alias("mean_chars"), (mean < least).alias("needs_ocr"))
 
 
-def ingest_summary(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(id, page_count, chunk_count, status): failed if a document gave no chunk."""
-    counts = chunks.groupBy(F.col("source_id").alias("id")).agg(
-        F.count("*").alias("chunks"), F.max("page").cast("long").alias("pages")
-    )
+def ingest_summary(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, page_count, chunk_count, ocr_used, status): failed if a document gave no chunk.
+    pages (source_id, page, and ocr_used where some text was recognised) are the extracted
+    ones, with or without chunks."""
+    id_of = F.col("source_id").alias("id")
+    ocr = F.bool_or("ocr_used") if "ocr_used" in pages.columns else F.lit(False)
+    extracted = pages.groupBy(id_of).agg(F.count("*").alias("pages"), ocr.alias("ocr"))
+    counts = chunks.groupBy(id_of).agg(F.count("*").alias("chunks"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     status = F.when(zero("chunks") > 0, "completed").otherwise("failed")
-    return documents.select("id").join(counts, "id", "left").select(
-        "id", zero("pages").alias("page_count"), zero("chunks").alias("chunk_count"), status.alias("status")
-    )
+    return documents.select("id").join(extracted, "id", "left").join(counts, "id", "left").select(
+        "id", zero("pages").alias("page_count"), zero("chunks").alias("chunk_count"),
+        F.coalesce("ocr", F.lit(False)).alias("ocr_used"), status.alias("status"),
+    )
 
 
 def conversation_rollup(messages: DataFrame) -> DataFrame:

@@ -12,13 +12,17 @@ EXTENSIONS = "pdf docx doc xlsx xls pptx txt csv md rtf odt png jpg jpeg tiff bm
 ZIP_EXTENSIONS = ("docx", "xlsx", "pptx", "odt")
 MOST_NAME_CHARS, MOST_BYTES = 260, 50 * 1024 * 1024
 MOST_ZIP_ENTRIES, MOST_ZIP_BYTES = 2000, 300 * 1024 * 1024
-IMPORTANCE = ("low", "medium", "high", "critical")
-VISIBILITY = ("public", "department", "private")
+IMPORTANCE = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+VISIBILITY = ("private", "department", "organization")
 ROLE_RANKS = {"member": 0, "manager": 1, "admin": 2}
-#: Least and most characters of fields, by kind of record.
+#: Least and most characters of fields, by kind of record; those of 0 may be absent.
 LENGTHS = {
-    "experience": {"title": (2, 500), "problem_description": (10, 5000), "actions_taken": (10, 5000), "lessons_learned": (10, 3000)},
-    "knowledge": {"content": (10, 10000), "summary": (0, 1000)},
+    "experience": {
+        "title": (2, 500), "subject": (0, 255), "problem_description": (10, 5000), "root_cause": (0, 2000),
+        "actions_taken": (10, 5000), "results": (0, 2000), "lessons_learned": (10, 3000), "suggestion": (0, 2000),
+        "related_equipment": (0, 500), "related_process": (0, 500),
+    },
+    "knowledge": {"title": (2, 500), "subject": (0, 255), "content": (10, 10000), "summary": (0, 1000)},
     "message": {"content": (1, 5000)},
     "search": {"query": (1, 500)},
 }
@@ -45,7 +49,7 @@ def search_users(users: DataFrame, q: str) -> DataFrame:
     return users.filter(has("name") | has("email") | has("username"))
 
 
-def upload_problem(name: Column, size: Column) -> Column:
+def upload_problem(name: Column, size: Column, most_bytes: int = MOST_BYTES) -> Column:
     """The first rule that an upload breaks, or null."""
     unsafe = F.contains(name, F.lit("..")) | F.contains(name, F.lit("/")) | F.contains(name, F.lit("\\"))
     return (
@@ -53,7 +57,7 @@ def upload_problem(name: Column, size: Column) -> Column:
         .when(F.char_length(name) > MOST_NAME_CHARS, "long_name")
         .when(~file_extension(name).isin(EXTENSIONS), "bad_ext")
         .when(size <= 0, "empty")
-        .when(size > MOST_BYTES, "too_big")
+        .when(size > most_bytes, "too_big")
     )
 
 
@@ -68,14 +72,17 @@ def zip_problem(stats: Column) -> Column:
 
 
 def violated_rules(kind: str, df: DataFrame, lengths: dict = LENGTHS) -> Column:
-    """Names of the fields of a record that break a rule."""
+    """Names of the fields of a record that break a rule. Optional fields may be null or no
+    columns of df; importance, visibility and tags that are null take their defaults."""
     checks = []
     for field, (least, most) in lengths[kind].items():
-        value = F.col(field)
+        if field not in df.columns and not least:
+            continue
+        value = F.col(field) if field in df.columns else F.lit(None).cast("string")
         bad = ~F.char_length(value).between(least, most)
         checks.append(F.when(bad | (value.isNull() & F.lit(least > 0)), field))
     for field, allowed in (("importance", IMPORTANCE), ("visibility", VISIBILITY)):
-        if field in df.columns:
+        if field in df.columns and (kind == "experience" or field == "visibility"):
             checks.append(F.when(~F.col(field).isin(*allowed), field))
     if "tags" in df.columns:
         fits = (F.size("tags") <= MOST_TAGS) & F.forall("tags", lambda t: F.char_length(t) <= MOST_TAG_CHARS)
@@ -90,15 +97,17 @@ def live_sessions(sessions: DataFrame, users: DataFrame, as_of: Column) -> DataF
     return rows.join(able.select(F.col("id").alias("user_id")), "user_id")
 
 
-def department_access(resources: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, resource_id) that the department rule allows, within the organisation."""
+def department_access(requests: DataFrame, resources: DataFrame, users: DataFrame) -> DataFrame:
+    """Of the requests (user_id, resource_id) those that the department rule allows, within
+    the organisation. Repeated requests stay."""
     rank = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in ROLE_RANKS.items() for x in kv)), F.col("u.role")), F.lit(-1))
     own = F.col("r.department_id").isNull() | F.col("r.department_id").eqNullSafe(F.col("u.department_id"))
     return (
-        users.alias("u")
-        .join(resources.alias("r"), F.col("u.organization_id") == F.col("r.organization_id"))
+        requests.select("user_id", "resource_id")
+        .join(users.alias("u"), F.col("user_id") == F.col("u.id"))
+        .join(resources.alias("r"), (F.col("resource_id") == F.col("r.id")) & (F.col("u.organization_id") == F.col("r.organization_id")))
         .filter((rank >= 1) | own)
-        .select(F.col("u.id").alias("user_id"), F.col("r.id").alias("resource_id"))
+        .select("user_id", "resource_id")
     )
 
 

@@ -46,13 +46,14 @@ def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 
 
 def duplicate_uploads(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Uploads (id, organization_id, sha256) with existing_id: the live document of the
-    same organisation and content, else the first such upload of the batch, else null.
+    """Uploads (id, organization_id, sha256) with existing_id: the stored document of the
+    same organisation and content whose deleted_at is null, else the first such upload of
+    the batch, else null.
 
     Only ids and hashes are shuffled. The first of a batch is a smallest id by partial
     aggregation, so one file that everybody uploads costs a row a task.
     """
-    live = stored.filter(~F.col("is_deleted")).groupBy("organization_id", "sha256").agg(F.min("id").alias("stored_id"))
+    live = stored.filter("deleted_at IS NULL").groupBy("organization_id", "sha256").agg(F.min("id").alias("stored_id"))
     first = incoming.groupBy("organization_id", "sha256").agg(F.min("id").alias("first_id"))
     known = first.join(live, ["organization_id", "sha256"], "left")
     earlier = F.when(F.col("id") != F.col("first_id"), F.col("first_id"))

@@ -23,47 +23,114 @@ ACTIONS = {
     "publish": "PUBLISHED",
     "archive": "ARCHIVED",
 }
+#: Permissions that the changes need.
+KNOWLEDGE_PERMISSIONS = {
+    "UNDER_REVIEW": "knowledge.update",
+    "APPROVED": "knowledge.approve",
+    "PUBLISHED": "knowledge.publish",
+    "DRAFT": "knowledge.review",
+    "ARCHIVED": "knowledge.update",
+}
+EXPERIENCE_PERMISSIONS = {
+    "submit": "experience.submit",
+    "approve": "experience.approve",
+    "reject": "experience.review",
+    "publish": "experience.publish",
+    "archive": "experience.update",
+}
+#: Stamps that an accepted target sets; submitting clears the reviewer's.
+STAMPS = {"APPROVED": ("reviewed", "approved"), "PUBLISHED": ("published",), "ARCHIVED": ("archived",)}
+CLEARED = {"UNDER_REVIEW": ("reviewed",)}
+#: Stamps that actions on lessons set, and those of them with the name of who acted.
+ACTION_STAMPS = {"submit": "submitted", "approve": "approved", "reject": "reviewed", "publish": "published", "archive": "archived"}
 # ---- end of fixed values
+_STAMPED = ("reviewed", "approved", "published", "archived")
 
 
 def knowledge_transitions(requests: DataFrame) -> DataFrame:
     """(item_id, seq, target, accepted, status) of requests (item_id, seq, target): each is
-    accepted if the status reached so far allows it. Items begin as drafts.
+    accepted if the status reached so far allows it and, where there is a column permitted,
+    that is not false. Items begin as drafts; requests without a target change nothing and
+    are left out. With columns user_id and ts the stamps follow as they are after the
+    request: reviewed_by, reviewed_at and so on; archiving has a time only.
 
-    Requests stream through a task in the order of their item; it holds one status.
+    Requests stream through a task in the order of their item; it holds one status and its
+    stamps.
     """
-    rows = requests.select("item_id", F.col("seq").cast("long").alias("seq"), "target")
+    kinds = dict(requests.dtypes)
+    stamped = "user_id" in kinds and "ts" in kinds
+    permitted = F.coalesce("permitted", F.lit(True)) if "permitted" in kinds else F.lit(True)
+    carried = ["user_id", "ts"] if stamped else []
+    rows = requests.select("item_id", F.col("seq").cast("long").alias("seq"), "target", *carried, permitted.alias("permitted"))
+    stamps = [(f"{s}_{what}", kinds["user_id"] if what == "by" else kinds["ts"]) for s in _STAMPED for what in ("by", "at") if (s, what) != ("archived", "by")] if stamped else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, status = (), "DRAFT"
+        owner, status, now = (), "DRAFT", {}
         for batch in batches:
             accepted, reached = [], []
-            for item, target in zip(batch["item_id"].to_pylist(), batch["target"].to_pylist()):
+            of_stamps = {name: [] for name, _ in stamps}
+            users, times = (batch[c].to_pylist() for c in carried) if stamped else ([None] * len(batch),) * 2
+            for item, target, able, user, ts in zip(batch["item_id"].to_pylist(), batch["target"].to_pylist(), batch["permitted"].to_pylist(), users, times):
                 if (item,) != owner:
-                    owner, status = (item,), "DRAFT"
-                accepted.append(status in ALLOWED_FROM.get(target, ()))
-                status = target if accepted[-1] else status
+                    owner, status, now = (item,), "DRAFT", {}
+                accepted.append(able and status in ALLOWED_FROM.get(target, ()))
+                if accepted[-1]:
+                    status = target
+                    for s in STAMPS.get(target, ()):
+                        now[f"{s}_by"], now[f"{s}_at"] = user, ts
+                    for s in CLEARED.get(target, ()):
+                        now[f"{s}_by"] = now[f"{s}_at"] = None
                 reached.append(status)
-            data = [*batch.columns, pa.array(accepted, pa.bool_()), pa.array(reached, pa.string())]
-            yield pa.RecordBatch.from_arrays(data, names=["item_id", "seq", "target", "accepted", "status"])
+                for name, values in of_stamps.items():
+                    values.append(now.get(name))
+            data = [*batch.select(["item_id", "seq", "target"]).columns, pa.array(accepted, pa.bool_()), pa.array(reached, pa.string())]
+            data += [pa.array(v, batch["user_id" if name.endswith("_by") else "ts"].type) for name, v in of_stamps.items()]
+            yield pa.RecordBatch.from_arrays(data, names=["item_id", "seq", "target", "accepted", "status", *of_stamps])
 
     ordered = rows.filter("target <> ''").repartition("item_id").sortWithinPartitions("item_id", "seq", "target")
-    schema = f"item_id {dict(rows.dtypes)['item_id']}, seq long, target string, accepted boolean, status string"
-    return ordered.mapInArrow(run, schema)
+    schema = f"item_id {kinds['item_id']}, seq long, target string, accepted boolean, status string"
+    return ordered.mapInArrow(run, ", ".join([schema, *(f"{name} {kind}" for name, kind in stamps)]))
 
 
 def experience_transitions(requests: DataFrame) -> DataFrame:
-    """(item_id, status, <action>_at) of requests (item_id, seq, action, ts): the last
-    action sets the status; each action keeps the time it last happened."""
+    """(item_id, status, stamps, review_notes, embedding_cleared) of requests (item_id, seq,
+    action, ts, user_id, notes); where there is a column permitted, those of false change
+    nothing. The last action sets the status, whatever it was before; each action keeps who
+    did it last and when (archiving: when), approving and rejecting their last notes that
+    are not null; after archiving an item has no vector until it is published again."""
     status = F.element_at(F.create_map(*(F.lit(x) for kv in ACTIONS.items() for x in kv)), F.col("action"))
-    stamps = [F.max(F.when(F.col("action") == a, F.col("ts"))).alias(f"{a}_at") for a in ACTIONS]
-    return requests.groupBy("item_id").agg(F.max_by(status, "seq").alias("status"), *stamps)
+    rows = requests.filter(F.coalesce("permitted", F.lit(True))) if "permitted" in requests.columns else requests
+    rows, last = rows.filter(F.col("action").isin(*ACTIONS)), []
+    for action, stamp in ACTION_STAMPS.items():
+        is_it = F.col("action") == action
+        last.append(F.max_by("ts", F.when(is_it, F.col("seq"))).alias(f"{stamp}_at"))
+        if action != "archive":
+            last.append(F.max_by("user_id", F.when(is_it, F.col("seq"))).alias(f"{stamp}_by"))
+    noted = F.col("action").isin("approve", "reject") & F.col("notes").isNotNull()
+    vector = F.max_by(F.col("action") == "archive", F.when(F.col("action").isin("archive", "publish"), F.col("seq")))
+    return rows.groupBy("item_id").agg(
+        F.max_by(status, "seq").alias("status"), *last, F.max_by("notes", F.when(noted, F.col("seq"))).alias("review_notes"),
+        F.coalesce(vector, F.lit(False)).alias("embedding_cleared"),
+    )
 
 
-def job_outcomes(jobs: DataFrame, failures: DataFrame) -> DataFrame:
-    """(id, retry_count, status) after failures (job_id): pending again while retries are
-    left, failed after; a job without failures is completed."""
-    counts = failures.groupBy(F.col("job_id").alias("id")).agg(F.count("*").alias("failed"))
+def job_outcomes(jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(id, retry_count, status, started_at, completed_at) of jobs (id, status, retry_count,
+    max_retries) after runs (job_id, ok, started_at, ended_at). A run that went well
+    completes its job; a failed one counts a retry, and the job is pending again while
+    retries are left, failed after. A job that never ran keeps its status.
+
+    Columns may be missing: without ok all runs failed, without status all jobs were
+    pending, without times the stamps are null.
+    """
+    has = lambda df, name, other: F.col(name) if name in df.columns else F.lit(other)
+    ok, ended = has(runs, "ok", False), has(runs, "ended_at", None).cast("timestamp")
+    counts = runs.groupBy(F.col("job_id").alias("id")).agg(
+        F.count_if(~ok).alias("failed"), F.bool_or(ok).alias("done"), F.max(has(runs, "started_at", None).cast("timestamp")).alias("started_at"),
+        F.max(F.when(ok, ended)).alias("done_at"), F.max(ended).alias("last_at"),
+    )
     n = F.col("retry_count") + F.coalesce("failed", F.lit(0).cast("long"))
-    status = F.when(F.col("failed").isNull(), "COMPLETED").when(n < F.col("max_retries"), "PENDING").otherwise("FAILED")
-    return jobs.join(counts, "id", "left").select("id", n.alias("retry_count"), status.alias("status"))
+    rows = jobs.select("id", "retry_count", "max_retries", has(jobs, "status", "PENDING").alias("own")).join(counts, "id", "left")
+    status = F.when(F.col("failed").isNull(), F.col("own")).when(F.col("done"), "COMPLETED").when(n < F.col("max_retries"), "PENDING").otherwise("FAILED")
+    completed = F.when(status == "COMPLETED", F.col("done_at")).when((status == "FAILED") & F.col("failed").isNotNull(), F.col("last_at"))
+    return rows.select("id", n.alias("retry_count"), status.alias("status"), "started_at", completed.alias("completed_at"))

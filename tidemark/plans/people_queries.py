@@ -57,15 +57,18 @@ def effective_permissions(spark, sf_dir):
 
 
 @query(
-    f"""{P}, {ALL_CODES} SELECT u.id AS user_id, count(DISTINCT code) FILTER (code IN ('a.f.1', 'n.o.2')) = 2 AS has_all,
-    count(DISTINCT code) FILTER (code IN ('a.f.1', 'n.o.2')) > 0 AS has_any FROM users u LEFT JOIN granted g ON g.user_id = u.id GROUP BY u.id"""
+    f"""{P}, {ALL_CODES} SELECT u.id AS user_id, is_superadmin OR (u.id % 5 > 0 AND count(DISTINCT code) FILTER (code IN ('a.f.1', 'n.o.2')) = 2) AS has_all,
+    is_superadmin OR count(DISTINCT code) FILTER (code IN ('a.f.1', 'n.o.2')) > 0 AS has_any
+    FROM users u LEFT JOIN granted g ON g.user_id = u.id GROUP BY u.id, is_superadmin"""
 )
 def check_permissions(spark, sf_dir):
-    required = st.users(spark, sf_dir).select(F.col("id").alias("user_id"), F.array(F.lit("a.f.1"), F.lit("n.o.2")).alias("codes"))
-    return access.check_permissions(_granted(spark, sf_dir), required)
+    """Two codes are asked for, of every fifth user a third one that no table lists."""
+    users, two = st.users(spark, sf_dir), (F.lit("a.f.1"), F.lit("n.o.2"))
+    codes = F.when(F.col("id") % 5 == 0, F.array(*two, F.lit("not.listed"))).otherwise(F.array(*two))
+    return access.check_permissions(_granted(spark, sf_dir), users.select(F.col("id").alias("user_id"), codes.alias("codes")), users)
 
 
-@query(f"{P}, {ALL_CODES} SELECT id FROM users WHERE id IN (SELECT user_id FROM granted WHERE code = 'r.f.3')")
+@query(f"{P}, {ALL_CODES} SELECT id FROM users WHERE is_superadmin OR id IN (SELECT user_id FROM granted WHERE code = 'r.f.3')")
 def has_permission(spark, sf_dir):
     return access.has_permission(st.users(spark, sf_dir), _granted(spark, sf_dir), "r.f.3").select("id")
 
@@ -211,16 +214,20 @@ def live_sessions(spark, sf_dir):
 
 
 @query(
-    f"""{P} SELECT u.id AS user_id, s_suppkey AS resource_id FROM users u JOIN supplier ON s_nationkey % 5 = u.organization_id
+    f"""{P} SELECT u.id AS user_id, s_suppkey AS resource_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    JOIN users u ON u.id = o_custkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey % 5 = u.organization_id
     WHERE u.role IN ('manager', 'admin') OR s_nationkey = u.department_id OR s_suppkey % 3 = 0"""
 )
 def department_access(spark, sf_dir):
-    """Suppliers as resources; every third belongs to no department."""
+    """Suppliers as resources, of which every third belongs to no department; line items as
+    requests of customers for suppliers."""
+    orders = st.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"))
+    requests = st.table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("resource_id")).join(orders, "l_orderkey")
     resources = st.table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("organization_id"),
         F.when(F.col("s_suppkey") % 3 != 0, F.col("s_nationkey")).alias("department_id"),
     )
-    return filters.department_access(resources, st.users(spark, sf_dir))
+    return filters.department_access(requests, resources, st.users(spark, sf_dir))
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 = 0 OR c_nationkey = 7")

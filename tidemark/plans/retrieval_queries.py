@@ -59,19 +59,26 @@ def postings(spark, sf_dir):
 
 
 @query(
-    WITH_CHUNKS
-    + " SELECT chunk_id FROM chunks JOIN docs ON source_id = docs.id WHERE status = 'completed' AND NOT is_deleted"
+    f"{WITH_CHUNKS}, {st.LESSONS_SQL}"
+    + """ SELECT chunk_id FROM chunks JOIN docs ON source_id = docs.id WHERE status = 'completed' AND NOT is_deleted
+    UNION ALL SELECT id * 100000 FROM lessons WHERE lower(status) = 'published' AND NOT is_deleted"""
 )
 def eligible_chunks(spark, sf_dir):
-    return index.eligible_chunks(st.chunks(spark, sf_dir), st.live(spark, sf_dir)).select("chunk_id")
+    """Chunks of documents and of lessons."""
+    return index.eligible_chunks(_all_chunks(spark, sf_dir), st.live(spark, sf_dir)).select("chunk_id")
 
 
 @query(
-    WITH_CHUNKS
-    + " SELECT chunk_id FROM chunks JOIN docs ON source_id = docs.id WHERE NOT (status = 'completed' AND NOT is_deleted)"
+    f"{WITH_CHUNKS}, {st.LESSONS_SQL}"
+    + """ SELECT chunk_id FROM chunks JOIN docs ON source_id = docs.id WHERE NOT (status = 'completed' AND NOT is_deleted)
+    UNION ALL SELECT id * 100000 FROM lessons WHERE NOT (lower(status) = 'published' AND NOT is_deleted)"""
 )
 def orphan_chunks(spark, sf_dir):
-    return index.orphan_chunks(st.chunks(spark, sf_dir), st.live(spark, sf_dir)).select("chunk_id")
+    return index.orphan_chunks(_all_chunks(spark, sf_dir), st.live(spark, sf_dir)).select("chunk_id")
+
+
+def _all_chunks(spark, sf_dir):
+    return st.chunks(spark, sf_dir).select("source_type", "source_id", "chunk_id").unionByName(st.lesson_chunks(spark, sf_dir))
 
 
 @query(
@@ -90,17 +97,20 @@ def replace_index(spark, sf_dir):
 
 @query(
     """WITH d AS (SELECT doc_id, source, sha256(text) AS h FROM documents),
-    m AS (SELECT *, min(doc_id) OVER (PARTITION BY source, h) AS f FROM d)
-    SELECT doc_id AS id, source AS organization_id, h AS sha256, CASE WHEN f <> doc_id THEN f END AS existing_id FROM m"""
+    s AS (SELECT source, h, min(doc_id) AS stored FROM d WHERE doc_id % 5 = 1 AND doc_id % 17 <> 0 GROUP BY ALL),
+    m AS (SELECT *, min(doc_id) OVER (PARTITION BY source, h) AS f FROM d WHERE doc_id % 5 <> 1)
+    SELECT doc_id AS id, source AS organization_id, h AS sha256, coalesce(stored, CASE WHEN f <> doc_id THEN f END) AS existing_id
+    FROM m LEFT JOIN s USING (source, h)"""
 )
 def duplicate_uploads(spark, sf_dir):
+    """A fifth of the documents are stored, of them some deleted; the others are uploaded."""
     docs = st.documents(spark, sf_dir)
-    rows = docs.select("id", "organization_id", tx.content_sha256(F.col("text")).alias("sha256"), "is_deleted")
-    return index.duplicate_uploads(rows.drop("is_deleted"), rows.filter("false"))
+    rows = docs.select("id", "organization_id", tx.content_sha256(F.col("text")).alias("sha256"), "deleted_at")
+    return index.duplicate_uploads(rows.filter("id % 5 <> 1").drop("deleted_at"), rows.filter("id % 5 = 1"))
 
 
 @query(
-    """WITH d AS (SELECT doc_id, source, sha256(text) AS h, coalesce(quality = 1, false) AS stored, coalesce(toxic = 1, false) AS gone
+    """WITH d AS (SELECT doc_id, source, sha256(text) AS h, coalesce(quality = 1, false) AS stored, doc_id % 17 = 0 AS gone
               FROM documents LEFT JOIN labels USING (doc_id)),
     s AS (SELECT source, h, min(doc_id) AS f FROM d WHERE stored AND NOT gone GROUP BY ALL)
     SELECT doc_id AS id, coalesce(f, CASE WHEN doc_id <> e THEN e END) AS existing_id
@@ -109,19 +119,20 @@ def duplicate_uploads(spark, sf_dir):
 def duplicate_uploads_of_stored(spark, sf_dir):
     """Documents without a good label as uploads, those with one as stored."""
     docs = st.documents(spark, sf_dir)
-    rows = docs.select("id", "organization_id", tx.content_sha256(F.col("text")).alias("sha256"), "is_deleted", "status")
+    rows = docs.select("id", "organization_id", tx.content_sha256(F.col("text")).alias("sha256"), "deleted_at", "status")
     uploads = rows.filter("status <> 'completed'").select("id", "organization_id", "sha256")
     return index.duplicate_uploads(uploads, rows.filter("status = 'completed'")).select("id", "existing_id")
 
 
 @query(
     WITH_CHUNKS
-    + """ SELECT id, coalesce(max(page), 0)::BIGINT AS page_count, count(source_id) AS chunk_count,
+    + """ SELECT id, max(len(string_split(text, chr(10)))) AS page_count, count(source_id) AS chunk_count,
+    bool_or(len(list_filter(string_split(text, chr(10)), lambda t: length(t) < 10)) > 0) AS ocr_used,
     CASE WHEN count(source_id) > 0 THEN 'completed' ELSE 'failed' END AS status
     FROM docs LEFT JOIN chunks ON source_id = id GROUP BY id"""
 )
 def ingest_summary(spark, sf_dir):
-    return access.ingest_summary(st.documents(spark, sf_dir), st.chunks(spark, sf_dir))
+    return access.ingest_summary(st.documents(spark, sf_dir), st.pages(spark, sf_dir), st.chunks(spark, sf_dir))
 
 
 @query(
@@ -133,11 +144,12 @@ def strip_markup(spark, sf_dir):
 
 
 @query(
-    """SELECT page_id AS id, 1::BIGINT AS page_count, length(trim(html))::DOUBLE AS mean_chars, length(trim(html)) < 20 AS needs_ocr FROM pages"""
+    """WITH p AS (SELECT doc_id AS id, list_transform(string_split(text, chr(10)), lambda t: length(trim(t))) AS n FROM documents)
+    SELECT id, len(n) AS page_count, round(list_sum(n) / len(n), 6) AS mean_chars, list_sum(n) / len(n) < 20 AS needs_ocr FROM p"""
 )
 def scanned_documents(spark, sf_dir):
-    pages = st.table(spark, sf_dir, "pages").select(F.col("page_id").alias("source_id"), F.col("html").alias("text"))
-    return access.scanned_documents(pages, pages.select(F.col("source_id").alias("id")))
+    found = access.scanned_documents(st.pages(spark, sf_dir), st.documents(spark, sf_dir))
+    return found.withColumn("mean_chars", F.round("mean_chars", 6))
 
 
 @query(
@@ -251,8 +263,8 @@ def citation_records(spark, sf_dir):
 
 @query(
     HYBRID
-    + """ SELECT query_id, coalesce('منبع' || 'ها:' || NULL, 'منابع:' || chr(10) ||
-      string_agg(rank || '. ' || source_title || chr(10) || '   صفحه 1', chr(10) ORDER BY rank)) AS citation_text
+    + """ SELECT query_id, 'منابع:' || chr(10) ||
+      string_agg(rank || '. ' || source_title || chr(10) || '   صفحه 1', chr(10) ORDER BY rank) AS citation_text
     FROM ranked GROUP BY query_id"""
 )
 def citation_text(spark, sf_dir):

@@ -303,15 +303,39 @@ def validate_messages(spark, sf_dir):
 
 @query(
     """SELECT doc_id, concat_ws(',', CASE WHEN length(substr(text, 1, 40 * (doc_id % 20))) NOT BETWEEN 2 AND 500 THEN 'title' END,
-      CASE WHEN length(text) NOT BETWEEN 10 AND 5000 THEN 'problem_description' END, CASE WHEN length(text) NOT BETWEEN 10 AND 5000 THEN 'actions_taken' END,
-      CASE WHEN length(text) NOT BETWEEN 10 AND 3000 THEN 'lessons_learned' END, CASE WHEN lang NOT IN ('low', 'medium', 'high', 'critical') THEN 'importance' END,
+      CASE WHEN length(lang || text) > 255 THEN 'subject' END, CASE WHEN length(text) NOT BETWEEN 10 AND 5000 THEN 'problem_description' END,
+      CASE WHEN doc_id % 3 > 0 AND length(text) > 2000 THEN 'root_cause' END, CASE WHEN length(text) NOT BETWEEN 10 AND 5000 THEN 'actions_taken' END,
+      CASE WHEN length(text) > 2000 THEN 'results' END, CASE WHEN length(text) NOT BETWEEN 10 AND 3000 THEN 'lessons_learned' END,
+      CASE WHEN length(text) > 2000 THEN 'suggestion' END, CASE WHEN length(text) > 500 THEN 'related_equipment' END,
+      CASE WHEN length(text) > 500 THEN 'related_process' END,
+      CASE WHEN doc_id % 6 = 4 THEN 'importance' END, CASE WHEN doc_id % 5 = 3 THEN 'visibility' END,
       CASE WHEN len(string_split(text, chr(10))) > 20 OR len(list_filter(string_split(text, chr(10)), lambda t: length(t) > 100)) > 0 THEN 'tags' END) AS problems FROM documents"""
 )
 def validate_records(spark, sf_dir):
-    """Documents as lessons: parts of the text as title, lines as tags, the language as importance."""
-    text = F.col("text")
+    """Documents as lessons: the text or parts of it in all fields, lines as tags; some root
+    causes, importances and visibilities are null, which is allowed."""
+    text, number = F.col("text"), F.col("doc_id")
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+    whole = "problem_description actions_taken results lessons_learned suggestion related_equipment related_process"
     rows = st.table(spark, sf_dir, "documents").select(
-        "doc_id", F.expr("substring(text, 1, cast(40 * (doc_id % 20) as int))").alias("title"), text.alias("problem_description"),
-        text.alias("actions_taken"), text.alias("lessons_learned"), F.col("lang").alias("importance"), F.split("text", "\n").alias("tags"),
+        "doc_id", F.expr("substring(text, 1, cast(40 * (doc_id % 20) as int))").alias("title"), F.concat("lang", "text").alias("subject"),
+        F.when(number % 3 > 0, text).alias("root_cause"), *(text.alias(name) for name in whole.split()),
+        pick("LOW", "MEDIUM", "HIGH", "CRITICAL", "low", None).alias("importance"),
+        pick("private", "department", "organization", "public", None).alias("visibility"), F.split("text", "\n").alias("tags"),
     )
     return rows.select("doc_id", F.array_join(filters.violated_rules("experience", rows), ",").alias("problems"))
+
+
+@query(
+    """SELECT doc_id, concat_ws(',', CASE WHEN length(text) NOT BETWEEN 2 AND 500 THEN 'title' END,
+      CASE WHEN length(text) NOT BETWEEN 10 AND 10000 THEN 'content' END, CASE WHEN doc_id % 2 = 0 AND length(text) > 1000 THEN 'summary' END,
+      CASE WHEN doc_id % 4 = 3 THEN 'visibility' END) AS problems FROM documents"""
+)
+def validate_knowledge(spark, sf_dir):
+    """Documents as articles, without subject and tags."""
+    visibility = F.element_at(F.array(*map(F.lit, ("private", "department", "organization", "PRIVATE"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = st.table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("text").alias("title"), F.col("text").alias("content"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("summary"),
+        visibility.alias("visibility"), F.lit("none of its fields").alias("importance"),
+    )
+    return rows.select("doc_id", F.array_join(filters.violated_rules("knowledge", rows), ",").alias("problems"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import chunking, index
 
-ORGANIZATIONS = ("src0", "src1", "src2")
+#: Number of sources of documents, named src0 and so on.
+ORGANIZATIONS = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +27,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang",
         status.alias("status"),
         F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("is_deleted"),
+        F.when(F.col("doc_id") % 17 == 0, F.to_timestamp(F.lit("2024-01-10 00:00:00"))).alias("deleted_at"),
     )
 
 
 DOCUMENTS_SQL = """docs AS (
   SELECT doc_id AS id, source AS organization_id, lang || '-' || doc_id AS title, text, lang,
          CASE quality WHEN 1 THEN 'completed' WHEN 0 THEN 'failed' ELSE 'pending' END AS status,
-         coalesce(toxic = 1, false) AS is_deleted
+         coalesce(toxic = 1, false) AS is_deleted, doc_id % 17 = 0 AS listed_as_deleted
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
@@ -85,10 +87,41 @@ chunks AS (
   FROM steps JOIN headed d ON steps.id = d.id WHERE closed IS NOT NULL)"""
 
 
+def lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lessons: the last said question and answer, by code point, as
+    problem and action; ids are negative, so that none is a document's."""
+    said = lambda role: F.max(F.when(F.col("role") == role, F.col("text")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said("user").alias("q"), said("assistant").alias("a"))
+    number = F.col("conv_id")
+    status = F.element_at(F.array(*map(F.lit, ("PUBLISHED", "published", "APPROVED", "DRAFT"))), (number % 4 + 1).cast("int"))
+    return rows.filter("q <> '' AND a <> ''").select(
+        (-number - 1).alias("id"), F.concat(F.lit("src"), (number % ORGANIZATIONS).cast("string")).alias("organization_id"),
+        F.substring("q", 1, 60).alias("title"), F.col("q").alias("problem_description"), F.col("a").alias("actions_taken"),
+        F.substring("a", 1, 200).alias("lessons_learned"), F.array(F.lit("chat")).alias("tags"),
+        status.alias("status"), (number % 9 == 0).alias("is_deleted"),
+    )
+
+
+LESSONS_SQL = r"""lessons AS (
+  SELECT -conv_id - 1 AS id, 'src' || conv_id % 20 AS organization_id, q, a,
+         ['PUBLISHED', 'published', 'APPROVED', 'DRAFT'][conv_id % 4 + 1] AS status, conv_id % 9 = 0 AS is_deleted
+  FROM (SELECT conv_id, max(text) FILTER (role = 'user') AS q, max(text) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id)
+  WHERE q <> '' AND a <> '')"""
+
+
 def experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lessons: none of the given tables holds any, so there are none; with the columns
-    that matter."""
-    return documents(spark, sf_dir).filter("false").select("id", "status", "is_deleted")
+    return lessons(spark, sf_dir).select("id", "status", "is_deleted")
+
+
+def lesson_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk of each lesson, with the columns of an index that matter."""
+    return lessons(spark, sf_dir).select(F.lit("experience").alias("source_type"), F.col("id").alias("source_id"), (F.col("id") * 100_000).alias("chunk_id"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document as a page; short ones count as recognised in a picture."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select("source_id", (F.col("line") + 1).alias("page"), "text", (F.char_length("text") < 10).alias("ocr_used"))
 
 
 def live(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,16 +129,14 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item, asked in three organisations."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 500).alias("text"))
-    return asked.select("item_id", "text", F.posexplode(F.array(*map(F.lit, ORGANIZATIONS)))).select(
-        (F.col("item_id") * 10 + F.col("pos")).alias("query_id"), F.col("col").alias("organization_id"), "text"
-    )
+    """Every benchmark item, asked in one of all organisations."""
+    organization = F.concat(F.lit("src"), (F.col("item_id") % ORGANIZATIONS).cast("string"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), organization.alias("organization_id"), "text")
 
 
 QUESTIONS_SQL = r"""questions AS (
-  SELECT item_id * 10 + o AS query_id, 'src' || o AS organization_id, substr(text, 1, 500) AS text
-  FROM benchmark CROSS JOIN (SELECT unnest([0, 1, 2]) AS o)),
+  SELECT item_id AS query_id, 'src' || item_id % 20 AS organization_id, text
+  FROM benchmark),
 terms AS (
   SELECT query_id, organization_id, len(t) AS n_terms, unnest(t) AS term
   FROM (SELECT *, list_distinct(regexp_extract_all(lower(array_to_string(list_filter(
@@ -136,7 +167,7 @@ def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set of searches: every row whose id is divisible by 100."""
     rows = vector_rows(spark, sf_dir).filter("chunk_id % 100 = 0")
-    return rows.select(F.col("chunk_id").alias("query_id"), "organization_id", F.substring("content", 1, 500).alias("text"), "embedding")
+    return rows.select(F.col("chunk_id").alias("query_id"), "organization_id", F.col("content").alias("text"), "embedding")
 
 
 HYBRID_SQL = (
@@ -145,9 +176,9 @@ HYBRID_SQL = (
   FROM documents JOIN embeddings ON doc_id = vec_id),
 """
     + QUESTIONS_SQL.replace(
-        """SELECT item_id * 10 + o AS query_id, 'src' || o AS organization_id, substr(text, 1, 500) AS text
-  FROM benchmark CROSS JOIN (SELECT unnest([0, 1, 2]) AS o)""",
-        "SELECT chunk_id AS query_id, organization_id, substr(content, 1, 500) AS text, embedding FROM searched WHERE chunk_id % 100 = 0",
+        """SELECT item_id AS query_id, 'src' || item_id % 20 AS organization_id, text
+  FROM benchmark""",
+        "SELECT chunk_id AS query_id, organization_id, content AS text, embedding FROM searched WHERE chunk_id % 100 = 0",
     )
     + """,
 vector_pool AS (

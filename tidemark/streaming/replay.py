@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,9 +66,10 @@ def admit(times: list[int], accepted: deque, most: int, window: int) -> list[boo
 
 
 def sliding_log_limit(attempts: DataFrame, limits=LIMITS) -> DataFrame:
-    """attempts (key, action, ts, id) with allowed: an attempt is denied, and not counted,
-    if the window before it holds as many accepted ones as the limit. At equal times the
-    smaller id comes first.
+    """attempts (key, action, ts, id) with allowed, remaining and reset_at: an attempt is
+    denied, and not counted, if the window before it holds as many accepted ones as the
+    limit; remaining tells how many more fit, reset_at when the window begun now is over.
+    At equal times the smaller id comes first; attempts without a key share one limit.
 
     Attempts stream through a task in the order of their key; it holds the accepted
     times of one key's window, at most as many as the limit.
@@ -76,20 +77,26 @@ def sliding_log_limit(attempts: DataFrame, limits=LIMITS) -> DataFrame:
     most, seconds = limit_of(F.col("action"), limits)
     rows = attempts.select("key", "action", _micros("ts").alias("t"), "id", most.alias("most"), seconds.alias("seconds"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, accepted = None, deque()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, accepted = (), deque()
         for batch in batches:
-            allowed = []
-            for key, action, t, n, s in batch[["key", "action", "t", "most", "seconds"]].itertuples(index=False):
+            allowed, left, reset = [], [], []
+            for key, action, t, n, s in zip(*(batch[c].to_pylist() for c in ("key", "action", "t", "most", "seconds")), strict=True):
                 if (key, action) != owner:
                     owner, accepted = (key, action), deque()
                 allowed += admit([t], accepted, n, s * 1_000_000)
-            yield batch[["key", "action", "t", "id"]].assign(allowed=allowed)
+                left.append(n - len(accepted) if allowed[-1] else 0)
+                reset.append(t + s * 1_000_000)
+            new = [pa.array(allowed, pa.bool_()), pa.array(left, pa.int64()), pa.array(reset, pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(["key", "action", "t", "id"]).columns, *new], ["key", "action", "t", "id", "allowed", "remaining", "reset"]
+            )
 
     kinds = dict(attempts.dtypes)
-    schema = f"key {kinds['key']}, action string, t long, id {kinds['id']}, allowed boolean"
+    schema = f"key {kinds['key']}, action string, t long, id {kinds['id']}, allowed boolean, remaining long, reset long"
     ordered = rows.repartition("key", "action").sortWithinPartitions("key", "action", "t", "id")
-    return ordered.mapInPandas(run, schema).withColumn("ts", F.timestamp_micros("t")).drop("t")
+    timed = ordered.mapInArrow(run, schema)
+    return timed.withColumns({"ts": F.timestamp_micros("t"), "reset_at": F.timestamp_micros("reset")}).drop("t", "reset")
 
 
 def login_steps(state: dict, attempts: list[tuple]) -> list[tuple]:
@@ -115,25 +122,38 @@ def login_steps(state: dict, attempts: list[tuple]) -> list[tuple]:
 
 
 def login_lockout(attempts: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, id, outcome, failures) of attempts (user_id, ts, id, success) in order;
-    users (id, is_active). After a lock ends the failures are kept, so the next failure
-    locks again."""
-    known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("known"), "is_active")
+    """(user_id, id, outcome, failures, locked_until, last_login) of attempts (user_id, ts,
+    id, success) in order; users (id, is_active), who begin with their stored
+    failed_login_attempts, locked_until and last_login where users has these columns. After
+    a lock ends the failures are kept, so the next failure locks again. Attempts without a
+    user, or of one that is not known, change nothing.
+    """
+    stored = {name: F.col(name) if name in users.columns else F.lit(None).cast(kind) for name, kind in (("failed_login_attempts", "long"), ("locked_until", "timestamp"), ("last_login", "timestamp"))}
+    known = users.select(
+        F.col("id").alias("user_id"), F.lit(True).alias("known"), "is_active",
+        F.coalesce(stored["failed_login_attempts"].cast("long"), F.lit(0).cast("long")).alias("failures"),
+        F.coalesce(_micros(stored["locked_until"]), F.lit(0).cast("long")).alias("locked"), _micros(stored["last_login"]).alias("seen"),
+    )
     rows = attempts.join(known, "user_id", "left").select(
         "user_id", "id", _micros("ts").alias("t"), F.coalesce("known", F.lit(False)).alias("known"),
-        F.coalesce("is_active", F.lit(False)).alias("is_active"), "success",
+        F.coalesce("is_active", F.lit(False)).alias("is_active"), "success", "failures", "locked", "seen",
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, state = None, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, state, seen = (), {}, None
         for batch in batches:
             out = []
-            for user, *attempt in batch[["user_id", "id", "t", "known", "is_active", "success"]].itertuples(index=False):
-                if user != owner:
-                    owner, state = user, {"failures": 0, "locked_until": 0}
-                out += [(user, *x) for x in login_steps(state, [tuple(attempt)])]
-            yield pd.DataFrame(out, columns=["user_id", "id", "outcome", "failures"])
-
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "t", "id").mapInPandas(
-        run, "user_id long, id long, outcome string, failures long"
-    )
+            for user, *attempt, failures, locked, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (user,) != owner:
+                    owner, state, seen = (user,), {"failures": failures or 0, "locked_until": locked or 0}, last
+                [(_, outcome, failed)] = login_steps(state, [tuple(attempt)])
+                seen = attempt[1] if outcome == "success" else seen
+                out.append((outcome, failed, state["locked_until"] or None, seen))
+            new = [pa.array(v, k) for v, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64()))] if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *new], ["user_id", "id", "outcome", "failures", "locked", "seen"])
+
+    kinds = dict(rows.dtypes)
+    schema = f"user_id {kinds['user_id']}, id {kinds['id']}, outcome string, failures long, locked long, seen long"
+    steps = rows.repartition("user_id").sortWithinPartitions("user_id", "t", "id").mapInArrow(run, schema)
+    return steps.withColumns({"locked_until": F.timestamp_micros("locked"), "last_login": F.timestamp_micros("seen")}).drop("locked", "seen")
