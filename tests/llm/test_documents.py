@@ -349,6 +349,21 @@ def test_line_chunks(spark, sf_dir, rows):
     assert got == want
 
 
+def test_line_chunks_with_a_full_filter(spark, sf_dir, monkeypatch):
+    """A table of too few bits lets every span through, and changes nothing."""
+    plain = by_id(queries.op10_line_chunks(spark, sf_dir), "text", "removed_lines")
+    monkeypatch.setattr(line_chunks, "FILTER_BITS", 64)
+    assert by_id(queries.op10_line_chunks(spark, sf_dir), "text", "removed_lines") == plain
+
+
+def test_hashes_that_stand_for_several_texts_are_not_used(spark, monkeypatch):
+    data = [(1, "a b\nc d"), (2, "a b\nc d"), (3, "e f\ng h")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert by_id(line_chunks.remove_repeated_chunks(df), "removed_lines") == {1: (0,), 2: (2,), 3: (0,)}
+    monkeypatch.setattr(line_chunks, "span_hashes", lambda lines, spans: np.zeros((len(spans), 2), "<u8"))
+    assert by_id(line_chunks.remove_repeated_chunks(df), "removed_lines") == {1: (0,), 2: (0,), 3: (0,)}
+
+
 def test_line_chunks_odd(spark):
     long_line = " ".join(f"p{i}" for i in range(55))
     short = "\n".join(f"short line number {i} of a passage" for i in range(12))

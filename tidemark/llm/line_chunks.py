@@ -2,25 +2,33 @@
 
 A line of at least LONG_LINE words is a passage of its own. Besides, every two lines next to
 each other are a span: a repeated run of two lines or more is the union of the repeated
-spans in it, wherever it begins and ends, so no line of it is lost. Spans are grouped by a
-192-bit hash and by their bytes; of a span that occurs again, in the same or another
-document, all but the first occurrence (smallest doc_id, then line) go. chunk_lines cuts a
-text into content-defined chunks: a boundary is a local minimum of a rolling hash.
+spans in it, wherever it begins and ends, so no line of it is lost. Hashes of spans roll
+over the hashes of lines; spans whose hash occurs again are compared by their bytes. Of a
+span that occurs again, in the same or another document, all but the first occurrence
+(smallest doc_id, then line) go. chunk_lines cuts a text into content-defined chunks: a
+boundary is a local minimum of a rolling hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_KEY, key_of
+from tidemark.llm.common import NULL_KEY, bounded_batches, key_of, save
 
 LONG_LINE, LEAST_LINES, MOST_LINES = 20, 2, 16
 _MASK = (1 << 64) - 1
+#: Bits of the table that tells spans that may be repeated: its size is fixed, and where it
+#: is fuller more spans are compared, none is left out.
+FILTER_BITS = 1 << 26
+_ROLL = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
 def _is_long(line: str) -> bool:
@@ -70,31 +78,67 @@ def spans_of(lines: list[str]) -> list[tuple[int, int]]:
     return spans
 
 
-def _hash(text: str) -> tuple[int, int, int]:
-    """A 128-bit hash in two signed longs, and another 64-bit one."""
-    raw, half = text.encode("utf-8", "surrogatepass"), 1 << 63
-    wide = xxhash.xxh3_128_intdigest(raw)
-    return (wide >> 64) - half, (wide & (2 * half - 1)) - half, xxhash.xxh64_intdigest(raw) - half
+def span_hashes(lines: list[str], spans: list[tuple[int, int]]) -> np.ndarray:
+    """(spans, 2) hashes of 64 bits, rolled over the 128-bit hashes of the lines in a span."""
+    raw = b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines])
+    of_line, places = np.frombuffer(raw, "<u8").reshape(-1, 2), np.array(spans, np.int64).reshape(-1, 2)
+    first, count = places.T
+    out = np.tile(np.array(_ROLL, "<u8"), (len(spans), 1))
+    for k in range(int(count.max(initial=0))):
+        on = np.flatnonzero(count > k)
+        mixed = (out[on] ^ of_line[first[on] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out[on] = mixed ^ (mixed >> np.uint64(29))
+    return out
 
 
-def _chunks(with_text: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first hash of every span of the texts."""
+    for batch in batches:
+        found = [np.empty(0, "<u8")]
+        for text in batch.column("text"):
+            lines = text.as_py().split("\n")
+            found.append(span_hashes(lines, spans_of(lines))[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h1"])
+
+
+def _spans(seen: Broadcast):
+    """Spans (key, tie, first, count, h1, h2, chunk) whose first hash may occur again: its
+    bit is set in seen, a table of as many bits as its length says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(seen.value, np.uint8)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part, out = batch.iloc[at : at + 512], []
-                for key, tie, text in zip(part["key"].tolist(), part["tie"].tolist(), part["text"], strict=True):
-                    lines = text.split("\n")
-                    for first, count in spans_of(lines):
-                        chunk = "\n".join(lines[first : first + count])
-                        row = (key, tie, first, count, *_hash(chunk))
-                        out.append((*row, chunk) if with_text else row)
-                names = [x.split()[0] for x in _SCHEMA.split(", ")] + ["chunk"] * with_text
-                yield pd.DataFrame(out, columns=names)
+            rows, hashes = [], [np.empty((0, 2), "<u8")]
+            for key, tie, text in zip(batch.column("key").to_pylist(), batch.column("tie").to_pylist(), batch.column("text"), strict=True):
+                lines = text.as_py().split("\n")
+                spans = spans_of(lines)
+                found = span_hashes(lines, spans)
+                at = found[:, 0] % np.uint64(8 * len(bits))
+                again = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                hashes.append(found[again])
+                for first, count in (spans[i] for i in again.tolist()):
+                    rows.append((key, tie, first, count, "\n".join(lines[first : first + count])))
+            h1, h2 = np.concatenate(hashes).view(np.int64).T
+            key, tie, first, count, chunk = zip(*rows) if rows else [()] * 5
+            columns = [pa.array(key, pa.int64()), pa.array(tie, pa.int64()), pa.array(first, pa.int32()), pa.array(count, pa.int32())]
+            columns += [pa.array(h1), pa.array(h2), pa.array(chunk, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SPANS.split(", ")])
 
     return run
 
 
-_SCHEMA = "key long, tie long, first int, count int, h1 long, h2 long, h3 long"
+_SPANS = "key long, tie long, first int, count int, h1 long, h2 long, chunk string"
+
+
+def _bits_of(repeated: DataFrame, size: int) -> bytes:
+    """A table of size bits (a power of 2, from 64) with those of the hashes set. Words of 64 bits
+    are made by aggregation, so no more than size / 64 rows reach the driver."""
+    at = F.col("h1").bitwiseAND(F.lit(size - 1))
+    word, bit = F.shiftrightunsigned("at", 6), F.expr("shiftleft(1L, cast(at & 63 as int))")
+    words = repeated.select(at.alias("at")).select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    got, table = words.toArrow(), np.zeros(size // 64, np.int64)
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return table.astype("<i8").tobytes()
 
 
 def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,18 +167,21 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     one document and keep the same lines; a text of one short line is never changed; an
     empty table gives an empty result; other columns are not read.
     """
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(
         key_of(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     ).withColumn("tie", F.xxhash64("text"))
+    counted = rows.select("text").mapInArrow(_hashes, "h1 long").groupBy("h1").agg(F.count("*").alias("times"))
+    repeated, _ = save(counted.filter("times > 1").select("h1"), "repeated-hashes")
+    seen = spark.sparkContext.broadcast(_bits_of(repeated, FILTER_BITS))
+    spans, _ = save(rows.mapInArrow(_spans(seen), _SPANS), "spans")
+    # a hash stands for one sequence of bytes, else it is not used; copies collapse before
+    # the shuffle, and only what may be repeated is shuffled with its text
     place = F.struct("key", "tie", "first", "count")
-    # grouping by the chunk itself compares bytes; copies collapse before the shuffle
-    repeated = (
-        rows.mapInPandas(_chunks(True), f"{_SCHEMA}, chunk string")
-        .groupBy("h1", "h2", "h3", "chunk")
-        .agg(F.count("*").alias("times"), F.min(place).alias("keep"))
-        .filter("times > 1")
-        .select("h1", "h2", "h3", "keep")
-    )
+    same = spans.groupBy("h1", "h2", "chunk").agg(F.count("*").alias("times"), F.min(place).alias("keep"))
+    groups = same.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.max("times").alias("times"), F.min("keep").alias("keep"))
+    groups = groups.filter("texts = 1 AND times > 1").select("h1", "h2", "keep")
     # an occurrence that overlaps the one that stays stays with it
     apart = (
         (F.col("key") != F.col("keep.key"))
@@ -142,8 +189,8 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
         | (F.col("first") >= F.col("keep.first") + F.col("keep.count"))
     )
     victims = (
-        rows.mapInPandas(_chunks(False), _SCHEMA)
-        .join(repeated, ["h1", "h2", "h3"])
+        spans.drop("chunk")
+        .join(groups, ["h1", "h2"])
         .filter(apart)
         .groupBy("key", "tie")
         .agg(F.collect_set(F.struct("first", "count")).alias("gone"))
