@@ -1,6 +1,7 @@
 """Plain versions of the operators' results, on lists in one process."""
 
 import hashlib
+import math
 import re
 import unicodedata
 import zlib
@@ -101,3 +102,24 @@ def first_of_similar(rows, similarity=0.8):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     return sorted({find(i) for i in sets})
+
+
+def quality_score(model, text):
+    """Softmax over the mean of the features' weights, feature by feature."""
+    words, features = (text or "").split(), []
+    for word, last in zip(words, [None, *words]):
+        marked = f"<{word}>"
+        features += [f"\0{word}"] + [marked[i : i + 3] for i in range(len(marked) - 2)] + ["\1same word again"] * 8 * (word == last)
+    weights = [float(model.weights[zlib.crc32(f.encode("utf-8", "surrogatepass")) % len(model.weights)]) for f in features]
+    logit = model.bias + (sum(weights) / len(weights) if weights else 0)
+    return 1 / (1 + math.exp(-min(30, max(-30, logit))))
+
+
+def severity(model, text):
+    """Expected grade: sums over all places of each feature in each word between marks."""
+    marked = [f"<{w}>" for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+    x = 0.0
+    for feature, weight in model.weights.items():
+        n = sum(w.startswith(feature, i) for w in marked for i in range(len(w)))
+        x += weight * (1 + math.log(n)) if n else 0
+    return sum(1 / (1 + math.exp(-min(40, max(-40, x - t)))) for t in model.thresholds)

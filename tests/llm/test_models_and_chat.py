@@ -228,3 +228,50 @@ def test_pipeline_with_nulls(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     corpus_pipeline.token_file(spark, docs, sf_dir).count()
+
+
+def test_scores_against_plain_ones(spark, sf_dir):
+    """All documents through the queries, against sums feature by feature."""
+    from tests.llm import brute
+    from tidemark.llm.labelled import not_held_out
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    model = quality.train(docs, labels, condition=not_held_out())
+    got = {r.doc_id: r.score for r in queries.op3_quality(spark, sf_dir).collect()}
+    assert got == pytest.approx({i: brute.quality_score(model, t) for i, t in texts.items()}, abs=1e-9)
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.severity for r in queries.op4_toxicity(spark, sf_dir).collect()}
+    assert model.weights and got == pytest.approx({i: brute.severity(model, t) for i, t in texts.items()}, abs=1e-9)
+
+
+def test_counts_agree_in_training_and_grading():
+    """An n-gram twice in a word counts twice in both."""
+    text = "banana nana a an ananas"
+    model = toxicity.Model({f: 1.0 for w in text.split() for f in toxicity.word_features(w)}, np.zeros(3))
+    want = {}
+    for word in text.split():
+        for f in toxicity.word_features(word):
+            want[f] = want.get(f, 0) + 1
+    assert model.counts(text) == want and want["ana"] == 5
+
+
+def test_training_rows_are_one_an_id(spark):
+    from tidemark.llm.labelled import training_rows
+
+    docs = spark.range(5000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(0, 0, 0), (1, 1, 0), (1, 1, 0)], LABELS)
+    got = {r.doc_id: (r.label, r.text) for r in training_rows(docs, labels, "quality", 1).collect()}
+    assert got == {0: (0, "t0"), 1: (1, "t1")}
+
+
+def test_chat_of_examples_in_any_order(spark):
+    df = spark.createDataFrame([*TURNS, (-1, 0, "user", "own")], "conv_id long, turn long, role string, text string")
+    examples = chat.expand_conversations(df)
+    rows = lambda x: sorted(x.collect(), key=str)
+    assert rows(chat.read_back(examples.orderBy(F.rand(1)))) == rows(chat.read_back(examples))
+    both = [r for r in chat.chat_report(df).collect() if r.conv_id == -1]
+    assert sorted((r.n_turns, r.loss_chars) for r in both) == [(1, 0), (2, len("<|im_end|><|im_start|>assistant ok"))]
+    broken = examples.withColumn("formatted", F.when((F.col("conv_id") == 1) & (F.col("example") == 0), F.replace("formatted", F.lit("a"), F.lit("b"))).otherwise(F.col("formatted")))
+    with pytest.raises(Exception, match="does not begin with"):
+        chat.read_back(broken).collect()

@@ -13,7 +13,8 @@ def training_rows(
     docs: DataFrame, labels: DataFrame, label: str, rows_per_label: int, condition=None
 ) -> DataFrame:
     """(text, label) of at most rows_per_label labelled documents for each value 0 and 1 of
-    the label, chosen by a hash of the id. Labelled rows without an id are left out.
+    the label, chosen by a hash of the id. Labelled rows without an id are left out; of
+    several documents with one id the least text counts, of several labels the greater.
 
     The chosen ids are few by construction, so they are broadcast to one scan of docs.
     """
@@ -26,7 +27,8 @@ def training_rows(
         part = rows.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_label)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")  # at most twice rows_per_label
+    chosen = F.broadcast(chosen)  # at most twice rows_per_label
+    return texts.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def not_held_out():

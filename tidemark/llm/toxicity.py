@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
 from tidemark.llm.labelled import training_rows, unlike_rows
 
 #: Labelled documents of each class that the model is fitted on, at most.
@@ -39,10 +40,11 @@ def word_counts(text: str | None) -> Counter:
 
 
 def word_features(word: str) -> list[str]:
-    """The word between marks, and the n-grams of that."""
+    """The n-grams of the word between marks, each as often as it occurs, and that itself
+    where it is longer than all n-grams."""
     marked = f"<{word}>"
-    grams = (marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1))
-    return list(dict.fromkeys((marked, *grams)))
+    grams = [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]
+    return grams + [marked] * (len(marked) > max(NGRAMS))
 
 
 @dataclass
@@ -150,7 +152,8 @@ def fit(counts: list[Counter], labels: list[int]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Model:
     """Fit on labels.toxic of at most rows_per_label documents of each class, less near
-    copies among them. The driver gets their distinct words and counts."""
+    copies among them. The driver gets their distinct words and counts. Null texts count as
+    empty; without labelled documents every text gets grade 0."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,6 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LAB
                 }
             )
 
+    bounded_batches(docs.sparkSession)
     rows = training_rows(docs, labels, "toxic", rows_per_label)
     got = rows.mapInPandas(count, "doc_id long, label int, words array<string>, counts array<int>").toArrow().to_pandas()
     got = got.sort_values(["doc_id", "label"], kind="stable")
@@ -194,6 +198,7 @@ def grade_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 }
             )
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "doc_id long, toxic int, severity double, grade int, p_toxic double")
 
