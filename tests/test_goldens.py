@@ -397,3 +397,19 @@ def test_large_files_are_named_not_dropped(spark, stored):
     rows = {r.file_name: r for r in found.select("file_name", "length", F.col("content").isNull().alias("none"), filters.upload_problem(F.col("file_name"), F.col("length"), 10).alias("problem")).collect()}
     assert set(rows) == set(stored[1]) and not rows["a.txt"].none and rows["a.txt"].problem is None
     assert rows["c.pptx"].none and rows["c.pptx"].problem == "too_big" and rows["c.pptx"].length == len(stored[1]["c.pptx"])
+
+
+def test_declared_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("d1", "org1", "more")], "id string, organization_id string, undeclared string")
+    rows.write.parquet(str(tmp_path / "documents"))
+    got = tables.read_declared(spark, str(tmp_path), "documents")
+    assert "undeclared" not in got.columns and dict(got.dtypes)["deleted_at"] == "timestamp"
+    assert [(r.id, r.organization_id, r.sha256) for r in got.collect()] == [("d1", "org1", None)]
+
+
+def test_tables_of_a_database(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(100).selectExpr("id", "concat('u', id) AS name").write.jdbc(url, "users", properties={"driver": driver})
+    got = tables.read_jdbc(spark, url, "users", "id", (0, 100), 4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 100
+    assert [tuple(r) for r in got.filter("id = 42").collect()] == [(42, "u42")]

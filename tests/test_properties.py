@@ -37,3 +37,20 @@ def test_locked_users_never_succeed(attempts):
 def test_embeddings_have_length_one_or_none(tokens, dimensions):
     length = np.linalg.norm(embed_tokens(tokens, dimensions))
     assert length < 1e-12 or abs(length - 1) < 1e-9
+
+
+def test_vector_blocks(spark, monkeypatch):
+    """Questions and chunks dealt in blocks give what one matrix gives."""
+    import numpy as np
+
+    from tidemark.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    rows = lambda n: [(i, f"o{i % 3}", None if i % 17 == 5 else [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(n)]
+    kind = "id long, organization_id string, embedding array<float>"
+    asked, chunks = (spark.createDataFrame(rows(n), kind).withColumnRenamed("id", name) for n, name in ((40, "query_id"), (300, "chunk_id")))
+    key = lambda df: sorted((r.query_id, r.chunk_id, r.vector_score) for r in df.collect())
+    whole = key(retrieval.vector_candidates(asked, chunks, 7))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 30)
+    assert key(retrieval.vector_candidates(asked, chunks, 7)) == whole and len(whole) > 200

@@ -68,3 +68,54 @@ def test_ingest(spark, sf_dir, tmp_path):
     got = spark.read.parquet(out)
     firsts = docs.groupBy("organization_id", "text").agg(F.min("id").alias("id"))
     assert got.select("id").distinct().count() == firsts.count()
+
+
+def test_files_end_to_end(spark, tmp_path):
+    """Files through a stream in two steps give the outcomes and chunks of one batch, and
+    stored documents and repeated files are found."""
+    import hashlib
+
+    from tidemark.operators import index
+    from tidemark.plans import ingest
+    from tidemark.sources import files
+
+    folder = tmp_path / "files" / "org1" / "documents"
+    folder.mkdir(parents=True)
+    made = {
+        "a.txt": b"# Pumps\n\nCheck the pump.\n\nThen stop.", "b.csv": b"x;y\n1;2\n", "c.exe": b"no", "d.docx": b"no archive", "e.txt": b"known before",
+        "f.txt": b"# Pumps\n\nCheck the pump.\n\nThen stop.", "g.md": b"  \n ",
+    }
+    stored = spark.createDataFrame([("s1", "org1", hashlib.sha256(b"known before").hexdigest(), None)], "id string, organization_id string, sha256 string, deleted_at timestamp")
+    out = {name: str(tmp_path / name) for name in ("outcomes", "chunks")}
+
+    def write(outcomes, chunks, number):
+        outcomes.write.mode("append").parquet(out["outcomes"])
+        chunks.write.mode("append").parquet(out["chunks"])
+
+    def known():
+        done = spark.read.parquet(out["outcomes"]).filter("status = 'completed'") if (tmp_path / "outcomes").exists() else stored.limit(0)
+        return stored.unionByName(done.select("id", "organization_id", "sha256", F.lit(None).cast("timestamp").alias("deleted_at")))
+
+    for names in (list(made)[:5], list(made)[5:]):
+        for name in names:
+            (folder / name).write_bytes(made[name])
+        ingest.stream_files(spark, str(tmp_path / "files"), str(tmp_path / "cp-files"), known, write).awaitTermination(120)
+    got = {r.id: (r.status, r.reason, r.existing_id) for r in spark.read.parquet(out["outcomes"]).collect()}
+    of = lambda name: f"org1/{name}"
+    assert got == {
+        of("a.txt"): ("completed", None, None), of("b.csv"): ("completed", None, None), of("c.exe"): ("rejected", "bad_ext", None),
+        of("d.docx"): ("rejected", "corrupt", None), of("e.txt"): ("duplicate", None, "s1"), of("f.txt"): ("duplicate", None, of("a.txt")),
+        of("g.md"): ("failed", None, None),
+    }
+    uploads = ingest.named_files(files.read_files(spark, str(tmp_path / "files")))
+    outcomes, chunks = ingest.ingest_files(uploads, stored)
+    assert {r.id: (r.status, r.reason, r.existing_id) for r in outcomes.collect()} == got
+    key = lambda df: sorted((r.chunk_id, r.organization_id, r.section or "", r.content, tuple(r.embedding)) for r in df.collect())
+    streamed = spark.read.parquet(out["chunks"])
+    assert key(streamed) == key(chunks) and any(r.section == "Pumps" for r in streamed.collect())
+    lessons = spark.createDataFrame([("l1", "org1", "Seals", "It leaks", None, "PUBLISHED", False)], "id string, organization_id string, title string, problem_description string, tags array<string>, status string, is_deleted boolean")
+    everything = index.replace_index(streamed, ingest.ingest_lessons(lessons).select(*streamed.columns))
+    done = outcomes.filter("status = 'completed'").select("id", "status", F.lit(False).alias("is_deleted"))
+    live = index.live_sources(done, lessons)
+    assert {r.source_id for r in index.eligible_chunks(everything, live).collect()} == {of("a.txt"), of("b.csv"), "l1"}
+    assert index.orphan_chunks(everything, live.filter("source_type = 'document'")).select("source_id").distinct().collect() == [("l1",)]

@@ -16,6 +16,8 @@ TOP_K, MIN_SCORE = 8, 0.15
 POOL = max(30, 4 * TOP_K)
 #: Questions that a task holds as one matrix; more questions make more passes.
 QUERY_BLOCK = 4096
+#: Chunks of an organisation that meet such a matrix at once, and rows of a product of both.
+CHUNK_BLOCK, _SLICE = 8192, 1024
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -46,22 +48,42 @@ def vector_candidates(queries: DataFrame, chunks: DataFrame, pool: int = POOL) -
     """(query_id, chunk_id, vector_score): the nearest chunks of each question within its
     organisation by cosine, exactly; chunks without a vector or of length 0 are left out.
 
-    queries (query_id, organization_id, embedding) pass in blocks of bounded size. A task
-    multiplies each batch of chunks with the questions of their organisations and keeps
-    the best of each question; only those rows are shuffled.
+    At most QUERY_BLOCK questions (query_id, organization_id, embedding) are held by every
+    task, which multiplies its chunks with those of their organisations and keeps the best
+    of each; only these rows are shuffled. More questions are dealt in blocks, and so are
+    the chunks of an organisation: each pair of blocks meets in one group, and no question
+    passes through the driver.
     """
-    n = queries.count()
-    blocks = -(-n // QUERY_BLOCK) or 1
+    schema = "query_id long, chunk_id long, vector_score double"
+    asked = queries.filter("embedding IS NOT NULL").select("query_id", "organization_id", "embedding")
     rows = chunks.filter("embedding IS NOT NULL").select("organization_id", "chunk_id", "embedding")
-    found = None
-    for block in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        asked = part.select("query_id", "organization_id", "embedding").toPandas()
-        local = rows.mapInPandas(_nearest(asked, pool), "query_id long, chunk_id long, vector_score double")
-        found = local if found is None else found.unionByName(local)
+    few = asked.limit(QUERY_BLOCK + 1).toPandas()
+    if len(few) <= QUERY_BLOCK:
+        found = rows.mapInPandas(_nearest(few, pool), schema)
+    else:
+        found = _nearest_in_blocks(asked, rows, pool, schema)
     return top(found, "vector_score", pool)
 
 
+def _nearest_in_blocks(asked: DataFrame, rows: DataFrame, pool: int, schema: str) -> DataFrame:
+    """The best chunks of each question in each pair of blocks of an organisation."""
+    count = lambda df, size, name: df.groupBy("organization_id").agg(F.ceil(F.count("*") / size).cast("long").alias(name))
+    sizes = count(asked, QUERY_BLOCK, "of_questions").join(count(rows, CHUNK_BLOCK, "of_chunks"), "organization_id")
+    own = lambda name, n: F.pmod(F.xxhash64(name), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asked.join(sizes, "organization_id").select("query_id", "organization_id", "embedding", own("query_id", "of_questions").alias("q"), each("of_chunks").alias("c"))
+    right = rows.join(sizes, "organization_id").select("chunk_id", "organization_id", "embedding", each("of_questions").alias("q"), own("chunk_id", "of_chunks").alias("c"))
+
+    def meet(questions: pd.DataFrame, own_chunks: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": [], "chunk_id": [], "vector_score": []}).astype({"query_id": "int64", "chunk_id": "int64"})
+        if questions.empty or own_chunks.empty:
+            return none
+        return pd.concat([none, *_nearest(questions, pool)(iter([own_chunks]))])
+
+    key = ("organization_id", "q", "c")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, schema)
+
+
 def _nearest(asked: pd.DataFrame, pool: int):
     groups = {}
     for org, part in asked.groupby("organization_id"):
@@ -71,7 +93,8 @@ def _nearest(asked: pd.DataFrame, pool: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict = {}
-        for batch in batches:
+        parts = (batch.iloc[at : at + _SLICE] for batch in batches for at in range(0, len(batch), _SLICE))
+        for batch in parts:
             for org, part in batch.groupby("organization_id"):
                 if org not in groups:
                     continue
@@ -83,6 +106,9 @@ def _nearest(asked: pd.DataFrame, pool: int):
                 for i in np.flatnonzero(asked_for):
                     old_chunk, old_score = best.get((org, i), (chunk[:0], scores[i, :0]))
                     all_chunk, all_score = np.r_[old_chunk, chunk], np.r_[old_score, scores[i]]
+                    if len(all_score) > 4 * pool:  # what is below the pool-th best can go unsorted
+                        least = np.partition(all_score, -pool)[-pool]
+                        all_chunk, all_score = all_chunk[all_score >= least], all_score[all_score >= least]
                     keep = np.lexsort((all_chunk, -all_score))[:pool]
                     best[org, i] = (all_chunk[keep], all_score[keep])
         for (org, i), (chunk, score) in best.items():

@@ -24,8 +24,13 @@ _SLIDE = re.compile(r"ppt/slides/slide(\d+)\.xml")
 
 def read_files(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(path, organization_id, category, length, content) of <org>/<category>/<id>.bin. Of
-    files above the size the content is null and is never read; upload_problem names them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files above the size the content is null and is never read; upload_problem names them.
+    Files of length 0 are not among Spark's files."""
+    return parted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), most_bytes)
+
+
+def parted(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """read_files of the rows of Spark's reader of binary files."""
     part = lambda n: F.regexp_extract("path", r"([^/]+)/(documents|experiences)/[^/]+$", n)
     named = lambda df, content: df.select("path", part(1).alias("organization_id"), part(2).alias("category"), "length", content)
     fits = F.col("length") <= most_bytes

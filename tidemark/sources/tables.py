@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import schemas
+
 EVENT_DEFAULTS = {"outcome": "SUCCESS", "severity": "INFO", "metadata": "{}"}
 
 
@@ -14,6 +16,12 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.parquet(path)
 
 
+def read_declared(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The table of this name under root, with the schema that schemas declares for it:
+    columns that its files lack are null, others are not read."""
+    return read_table(spark, f"{root.rstrip('/')}/{name}", getattr(schemas, name.upper()))
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str, bounds: tuple, partitions: int, **options) -> DataFrame:
     """A table of a database, read in ranges of a column by many tasks at once."""
     properties = {k: str(v) for k, v in options.items()}
