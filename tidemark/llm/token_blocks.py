@@ -28,8 +28,9 @@ from tidemark.llm.common import NULL_KEY, bounded_batches, key_of, partitions, s
 END_ID = 0
 #: A block is closed at the first document end past so many ids.
 BLOCK_IDS = 1 << 17
-#: Words whose ids a task remembers between batches: some 50 bytes each.
-REMEMBERED = 600_000
+#: Words whose ids a task remembers between batches (some 50 bytes each), and words that
+#: pass the tokenizer as one text.
+REMEMBERED, _TOGETHER = 300_000, 8192
 BLOCKS = (
     "shard int, block int, start long, n_ids long, bits int,"
     " doc_ids array<long>, doc_tokens array<long>, payload binary"
@@ -150,7 +151,12 @@ class Encoder:
     def learn(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words without white space at their ends, and how many each has. All are one
         text, each after a space (which is theirs) or a line feed (which is not)."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([before + w for w in words])], add_special_tokens=False)[0].ids, "<u4")
+        found = [self._learn(words[at : at + _TOGETHER], before) for at in range(0, len(words), _TOGETHER)]
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def _learn(self, words: list[str], before: str) -> tuple[np.ndarray, np.ndarray]:
+        text = "".join([before + w for w in words])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(self.spaced[ids]) if before == " " else np.flatnonzero(ids == self.line[0])
         if len(starts) != len(words):  # some word holds what parts words
             return self.whole([before * (before == " ") + w for w in words])
