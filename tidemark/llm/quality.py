@@ -78,17 +78,20 @@ class Model:
     bias: float
 
     def __post_init__(self) -> None:
-        self.memory: dict[str, tuple[float, int]] = {}
+        self.memory: dict[str, float] = {}
         self.listed = self.weights.tolist()
 
-    def word(self, word: str) -> tuple[float, int]:
+    def __getstate__(self) -> dict:
+        return {"weights": self.weights, "bias": self.bias}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def word(self, word: str) -> float:
+        """Sum of the weights of a word's features, of which there are len(word) + 1."""
         found = self.memory.get(word)
         if found is None:
-            total, size = 0.0, 0
-            for at in word_features(word):
-                total += sum(map(self.listed.__getitem__, at))
-                size += len(at)
-            found = (total, size)
+            found = sum([sum(map(self.listed.__getitem__, at)) for at in word_features(word)])
             if len(self.memory) < _MEMORY_WORDS and len(word) <= _MEMORY_CHARS:
                 self.memory[word] = found
         return found
@@ -98,9 +101,9 @@ class Model:
         words = (text or "").split()
         logit = self.bias
         if words:
-            sums, sizes = zip(*map(self.word, words), strict=True)
             again = _REPEAT_WEIGHT * sum(map(str.__eq__, words, words[1:]))
-            logit += (sum(sums) + again * self.listed[_REPEAT]) / (sum(sizes) + again)
+            size = sum(map(len, words)) + len(words)
+            logit += (sum(map(self.word, words)) + again * self.listed[_REPEAT]) / (size + again)
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
@@ -185,7 +188,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def keep_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs without those whose score is below 0.5."""
+    """docs without those whose score is below 0.5. Null texts count as empty, repeated rows
+    stay or go together, an empty table stays empty; all columns are kept."""
     return docs.filter(quality_score(F.col(f"`{text_col}`"), model) >= 0.5)
 
 
