@@ -246,7 +246,7 @@ def test_base_spans_on_all_documents(spark, sf_dir, rows):
     assert by_id(queries.op2_secrets(spark, sf_dir), "base_sha256") == want
 
 
-@pytest.mark.parametrize("value", ["password", "P4ssw0rd", "aaaaaaaa", "qwertyuiop", "19840312x", "xK9#mQ2$vL5", "monkey123456dragon", "zzqwerty11112020"])
+@pytest.mark.parametrize("value", ["password", "P4ssw0rd", "aaaaaaaa", "qwertyuiop", "19840312x", "xK9#mQ2$vL5", "monkey123456dragon", "zzqwerty11112020", "abcabcabc", "xyxyxyxy1", "12121212", "İstanbulß1"])
 def test_guess_cost_is_the_least(value):
     """All splits into segments, by enumeration."""
     import math
@@ -277,6 +277,29 @@ def test_ordinary_words_are_no_secrets(text):
     assert not [s for s in secrets.find_secrets(text)[0] if s[2] == "guess"]
 
 
+def test_random_letters_are_secrets_and_corpus_words_are_none(spark):
+    """Unlisted letters are brute force; words of the corpus are cheap, but not those that
+    stand in credential contexts only."""
+    prose = "Der Schlüsselbund liegt im Wohnzimmer. " * 3
+    data = [(1, f"{prose} password is Wohnzimmer. pwd: qzxvkjwhpn"), (2, f"{prose} pwd: qzxvkjwhpn"), (3, None), (4, ""), (1, "pin: abcabcabcabc"), (1, "pin: abcabcabcabc")]
+    docs = odd(spark, [(*r, None, None, 0) for r in data])
+    words = secrets.common_words(docs)
+    assert "wohnzimmer" in words and "schlüsselbund" in words and "qzxvkjwhpn" not in words
+    assert words[0] == "der" and secrets.common_words(docs, most=1) == [] == secrets.common_words(empty(spark))
+    got = secrets.scan_secrets(docs, words=words).collect()
+    assert sorted((r.doc_id, r.n_guess) for r in got) == [(1, 0), (1, 0), (1, 1), (2, 1), (3, 0), (4, 0)]
+    assert [s[2] for s in secrets.find_secrets("pwd: qzxvkjwhpn xkqzjvwpbtmnrd")[0]] == ["guess"]
+
+
+@pytest.mark.parametrize("value", ["aZ0+/bY9" * 125_000, "".join(chr(33 + (i * i * 7919 + i // 3) % 90) for i in range(1_000_000)), "a" * 1_000_000])
+def test_long_values_are_priced_in_bounded_time(value):
+    import time
+
+    began = time.process_time()
+    found, most = secrets.find_secrets(f"secret: {value}")
+    assert time.process_time() - began < 20 and most > 7
+
+
 def test_phrases_and_mixed_values_are_secrets():
     for text in ("passphrase: correcthorsebatterystaple", "pwd is Tr0ub4dor&3xQ", "Bearer: eyJhbGciOiJ9.x1Yz"):
         assert [s[2] for s in secrets.find_secrets(text)[0]] == ["guess"]

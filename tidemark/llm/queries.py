@@ -21,7 +21,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan_secrets(docs, words=secrets.common_words(docs))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches, drop, save
+
 #: Decimal logarithm of the guesses from which a value counts as a secret.
 MIN_COST = 8.0
 KINDS = ("assign", "access", "hex", "guess")
@@ -26,13 +30,16 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+#: What every credential word has one of.
+_HINTS = ("pass", "pwd", "pin", "secret", "token", "bearer", "credential", "auth", "key")
 # a credential word, a separator or "is", and a value up to white space or a quote
 _CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code|key)?|pwd|pin|secret|token|bearer|credentials?|auth(?:orization)?"""
     r"""|(?:api|access|private|secret|signing|encryption)[_-]?key)["']?[\x20\t]*(?:[:=]>?|\bis\b)[\x20\t]*["']?([^\s"'<>]{6,})""",
     re.I | re.A,
 )
-# ---- fixed values: words that guessers try first, in the order they are tried
+# ---- fixed values: words that guessers try first, in the order they are tried, and words
+# that stand after credential words in prose
 WORDS = (
     "password 123456 qwerty admin welcome letmein monkey dragon master login princess sunshine football"
     " baseball shadow superman michael jordan hunter ranger buster soccer hockey killer george charlie"
@@ -41,17 +48,22 @@ WORDS = (
     " trustno batman starwars cookie flower orange banana apple silver golden purple yellow matrix internet"
     " server database system public private token key company office january february march april june july"
     " august september october november december monday tuesday wednesday thursday friday saturday sunday"
+    " the and not that this with from have been will must should never always required available invalid"
+    " expired missing wrong needed optional something nothing everything anything valid correct incorrect"
+    " empty unknown unset none null true false your their same here there only also used stored changed"
+    " rotated revoked generated disabled enabled authentication authorization credentials username"
 ).split()
 #: Rows of keys along which fingers walk, and the alphabet.
 WALKS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 #: Letters that stand for others in words.
-LEET = str.maketrans("4@3105$7!", "aaelosstl"[:9])
+LEET = str.maketrans("4@3105$7!", "aaelosstl")
 # ---- end of fixed values
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-#: Any other run of letters in one case may be a word of a language: guesses of one such.
-UNLISTED_WORD, _LONGEST = math.log10(50_000), 14
+#: Words of a corpus that join the dictionary, at most; their letters, and least occurrences.
+MOST_WORDS, WORD_LETTERS, LEAST_TIMES = 50_000, (3, 24), 2
+#: Units of repeats have so many characters at most.
+LONGEST_UNIT = 8
 _DATE = re.compile(
-    r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d"
+    r"(?=((?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d))"
 )
 _STEP = {pair for row in WALKS for pair in zip(row, row[1:])} | {pair for row in WALKS for pair in zip(row[1:], row)}
 #: Added for each segment, so that many short ones are not free.
@@ -65,53 +77,129 @@ def _brute(c: str) -> float:
     return math.log10(26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
 
 
-def segments_ending(value: str) -> list[list[tuple[int, float, str]]]:
-    """For each end, the (start, cost, kind) of segments other than brute force.
+def _runs(on: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of the runs of true places."""
+    edges = np.flatnonzero(np.diff(np.r_[False, on, False]))
+    return zip(edges[::2].tolist(), edges[1::2].tolist())
+
+
+class Guesser:
+    """Prices values as passwords, with a ranked dictionary: WORDS, then the words given.
 
-    Repeats and walks run from the start of their run; dates and words from anywhere.
+    Time grows with the length of a value, and with the runs and words found in it.
     """
-    n, low = len(value), value.lower()
-    plain = low.translate(LEET)
-    out: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for m in re.finditer(rf"(?=({_DATE.pattern}))", value):
-        years = 2.0  # a century of years, and the days of a year
-        out[m.end(1)].append((m.start(1), years + (math.log10(366) if len(m[1]) > 4 else 0), "date"))
-    for start in range(n):
-        for end in range(start + 3, min(n, start + _LONGEST) + 1):
-            rank = _RANK.get(low[start:end])
-            leet = rank is None and _RANK.get(plain[start:end])
-            part = value[start:end]
-            cased = 0.0 if part == low[start:end] else 0.6
-            if rank or leet:
-                out[end].append((start, math.log10((rank or leet) + 1) + cased + (0.6 if leet else 0), "word"))
-            elif part.isalpha() and part[1:].islower():
-                out[end].append((start, UNLISTED_WORD + cased, "word"))
-    run = walk = 0
-    for i in range(1, n):
-        run = run if value[i] == value[i - 1] else i
-        walk = walk if (low[i - 1], low[i]) in _STEP else i
-        if i - run >= 2:
-            out[i + 1].append((run, _brute(value[run]) + math.log10(i - run + 1), "repeat"))
-        if i - walk >= 2:
-            out[i + 1].append((walk, math.log10(47) + math.log10(2 * (i - walk + 1)), "walk"))
-    return out
+
+    def __init__(self, words: Sequence[str] = ()) -> None:
+        rank = {w: n for n, w in enumerate(dict.fromkeys([*WORDS, *words]), 2)}
+        self.finder = ahocorasick.Automaton()
+        for word, n in rank.items():
+            self.finder.add_word(word, (len(word), math.log10(n)))
+        self.finder.make_automaton()
+
+    def segments_ending(self, value: str) -> list[Sequence[tuple[int, float, str]]]:
+        """For each end, the (start, cost, kind) of segments other than brute force.
+
+        Repeats and walks run from the start of their run; dates and words from anywhere.
+        """
+        n = len(value)
+        # one character for one, so that places agree
+        low = "".join([c.lower() if len(c.lower()) == 1 else c for c in value])
+        out: list = [()] * (n + 1)
+
+        def add(end: int, start: int, cost: float, kind: str) -> None:
+            if not out[end]:
+                out[end] = []
+            out[end].append((start, cost, kind))
+
+        for m in _DATE.finditer(value):
+            years = 2.0  # a century of years, and the days of a year
+            add(m.end(1), m.start(1), years + (math.log10(366) if len(m[1]) > 4 else 0), "date")
+        plain = low.translate(LEET)
+        for text, leet in ((low, 0.0), (plain, 0.6))[: 1 + (plain != low)]:
+            for last, (size, cost) in self.finder.iter(text):
+                start = last + 1 - size
+                if leet and low[start : last + 1] == text[start : last + 1]:
+                    continue
+                cased = 0.0 if value[start : last + 1] == low[start : last + 1] else 0.6
+                add(last + 1, start, cost + cased + leet, "word")
+        codes = np.array([ord(c) for c in value], np.uint32)
+        for unit in range(1, min(LONGEST_UNIT, n // 2) + 1):
+            for first, end in _runs(codes[unit:] == codes[:-unit]):
+                part = value[first : first + unit]
+                if any(unit % d == 0 and part == part[:d] * (unit // d) for d in range(1, unit)):
+                    continue  # a repeat of a shorter unit
+                size = sum(map(_brute, part))
+                for last in range(first + 2 * unit + (unit == 1), end + unit + 1):
+                    add(last, first, size + math.log10((last - first) / unit), "repeat")
+        steps = np.fromiter((pair in _STEP for pair in zip(low, low[1:])), bool, max(0, n - 1))
+        for first, end in _runs(steps):
+            for last in range(first + 3, end + 2):
+                add(last, first, math.log10(47) + math.log10(2 * (last - first)), "walk")
+        return out
+
+    def cost(self, value: str) -> float:
+        """Least cost of any segmentation; brute-force characters next to each other are one
+        segment."""
+        ends, n = self.segments_ending(value), len(value)
+        best = [0.0] + [math.inf] * n  # of all splits of a prefix
+        brute = math.inf  # of those that end in a brute-force segment
+        price = {c: _brute(c) for c in set(value)}
+        for end in range(1, n + 1):
+            brute = min(best[end - 1] + _JOIN, brute) + price[value[end - 1]]
+            least = brute
+            for s, c, _ in ends[end]:
+                least = min(least, best[s] + c + _JOIN)
+            best[end] = least
+        return best[n]
+
+
+_guessers: dict[int, Guesser] = {}
+
+
+def _guesser(words: Sequence[str] = ()) -> Guesser:
+    """The guesser of some words; a worker keeps the last one."""
+    key = hash(tuple(words))
+    if key not in _guessers:
+        _guessers.clear()
+        _guessers[key] = Guesser(words)
+    return _guessers[key]
+
+
+def segments_ending(value: str) -> list[Sequence[tuple[int, float, str]]]:
+    return _guesser().segments_ending(value)
 
 
 def guess_cost(value: str) -> float:
-    """Least cost of any segmentation; brute-force characters next to each other are one
-    segment."""
-    ends, n = segments_ending(value), len(value)
-    best = [0.0] + [math.inf] * n  # of all splits of a prefix
-    brute = [math.inf] * (n + 1)  # of those that end in a brute-force segment
-    for end in range(1, n + 1):
-        brute[end] = min(best[end - 1] + _JOIN, brute[end - 1]) + _brute(value[end - 1])
-        best[end] = min([brute[end], *(best[s] + c + _JOIN for s, c, _ in ends[end])])
-    return best[n]
-
-
-def find_secrets(text: str) -> tuple[list[tuple[int, int, str]], float]:
+    return _guesser().cost(value)
+
+
+def common_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> list[str]:
+    """The most frequent words of all texts, lower-cased, most frequent first: a dictionary
+    for guessing. Values in credential contexts do not count, nor do words that occur less
+    than LEAST_TIMES. At most `most` words reach the driver: where counts of about one size
+    would pass that, none with them or lower ones joins. Null texts have no words."""
+    text, low = F.col(text_col), F.lower(F.col(text_col))
+    context = F.reduce(F.array(*(F.contains(low, F.lit(w)) for w in _HINTS)), F.lit(False), lambda a, b: a | b)
+    clean = F.lower(F.when(context, F.regexp_replace(text, f"(?i){_CONTEXT.pattern}", " ")).otherwise(text))
+    words = docs.select(F.explode(F.split(clean, r"[^\p{L}]+")).alias("word"))
+    words = words.filter(F.char_length("word").between(*WORD_LETTERS)).groupBy("word").agg(F.count("*").alias("n"))
+    words, path = save(words.filter(F.col("n") >= LEAST_TIMES), "words")
+    size = F.floor(64 * F.log2("n")).cast("int")  # some 4,000 sizes at most
+    least, total = 1 << 30, 0
+    for at, n in sorted(map(tuple, words.groupBy(size.alias("size")).count().collect()), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = at
+    top = words.filter(size >= least).collect()
+    drop(docs.sparkSession, path)
+    return [r.word for r in sorted(top, key=lambda r: (-r.n, r.word))]
+
+
+def find_secrets(text: str, guesser: Guesser | None = None) -> tuple[list[tuple[int, int, str]], float]:
     """Spans (start, end, kind) by start, then kind as in KINDS; and the highest cost of a
     value in a credential context (0 without any)."""
+    guess_cost = (guesser or _guesser()).cost
     assign = [(m.start(), m.end(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     spans = [(s, e, "assign") for s, e, _ in assign]
     spans += [(*m.span(), "access") for m in _ACCESS.finditer(text)]
@@ -126,37 +214,45 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, str]], float]:
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])), most
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [find_secrets(t or "") for t in batch["text"]]
-        said = [[f"{k}:{s}:{e}" for s, e, k in spans] for spans, _ in found]
-        base = [[x for x in one if not x.startswith("guess")] for one in said]
-        counts = {f"n_{k}": [sum(x[2] == k for x in spans) for spans, _ in found] for k in KINDS}
-        yield pd.DataFrame(
-            {
-                "doc_id": batch["doc_id"].astype("Int64"),
-                **counts,
-                "base_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in base],
-                "spans": [",".join(x) for x in said],
-                "max_guess_log10": [cost for _, cost in found],
-            }
-        )
-
-
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scan(words: Sequence[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        guesser = _guesser(words)
+        for batch in batches:
+            found = [find_secrets(t or "", guesser) for t in batch["text"]]
+            said = [[f"{k}:{s}:{e}" for s, e, k in spans] for spans, _ in found]
+            base = [[x for x in one if not x.startswith("guess")] for one in said]
+            counts = {f"n_{k}": [sum(x[2] == k for x in spans) for spans, _ in found] for k in KINDS}
+            yield pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"].astype("Int64"),
+                    **counts,
+                    "base_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in base],
+                    "spans": [",".join(x) for x in said],
+                    "max_guess_log10": [cost for _, cost in found],
+                }
+            )
+
+    return run
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Sequence[str] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, n_guess,
-    base_sha256, spans, max_guess_log10. Positions are code points, ends exclusive.
+    base_sha256, spans, max_guess_log10. Positions are code points, ends exclusive. words:
+    ranked words besides WORDS that guessers know, as from common_words.
 
     A null text counts as empty and has no span; a null id stays null; repeated rows give
     a row each; an empty table gives an empty result; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return rows.mapInPandas(_scan, f"doc_id long, {counts}, base_sha256 string, spans string, max_guess_log10 double")
+    return rows.mapInPandas(_scan(words), f"doc_id long, {counts}, base_sha256 string, spans string, max_guess_log10 double")
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every secret span of the text replaced by mark; null texts stay null."""
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", words: Sequence[str] = ()) -> DataFrame:
+    """docs with every secret span of the text replaced by mark; null texts stay null, other
+    columns and repeated rows as they are; an empty table stays empty."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def redact(texts: pd.Series) -> pd.Series:
@@ -164,7 +260,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret
             if text is None:
                 return None
             out, at = [], 0
-            for start, end, _ in find_secrets(text)[0]:
+            for start, end, _ in find_secrets(text, _guesser(words))[0]:
                 if end > at:
                     out += [text[at : max(at, start)], mark if start >= at else ""]
                     at = end
