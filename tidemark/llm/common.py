@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +23,15 @@ _own_dirs: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where
-    that is unset (tests in local mode) one temporary folder per application."""
+    that is unset (tests in local mode) one temporary folder per application. On a cluster
+    a folder of one machine would lose data, so there the setting has to be made."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="tidemark-")
@@ -52,11 +58,26 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Hand texts to Python workers in batches of bounded bytes, not only of rows, unless
-    the session already says how large they may be: a worker holds a batch at a time."""
+    the session already says how large they may be: a worker holds a batch at a time. This
+    sets spark.sql.execution.arrow.maxBytesPerBatch for the session, as it has to be in
+    force when the result is computed."""
     if spark.conf.get(_BATCH_SETTING, None) is None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run (batches to batches) with what Arrow keeps for later given back after each batch:
+    a worker is used again by other tasks and stages, and would keep it."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        for batch in run(batches):
+            yield batch
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,8 @@ the sketch: probing sketches with a document's shingles misses nothing, however
 document. Candidates are then verified by exact containment of the shingles' words.
 
 The items are held by every task, in blocks of bounded size; each block passes over the
-documents once.
+documents once. Of several blocks each is done with, its result written to the shared
+folder, before the next one is read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import bounded_batches, lean, save
 
 SHINGLE_WORDS, THRESHOLD_PERCENT = 5, 80
 #: Bytes of item texts that a task holds at once.
@@ -106,14 +107,15 @@ class Sketches:
         return found
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[Sketches]:
-    """Sketches of the items, block by block; the number of blocks grows with the items."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[Sketches, bool]]:
+    """Sketches of the items, block by block, and whether it is the last; the number of
+    blocks grows with the items, and the driver holds one at a time."""
     items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = total // block_bytes + 1
     for n in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == n).orderBy("id", "text")
-        yield Sketches([tuple(r) for r in part.collect()])
+        yield Sketches([tuple(r) for r in part.collect()]), n == blocks - 1
 
 
 def contained_items(
@@ -149,25 +151,36 @@ def contained_items(
         return run
 
     found = None
-    for sketches in item_blocks(items, "item_id", "text", block_bytes):
+    for sketches, last in item_blocks(items, "item_id", "text", block_bytes):
         part = rows.mapInPandas(search(sketches), schema)
+        part = part if last and found is None else save(part, "items-found")[0]
         found = part if found is None else found.unionByName(part)
     return found.withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
 
 
 def contains_any(text: Column, sketches: Sketches) -> Column:
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([bool(sketches.search(t)) for t in texts], dtype=bool)
+
     @F.pandas_udf("boolean")
-    def contaminated(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(sketches.search(t)) for t in texts], index=texts.index, dtype=bool)
+    def contaminated(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(found)(batches)
 
     return contaminated(text)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the documents that contain an item, without a shuffle."""
+    """docs without the documents that contain an item, without a shuffle.
+
+    Null texts and texts without words contain nothing and stay; repeated rows stay or go
+    together; items without words are in no document; without items all stay; an empty
+    table stays empty; all columns are kept.
+    """
     bounded_batches(docs.sparkSession)
-    for sketches in item_blocks(items, "item_id", "text", block_bytes):
+    for sketches, last in item_blocks(items, "item_id", "text", block_bytes):
         docs = docs.filter(~contains_any(F.col(f"`{text_col}`"), sketches))
+        docs = docs if last else save(docs, "decontaminated")[0]
     return docs
 
 

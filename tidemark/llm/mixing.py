@@ -127,7 +127,8 @@ def plan_mix(
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
-    """The mixed rows themselves: each document as often as plan_mix says, with its columns."""
+    """The mixed rows themselves: each document as often as plan_mix says, with its columns
+    but those that plan_mix adds; nulls, repeated rows and empty tables are as it says."""
     added = ("mix_source", "mix_copy", "mix_size", "mix_source_size", "mix_target", "mix_copies")
     columns = [c for c in docs.columns if c not in added]
     planned = plan_mix(docs, id_col, text_col, source_col, **targets).filter("mix_copies > 0")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import bounded_batches, lean
 from tidemark.llm.labelled import not_held_out, training_rows
 
 #: Labelled documents of each class that the model is fitted on, at most.
@@ -172,9 +172,13 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LAB
 def quality_score(text: Column, model: Model) -> Column:
     """Probability of label 1, as a double."""
 
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(model.score, na_action=None).astype(float)
+
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return texts.map(model.score, na_action=None).astype(float)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(scores)(batches)
 
     return score(text)
 

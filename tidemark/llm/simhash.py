@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, drop, key_of, partitions, save, small
+from tidemark.llm.common import bounded_batches, drop, key_of, lean, partitions, save, small
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
 #: Fingerprints of one bucket that are compared in one task; larger buckets are split.
@@ -193,7 +193,7 @@ def _link(rows: DataFrame, radius: int, block_rows: int) -> DataFrame:
         _in_parts(rows, large).select("bucket", "part", "id", "fp")
         .repartition(partitions(rows.sparkSession), "bucket", "part")
         .sortWithinPartitions("bucket", "part")
-        .mapInPandas(_link_buckets(radius), "a long, b long")
+        .mapInPandas(lean(_link_buckets(radius)), "a long, b long")
     )
 
 
@@ -268,7 +268,9 @@ def near_duplicates(
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row for each component: the one with the smallest id (null first)."""
+    """docs with one row for each component: the one with the smallest id (null first).
+    Null and wordless texts are linked like any other; repeated rows are one; an empty table
+    stays empty; all columns are kept."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     keepers = near_duplicates(docs, **options).select("keeper.key", "keeper.fp").distinct()
     keyed = docs.select(
@@ -445,7 +447,7 @@ def similar_links(rows: DataFrame, sizes: DataFrame, similarity: float) -> DataF
         _in_parts(rows, large).select("bucket", "part", "id", "fp", "hashes")
         .repartition(partitions(rows.sparkSession), "bucket", "part")
         .sortWithinPartitions("bucket", "part")
-        .mapInArrow(_link_sets(wide_radius(similarity), similarity), "a long, b long")
+        .mapInArrow(lean(_link_sets(wide_radius(similarity), similarity)), "a long, b long")
     )
 
 
@@ -471,7 +473,7 @@ def deduplicate_similar(
     key, text = key_of(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text")
     text_hash = F.xxhash64(text).alias("text_hash")
     sketch = _sketch(shingle_words, key_tables(similarity))
-    rows, _ = save(docs.select(key, text_hash, text).mapInArrow(sketch, _SKETCHES), "sketches")
+    rows, _ = save(docs.select(key, text_hash, text).mapInArrow(lean(sketch), _SKETCHES), "sketches")
     place = F.struct("key", "text_hash")
     nodes, _ = save(
         rows.groupBy("digest").agg(F.min(place).alias("place"), *(F.first(c).alias(c) for c in ("fp", "size", "keys")))
@@ -484,7 +486,7 @@ def deduplicate_similar(
     groups, _ = save(similar_groups(nodes, similarity).join(nodes.drop("keys"), "id"), "groups")
     wanted = small(groups.drop("size"), groups.count(), 160)
     members = docs.select(key, text_hash, text).join(wanted, ["key", "text_hash"])
-    sets = members.select("bucket", "id", "fp", "text").mapInArrow(_sets(shingle_words), "bucket long, id long, fp binary, hashes binary")
+    sets = members.select("bucket", "id", "fp", "text").mapInArrow(lean(_sets(shingle_words)), "bucket long, id long, fp binary, hashes binary")
     sets = sets.dropDuplicates(["id"]) if n_repeated else sets
     roots = components(similar_links(sets, groups.select("bucket", "size"), similarity)).withColumnRenamed("node", "id")
 

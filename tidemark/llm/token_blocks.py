@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_KEY, bounded_batches, key_of, partitions, shared_dir
+from tidemark.llm.common import NULL_KEY, bounded_batches, key_of, lean, partitions, shared_dir
 
 END_ID = 0
 #: A block is closed at the first document end past so many ids.
@@ -271,7 +271,7 @@ def write_blocks(
     ).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     encode = _encode(tokenizer_path, end_id, bits_for(max(vocabulary or vocabulary_of(tokenizer_path), end_id + 1)), block_ids)
-    ordered.select("doc_id", "text").mapInArrow(encode, BLOCKS).write.parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(lean(encode), BLOCKS).write.parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -313,7 +313,7 @@ def _read(spark: SparkSession, path: str, schema: str, value, name: str) -> Data
                     }
                 )
 
-    read = read_blocks(spark, path).mapInPandas(run, schema)
+    read = read_blocks(spark, path).mapInPandas(lean(run), schema)
     return read.withColumn("doc_id", F.expr(f"nullif(doc_id, {NULL_KEY + 1}L - 1L)"))
 
 
