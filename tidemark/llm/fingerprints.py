@@ -43,22 +43,31 @@ def fingerprint(text: Column) -> Column:
     return wide_hash(canonical(text))
 
 
+def with_fingerprints(rows: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
+    """rows with the fingerprint of a text and check, the SHA-256 of its canonical form. This
+    has a projection of its own, so that it is computed once for both."""
+    shown = rows.withColumn("canon", canonical(F.col(text_col)))
+    return shown.withColumns({name: wide_hash(F.col("canon")), "check": F.sha2("canon", 256)}).drop("canon")
+
+
 def exact_classes(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of at least two rows with byte-equal canonical texts: fingerprint, check
     (SHA-256 of the canonical text), group_id (smallest id), group_size.
 
-    Only texts whose fingerprint occurs twice or more are grouped by their bytes; copies
-    collapse before the shuffle, so a class of any size costs a row a task.
+    Only texts whose fingerprint occurs twice or more are grouped by their bytes: they are
+    found again by a hash of the text as it is, and only their canonical form is computed
+    again. Copies collapse before the shuffle, so a class of any size costs a row a task.
     """
-    hashed = rows.select(
-        F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("canon")
-    ).withColumn("fingerprint", wide_hash(F.col("canon")))
-    repeated, _ = save(
-        hashed.groupBy("fingerprint").count().filter("count > 1").select("fingerprint"), "repeated"
-    )
-    repeated = small(repeated, repeated.count(), 100)
+    plain = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    hashed = with_fingerprints(plain).groupBy("text_hash", "fingerprint").agg(F.count("*").alias("n"))
+    hashed, _ = save(hashed, "hashed")
+    repeated = hashed.groupBy("fingerprint").agg(F.sum("n").alias("n")).filter("n > 1").select("fingerprint")
+    wanted, _ = save(hashed.join(repeated, "fingerprint", "left_semi").select("text_hash").distinct(), "repeated")
+    wanted = small(wanted, wanted.count(), 16)
     return (
-        hashed.join(repeated, "fingerprint", "left_semi")
+        plain.join(wanted, "text_hash", "left_semi")
+        .select("id", canonical(F.col("text")).alias("canon"))
+        .withColumn("fingerprint", wide_hash(F.col("canon")))
         .groupBy("fingerprint", "canon")
         .agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
         .filter("group_size > 1")
@@ -74,10 +83,7 @@ def fingerprint_documents(
     Null texts count as empty; repeated rows each get a row; a class without any id has a
     null group_id; an empty table gives an empty result; other columns are not read.
     """
-    canon = canonical(F.col(text_col))
-    rows = docs.select(
-        F.col(id_col), wide_hash(canon).alias("fingerprint"), F.sha2(canon, 256).alias("check")
-    )
+    rows = with_fingerprints(docs.select(F.col(id_col), F.col(text_col).alias("text"))).select(id_col, "fingerprint", "check")
     return _with_classes(rows, exact_classes(docs, id_col, text_col), id_col)
 
 
@@ -86,7 +92,7 @@ def _with_classes(rows: DataFrame, classes: DataFrame, id_col: str) -> DataFrame
         rows.join(classes, ["fingerprint", "check"], "left")
         .withColumn("group_id", F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("group_id")))
         .withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
-        .drop("check")
+        .drop("check", "canon")
     )
 
 
@@ -95,13 +101,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edit replaces the last floor(n/4) code points of a text by the first as many of
     the next document's, in ascending doc_id; after the last comes the first. A null
-    doc_id sorts before all others. Rows that share a doc_id have the same next document;
+    doc_id sorts before all others, a null text counts as empty, an empty table gives an
+    empty result, other columns are not read. Rows that share a doc_id have the same next document;
     where the next doc_id has several rows, the one with the smallest fingerprint counts.
     The likeness of two exact digests is 1 if they are equal, else 0.
     """
-    base = docs.select(
-        key_of("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("fingerprint", fingerprint(F.col("text")))
+    base = with_fingerprints(docs.select(key_of("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text")))
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     keys = docs.select(
         key_of("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text")
@@ -111,7 +116,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     # both uses read the same columns, so the shuffle of base by key runs once
     heads = base.join(order, "key").groupBy("prev_key").agg(
         F.min(
-            F.struct("fingerprint", F.expr("substring(text, 1, prev_tail)").alias("head"))
+            F.struct("fingerprint", "check", F.expr("substring(text, 1, prev_tail)").alias("head"))
         ).alias("next")
     )
     own = base.join(heads.withColumnRenamed("prev_key", "key"), "key")
@@ -124,10 +129,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(edited, 256).alias("edited_sha256"),
         "fingerprint",
-        fingerprint(edited).alias("edited_fingerprint"),
+        canonical(edited).alias("canon"),
         F.col("next.fingerprint").alias("next_fingerprint"),
-        F.sha2(canonical(F.col("text")), 256).alias("check"),
-    )
+        "check",
+    ).withColumn("edited_fingerprint", wide_hash(F.col("canon")))
     like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
     return _with_classes(rows, exact_classes(docs), "doc_id").select(
         "doc_id",
