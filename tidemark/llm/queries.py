@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, fingerprints, line_chunks, mixing, quality, secrets, simhash, token_blocks, toxicity
+from tidemark.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    fingerprints,
+    line_chunks,
+    manifest,
+    mixing,
+    quality,
+    secrets,
+    simhash,
+    spelling,
+    token_blocks,
+    toxicity,
+)
 
 #: File name and vocabulary of the tokenizer of the production query.
 TOKENIZER, VOCABULARY = "byte_bpe_50k.json", 50_257
@@ -61,6 +75,18 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.remove_repeated_chunks(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_fingerprints,
@@ -73,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_simhash,
         op9_token_blocks,
         op10_line_chunks,
+        op11_exact_dedup,
+        op12_manifest,
+        op13_spelling,
     ]
     return {f.__name__: f for f in found}
 
@@ -82,4 +111,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat": chat.CHAT_SQL,
         "op6_decontaminate": decontaminate.CONTAINED_SQL,
         "op7_mix": mixing.MIX_SQL,
+        "op11_exact_dedup": exact_dedup.EXACT_SQL,
+        "op12_manifest": manifest.MANIFEST_SQL,
+        "op13_spelling": spelling.SPELLING_SQL,
     }
