@@ -420,6 +420,26 @@ def test_every_line_of_a_repeated_run_goes(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("shared", ["one id", "no id", "one row", "no id, one row"])
+def test_mixing_meets_targets_with_shared_rows(spark, shared):
+    """A third of the rows with one id or none, or alike throughout: each row draws for itself."""
+    import pandas as pd
+    from tests.llm.test_exact_sets import by_sql
+    from tests.test_queries import plain
+
+    doc_id = None if "no id" in shared else 7
+    rows = [(doc_id, "w " * 25 if "one row" in shared else "w " * (20 + i % 11), "en", "s0", i) for i in range(3000)]
+    rows += [(10 + i, "w " * (20 + i % 11), "en", f"s{i % 3}", 1) for i in range(6000)]
+    docs = odd(spark, rows)
+    report = mixing.mix_report(docs).toPandas()
+    pd.testing.assert_frame_equal(plain(report), plain(by_sql("op7_mix", rows)))
+    took = mixing.mix(docs).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    sized = docs.select("source", mixing.word_count(F.col("text")).alias("size"))
+    targets = {r.source: r.target for r in mixing.source_targets(sized)[0].collect()}
+    assert {r.source: r.n for r in took} == pytest.approx(targets, rel=0.03)
+    assert report.taken.sum() == sum(r.n for r in took)
+
+
 def test_all_nulls(spark):
     nulls = spark.createDataFrame([(None,) * 5] * 3, SCHEMA)
     items = spark.createDataFrame([(None, None)], "item_id long, text string")

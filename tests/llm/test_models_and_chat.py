@@ -222,6 +222,18 @@ def test_pipeline_of_nothing(spark, sf_dir):
         assert docs.count() == 0
 
 
+def test_pipeline_with_other_columns(spark, sf_dir):
+    """Columns whose names hold dots, blanks and quotes, or are those of the operators."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    for name in ("a.b", "c`d", "e f", "mix_seed2", "label", "stage", "key", "tie"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == columns
+    assert corpus_pipeline.token_file(spark, docs, sf_dir).count() == docs.count() > 0
+
+
 def test_pipeline_with_nulls(spark, sf_dir):
     docs = spark.createDataFrame([(None, None, None, None, None), (1, "plain words of a text", None, None, None), (1, "plain words of a text", None, None, None)], DOCS)
     for _, stage in corpus_pipeline.STAGES[:4]:

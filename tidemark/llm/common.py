@@ -87,6 +87,11 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def quoted(column: str) -> str:
+    """The name of a column as a reference, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def key_of(column: str):
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_KEY))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, drop, key_of, lean, partitions, save, small
+from tidemark.llm.common import bounded_batches, drop, key_of, lean, partitions, quoted, save, small
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
 #: Fingerprints of one bucket that are compared in one task; larger buckets are split.
@@ -274,7 +274,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     keepers = near_duplicates(docs, **options).select("keeper.key", "keeper.fp").distinct()
     keyed = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"),
         key_of(id_col).alias("key"),
         simhash_column(F.col(text_col), options.get("shingle_words", SHINGLE_WORDS)).alias("fp"),
     )
@@ -493,7 +493,7 @@ def deduplicate_similar(
     rooted = nodes.select("key", "text_hash", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     keepers = rooted.groupBy("root").agg(F.min(place).alias("place")).select("place.*")
     gone, _ = save(rows.select("key", "text_hash").distinct().join(keepers, ["key", "text_hash"], "left_anti"), "near-copies")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")
     kept = docs.select(row, key, text_hash).join(small(gone, gone.count(), 32), ["key", "text_hash"], "left_anti")
     if n_repeated:
         again = small(repeated, n_repeated, 32)
