@@ -27,15 +27,26 @@ EXPERIENCE_LABELS = {
     "lessons_learned": "درس آموخته (Lesson Learned): ",
     "suggestion": "پیشنهاد: ",
 }
+#: White space as the reference's patterns and its trimming have it: with the byte order mark,
+#: without U+0085 and the information separators.
+SPACE = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 TAGS_LABEL, TAG_JOINER = "برچسب‌ها: ", "، "
 # ---- end of fixed values
 
 MOST_TERMS, EXCERPT_CHARS = 12, 300
 
 
+_SPACE = f"[{SPACE}]"
+
+
+def trim_space(text: Column) -> Column:
+    """text without white space at its ends."""
+    return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+\z", "")
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{_SPACE}+", " "))
 
 
 def normalize_query(text: Column) -> Column:
@@ -50,7 +61,7 @@ def normalize_whitespace(text: Column) -> Column:
     """CRLF to LF, runs of blanks and tabs to one space, three or more newlines to two."""
     unix = F.regexp_replace(text, "\r\n", "\n")
     narrow = F.regexp_replace(F.regexp_replace(unix, "[ \t]+", " "), "\n{3,}", "\n\n")
-    return F.regexp_replace(narrow, r"(?U)^\s+|\s+\z", "")
+    return trim_space(narrow)
 
 
 def nfkc(text: Column) -> Column:
@@ -85,15 +96,15 @@ def estimate_tokens(text: Column) -> Column:
 
 def detect_heading(paragraph: Column) -> Column:
     """The heading that a paragraph is, or null."""
-    line = F.regexp_replace(paragraph, r"(?U)^\s+|\s+\z", "")
+    line = trim_space(paragraph)
     is_heading = (
-        line.rlike(r"(?U)^#{1,6}\s")
-        | line.rlike(r"(?U)^[0-9]+[.)]\s")
+        line.rlike("^#{1,6}" + _SPACE)
+        | line.rlike(rf"^[0-9]+[.)]{_SPACE}")
         | ((line == F.upper(line)) & line.rlike("[A-Za-z]"))
-        | line.rlike(rf"(?U)^({'|'.join(HEADING_WORDS)})\s")
+        | line.rlike(rf"^({'|'.join(HEADING_WORDS)}){_SPACE}")
     )
     fits = F.char_length(line).between(1, 120)
-    return F.when(fits & is_heading, F.regexp_replace(line, r"(?U)^#{1,6}\s", ""))
+    return F.when(fits & is_heading, F.regexp_replace(line, "^#{1,6}" + _SPACE, ""))
 
 
 def strip_markup(xml: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.segments import running_number
+
 ADMIN_ROLES = ("SUPER_ADMIN", "ORG_ADMIN")
 
 
@@ -140,10 +142,10 @@ def audit_feed(events: DataFrame, organization_id=None, n: int = 50) -> DataFram
 
 
 def pending_backlog(jobs: DataFrame, tenant: str = "organization_id") -> DataFrame:
-    """Jobs to run, with their place in the tenant's queue, oldest first."""
-    oldest = Window.partitionBy(tenant).orderBy("created_at", "id")
+    """Jobs to run, with their place in the tenant's queue, oldest first; a tenant's queue of
+    any length spreads over the tasks."""
     rows = jobs.filter((F.col("status") == "PENDING") & (F.col("retry_count") < F.col("max_retries")))
-    return rows.withColumn("place", F.row_number().over(oldest))
+    return running_number(rows, [tenant], ["created_at", "id"], "place")
 
 
 def scanned_documents(pages: DataFrame, documents: DataFrame, least: int = 20) -> DataFrame:
@@ -157,16 +159,18 @@ def scanned_documents(pages: DataFrame, documents: DataFrame, least: int = 20) -
 
 def ingest_summary(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, page_count, chunk_count, ocr_used, status): failed if a document gave no chunk.
-    pages (source_id, page, and ocr_used where some text was recognised) are the extracted
-    ones, with or without chunks."""
+    pages (source_id, page, and ocr_used where some text was recognised, paged where false of
+    kinds of files that have no pages) are the extracted ones, with or without chunks; the
+    page_count of a kind without pages is null, of a document without pages 0."""
     id_of = F.col("source_id").alias("id")
     ocr = F.bool_or("ocr_used") if "ocr_used" in pages.columns else F.lit(False)
-    extracted = pages.groupBy(id_of).agg(F.count("*").alias("pages"), ocr.alias("ocr"))
+    paged = F.coalesce(F.bool_and("paged"), F.lit(True)) if "paged" in pages.columns else F.lit(True)
+    extracted = pages.groupBy(id_of).agg(F.count("*").alias("pages"), ocr.alias("ocr"), paged.alias("paged"))
     counts = chunks.groupBy(id_of).agg(F.count("*").alias("chunks"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     status = F.when(zero("chunks") > 0, "completed").otherwise("failed")
     return documents.select("id").join(extracted, "id", "left").join(counts, "id", "left").select(
-        "id", zero("pages").alias("page_count"), zero("chunks").alias("chunk_count"),
+        "id", F.when(F.coalesce("paged", F.lit(True)), zero("pages")).alias("page_count"), zero("chunks").alias("chunk_count"),
         F.coalesce("ocr", F.lit(False)).alias("ocr_used"), status.alias("status"),
     )
 

@@ -2,90 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.operators.segments import running_last, running_number
+from tidemark.sources.shared import bounded_batches
 
 CHUNK_CHARS, OVERLAP_CHARS = 800, 120
-CHUNKS = "array<struct<section:string,page:int,chunk_index:int,content:string,token_count:int>>"
-
-
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
 def paragraphs(page_text: Column) -> Column:
     """Array of (text, heading) of the paragraphs of a page; blank ones are left out."""
-    parts = F.filter(F.split(tx.normalize_whitespace(page_text), "\n\n"), lambda p: _strip(p) != "")
+    parts = F.filter(F.split(tx.normalize_whitespace(page_text), "\n\n"), lambda p: tx.trim_space(p) != "")
     return F.transform(parts, lambda p: F.struct(p.alias("text"), tx.detect_heading(p).alias("heading")))
 
 
-def pack_pages(pages: Column, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
-    """Array of chunks of an array of (page, paragraphs), in page order.
+def packer(keys: list[str], each: bool, size: int, overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pages (keys, page, texts, headings) in order to chunks (keys, section, page, chunk_index,
+    open), where open is the text of the chunk with its outer white space.
 
-    A fold over each page carries the open buffer, the last heading and the chunks closed
-    so far; a chunk closes before the paragraph that would pass the size, and the next
-    one begins with its last characters. Sections and indices go on over all pages. A
+    The open buffer, the last heading and the next index are all that is carried on, over the
+    pages of a source of any length. A chunk closes before the paragraph that would pass the
+    size, and the next one begins with its last characters; a page closes its chunk. Sections
+    and indices go on over all pages of a source, or over one row if each row is a source. A
     heading that closes a chunk already labels it.
     """
 
-    def close(s: Column, page: Column, section: Column) -> Column:
-        chunk = F.struct(
-            section.alias("section"),
-            page.cast("int").alias("page"),
-            F.size(s["chunks"]).alias("chunk_index"),
-            _strip(s["open"]).alias("content"),
-            tx.estimate_tokens(s["open"]).alias("token_count"),
-        )
-        grown = F.concat(s["chunks"], F.array(chunk)).cast(CHUNKS)
-        return F.when(_strip(s["open"]) != "", grown).otherwise(s["chunks"])
-
-    def state(open_: Column, section: Column, chunks: Column) -> Column:
-        return F.struct(open_.alias("open"), section.cast("string").alias("section"), chunks.cast(CHUNKS).alias("chunks"))
-
-    def on_page(s: Column, page: Column) -> Column:
-        def add(b: Column, p: Column) -> Column:
-            section = F.coalesce(p["heading"], b["section"])
-            full = F.char_length(b["open"]) + 2 + F.char_length(p["text"]) > size
-            before = F.when(full, F.right(b["open"], F.lit(overlap))).otherwise(b["open"])
-            grown = F.when(before == "", p["text"]).otherwise(F.concat(before, F.lit("\n\n"), p["text"]))
-            return state(grown, section, F.when(full, close(b, page["page"], section)).otherwise(b["chunks"]))
-
-        return F.aggregate(
-            page["paragraphs"], s, add, lambda b: state(F.lit(""), b["section"], close(b, page["page"], b["section"]))
-        )
-
-    start = state(F.lit(""), F.lit(None), F.array())
-    return F.aggregate(pages, start, on_page, lambda s: s["chunks"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, section, index = None, None, 0
+        for batch in batches:
+            owners = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            pages, rows, out = batch.column("page").to_pylist(), [], []
+            for i, (texts, headings) in enumerate(zip(batch.column("texts"), batch.column("headings"), strict=True)):
+                if each or owner is None or owners[i] != owner[0]:
+                    owner, section, index = (owners[i],), None, 0
+                open_ = ""
+                for paragraph, heading in zip(texts.as_py(), headings.as_py(), strict=True):
+                    section = heading or section
+                    if len(open_) + 2 + len(paragraph) > size:
+                        if open_.strip(tx.SPACE):
+                            rows.append(i)
+                            out.append((section, pages[i], index, open_))
+                            index += 1
+                        open_ = open_[max(0, len(open_) - overlap) :]
+                    open_ = f"{open_}\n\n{paragraph}" if open_ else paragraph
+                if open_.strip(tx.SPACE):
+                    rows.append(i)
+                    out.append((section, pages[i], index, open_))
+                    index += 1
+            if rows:
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+                new = [pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                old = [batch.column(k).take(pa.array(rows)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*old, *new], [*keys, "section", "page", "chunk_index", "open"])
+
+    return run
 
 
 def chunk_pages(pages: DataFrame, keys: list[str], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """Chunks (keys, section, page, chunk_index, content, token_count) of pages
-    (keys, page, text): the pages of one source meet, whole, in one row."""
-    collected = pages.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("pages"))
-    return _chunks(collected, keys, size, overlap)
+    (keys, page, text): the pages of a source stream through one task in their order, which
+    holds one page at a time."""
+    ordered = pages.select(*keys, F.col("page").cast("int").alias("page"), "text").repartition(*keys).sortWithinPartitions(*keys, "page", "text")
+    return _chunks(ordered, keys, False, size, overlap)
 
 
 def chunk_documents(docs: DataFrame, keys: list[str], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """chunk_pages of sources that have one page (keys, text): no shuffle."""
-    one = docs.select(*keys, F.array(F.struct(F.lit(1).alias("page"), "text")).alias("pages"))
-    return _chunks(one, keys, size, overlap)
+    """chunk_pages of sources that have one page (keys, text), a source a row: no shuffle."""
+    return _chunks(docs.select(*keys, F.lit(1).alias("page"), "text"), keys, True, size, overlap)
 
 
-def _chunks(rows: DataFrame, keys: list[str], size: int, overlap: int) -> DataFrame:
-    split = F.transform("pages", lambda p: F.struct(p["page"].alias("page"), paragraphs(p["text"]).alias("paragraphs")))
-    packed = rows.select(*keys, F.explode(pack_pages(split, size, overlap)).alias("chunk"))
-    return packed.select(*keys, "chunk.*")
+def _chunks(rows: DataFrame, keys: list[str], each: bool, size: int, overlap: int) -> DataFrame:
+    bounded_batches(rows.sparkSession)
+    split = rows.select(*keys, "page", paragraphs(F.coalesce("text", F.lit(""))).alias("parts"))
+    split = split.select(*keys, "page", F.col("parts.text").alias("texts"), F.col("parts.heading").alias("headings"))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "section string, page int, chunk_index int, open string"])
+    packed = split.mapInArrow(packer(keys, each, size, overlap), schema)
+    content, tokens = tx.trim_space(F.col("open")), tx.estimate_tokens(F.col("open"))
+    return packed.select(*keys, "section", "page", "chunk_index", content.alias("content"), tokens.alias("token_count"))
 
 
 def current_section(paras: DataFrame, source: str = "source_id") -> DataFrame:
-    """Each paragraph (source, page, para, heading) with the last heading up to it."""
-    w = Window.partitionBy(source).orderBy("page", "para").rowsBetween(Window.unboundedPreceding, 0)
-    return paras.withColumn("section", F.last("heading", ignorenulls=True).over(w))
+    """Each paragraph (source, page, para, heading) with the last heading up to it. A source of
+    any size spreads over the tasks."""
+    return running_last(paras, [source], ["page", "para"], "heading", "section")
 
 
 def chunk_index(parts: DataFrame, source: str = "source_id") -> DataFrame:
-    """0-based index of parts (source, page, seq) over all pages of a source."""
-    w = Window.partitionBy(source).orderBy("page", "seq")
-    return parts.withColumn("chunk_index", F.row_number().over(w) - 1)
+    """0-based index of parts (source, page, seq) over all pages of a source of any size."""
+    numbered = running_number(parts, [source], ["page", "seq"], "chunk_index")
+    return numbered.withColumn("chunk_index", F.col("chunk_index") - 1)

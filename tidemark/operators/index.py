@@ -46,9 +46,10 @@ def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 
 
 def duplicate_uploads(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Uploads (id, organization_id, sha256) with existing_id: the stored document of the
+    """Uploads (id, organization_id, sha256) with existing_id: the first stored document of the
     same organisation and content whose deleted_at is null, else the first such upload of
-    the batch, else null.
+    the batch; null if that is the upload itself, so that one that comes again, once it is
+    stored, is decided as it was.
 
     Only ids and hashes are shuffled. The first of a batch is a smallest id by partial
     aggregation, so one file that everybody uploads costs a row a task.
@@ -56,9 +57,9 @@ def duplicate_uploads(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     live = stored.filter("deleted_at IS NULL").groupBy("organization_id", "sha256").agg(F.min("id").alias("stored_id"))
     first = incoming.groupBy("organization_id", "sha256").agg(F.min("id").alias("first_id"))
     known = first.join(live, ["organization_id", "sha256"], "left")
-    earlier = F.when(F.col("id") != F.col("first_id"), F.col("first_id"))
+    holder = F.coalesce("stored_id", "first_id")
     return incoming.join(known, ["organization_id", "sha256"]).select(
-        "id", "organization_id", "sha256", F.coalesce("stored_id", earlier).alias("existing_id")
+        "id", "organization_id", "sha256", F.when(holder != F.col("id"), holder).alias("existing_id")
     )
 
 

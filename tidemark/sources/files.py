@@ -13,12 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import file_extension, strip_markup
+from tidemark.functions.text import SPACE, file_extension, strip_markup
 from tidemark.operators.filters import MOST_BYTES, MOST_ZIP_BYTES, ZIP_EXTENSIONS
 
 CELL_JOINER = " | "
-#: Delimiters that a table of text may have, and the rows from which it is guessed.
-DELIMITERS, PREVIEW_ROWS = (",", "\t", "|", ";", "\x1e", "\x1f"), 10
+# ---- fixed values of the rule by which the reference's csv library guesses a delimiter:
+# ---- what may part cells, rows that are looked at, and the mean number of cells to pass
+DELIMITERS, PREVIEW_ROWS, LEAST_CELLS = (",", "\t", "|", ";", "\x1e", "\x1f"), 10, 1.99
+# ---- end of fixed values
 _SLIDE = re.compile(r"ppt/slides/slide(\d+)\.xml")
 
 
@@ -59,7 +61,7 @@ def guess_delimiter(text: str) -> str:
     best, found = None, ","
     for delimiter in DELIMITERS:
         sizes = [len(cells) for _, cells in zip(range(PREVIEW_ROWS), csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)) if cells]
-        if not sizes or sum(sizes) / len(sizes) <= 1.99:
+        if not sizes or sum(sizes) / len(sizes) <= LEAST_CELLS:
             continue
         rank = (sum(abs(a - b) for a, b in zip(sizes, sizes[1:])), -sum(sizes) / len(sizes))
         if best is None or rank < best:
@@ -70,7 +72,7 @@ def guess_delimiter(text: str) -> str:
 def _csv_text(row) -> list[str]:
     """The rows of a file; a file that is no table is one page of plain text."""
     csv.field_size_limit(1 << 62)
-    text = bytes(row.content).decode("utf-8", "replace").strip()
+    text = bytes(row.content).decode("utf-8", "replace").strip(SPACE)
     try:
         rows = csv.reader(io.StringIO(text, newline=""), delimiter=guess_delimiter(text))
         return ["\n".join(map(CELL_JOINER.join, rows))]
@@ -109,6 +111,34 @@ def office_pages(files: DataFrame) -> DataFrame:
     return xml.withColumn("text", strip_markup(F.col("text")))
 
 
+#: Kinds of files whose text is read here, and those of them that have pages to count.
+PLAIN, TABLES, OFFICE, PAGED = ("txt", "md"), ("csv",), ("pptx", "odt"), ("pptx",)
+
+
+def _any_parts(row) -> list[str]:
+    if row.extension in PLAIN:
+        return [bytes(row.content).decode("utf-8", "replace")]
+    return _csv_text(row) if row.extension in TABLES else _office_parts(row)
+
+
+def file_pages(files: DataFrame) -> DataFrame:
+    """(source_id, page, text) of files (source_id, file_name, content) of all kinds that are
+    read here, each read once; others, and those whose content is null, have no page."""
+    rows = files.select("source_id", file_extension(F.col("file_name")).alias("extension"), "content")
+    rows = rows.filter(F.col("content").isNotNull() & F.col("extension").isin(*PLAIN, *TABLES, *OFFICE))
+    kind = dict(rows.dtypes)["source_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                if pages := _any_parts(row):
+                    n = len(pages)
+                    yield pd.DataFrame({"source_id": [row.source_id] * n, "page": range(1, n + 1), "text": pages, "markup": [row.extension in OFFICE] * n})
+
+    pages = rows.mapInPandas(run, f"source_id {kind}, page int, text string, markup boolean")
+    return pages.withColumn("text", F.when(F.col("markup"), strip_markup(F.col("text"))).otherwise(F.col("text"))).drop("markup")
+
+
 def _zip_stats(content: bytes) -> tuple[bool, int, int, int]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:

@@ -1,18 +1,17 @@
-"""The batch jobs as Structured Streaming jobs, with the same results on finite input."""
+"""The batch jobs as Structured Streaming jobs, with the same results on finite input.
 
-from __future__ import annotations
+Limits and lockouts take attempts in any order within the lateness that is allowed, decide
+them once the watermark has passed, and give all columns of the batch jobs. A finite stream
+ends with what its last watermark has passed.
+"""
 
-from collections import deque
-from collections.abc import Callable, Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.chunking import chunk_documents
-from tidemark.operators.filters import upload_problem
-from tidemark.streaming.replay import LIMITS, WINDOW_MOST, WINDOW_SECONDS, admit, limit_of, login_steps
+from tidemark.streaming.replay import LIMITS, WINDOW_MOST, WINDOW_SECONDS, limit_of
+from tidemark.streaming.state import NEVER, Lockout, SlidingLog, keep_state
 
 LATENESS = "10 minutes"
 
@@ -28,63 +27,39 @@ def stream_fixed_window_limit(attempts: DataFrame, seconds: int = WINDOW_SECONDS
     return counts.select("key", F.col("w.start").alias("window_start"), "n", (F.col("n") <= most).alias("allowed"))
 
 
-def stream_sliding_log_limit(attempts: DataFrame, limits=LIMITS) -> DataFrame:
-    """sliding_log_limit over a stream whose attempts of a key arrive in order of time.
-    State: the accepted times of the window, dropped when the window is over."""
+def stream_sliding_log_limit(attempts: DataFrame, limits=LIMITS, lateness: str = LATENESS) -> DataFrame:
+    """sliding_log_limit over a stream of attempts (key, action, ts, id), ts and id not null.
+    State: what waits for the watermark, and the accepted times of the window, which are gone
+    once the watermark has passed it (so that a stored log of attempts needs no purge)."""
+    keep_state(attempts.sparkSession)  # keys are text in there: numbers with nulls would turn into floats
     most, seconds = limit_of(F.col("action"), limits)
-    rows = attempts.select(
-        F.col("key").cast("string").alias("key"), "action", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("id").cast("long").alias("id"),
-        most.alias("most"), seconds.alias("seconds"), F.col("ts").cast("timestamp").alias("ts"),
-    ).withWatermark("ts", LATENESS)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        accepted = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(batches)).sort_values(["t", "id"])
-        window = int(rows["seconds"].iloc[0])
-        allowed = admit(rows["t"].tolist(), accepted, int(rows["most"].iloc[0]), window * 1_000_000)
-        state.update((list(accepted),))
-        last = int(rows["t"].iloc[-1]) // 1000 + window * 1000
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        yield rows[["key", "action", "t", "id"]].assign(allowed=allowed)
-
-    return rows.groupBy("key", "action").applyInPandasWithState(
-        update, "key string, action string, t long, id long, allowed boolean", "accepted array<bigint>", "append",
-        GroupStateTimeout.EventTimeTimeout,
+    kinds = dict(attempts.dtypes)
+    rows = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).select(
+        F.col("key").cast("string").alias("key"), "action", "ts", F.unix_micros("ts").alias("t"), "id", most.cast("long").alias("most"), seconds.cast("long").alias("seconds")
     )
-
-
-def stream_login_lockout(attempts: DataFrame) -> DataFrame:
-    """login_lockout over a stream of attempts (user_id, id, t, known, is_active, success)
-    with t in microseconds, in order of time for each user. State: failures and lock."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, locked = state.get if state.exists else (0, 0)
-        now = {"failures": failures, "locked_until": locked}
-        rows = pd.concat(list(batches)).sort_values(["t", "id"])
-        steps = login_steps(now, list(rows[["id", "t", "known", "is_active", "success"]].itertuples(index=False, name=None)))
-        state.update((now["failures"], now["locked_until"]))
-        out = pd.DataFrame(steps, columns=["id", "outcome", "failures"])
-        yield out.assign(user_id=key[0])[["user_id", "id", "outcome", "failures"]]
-
-    return attempts.groupBy("user_id").applyInPandasWithState(
-        update, "user_id long, id long, outcome string, failures long", "failures long, locked_until long", "append",
-        GroupStateTimeout.NoTimeout,
+    log = SlidingLog(["t", "id", "most", "seconds"], f"t long, id {kinds['id']}, most long, seconds long", ["key", "action", "t", "id", "allowed", "remaining", "reset"])
+    schema = f"key string, action string, t long, id {kinds['id']}, allowed boolean, remaining long, reset long"
+    timed = rows.groupBy("key", "action").transformWithStateInPandas(log, schema, "append", "EventTime")
+    return timed.withColumns({"key": F.col("key").cast(kinds["key"]), "ts": F.timestamp_micros("t"), "reset_at": F.timestamp_micros("reset")}).drop("t", "reset")
+
+
+def stream_login_lockout(attempts: DataFrame, users: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """login_lockout over a stream of attempts (user_id, ts, id, success), ts and id not null.
+    Users (id, is_active), with their stored failed_login_attempts, locked_until and last_login
+    where users has these columns, are the state that the stream begins with."""
+    keep_state(attempts.sparkSession)
+    kinds = dict(attempts.dtypes)
+    rows = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).select(
+        F.col("user_id").cast("string").alias("user_id"), "ts", F.unix_micros("ts").alias("t"), "id", F.coalesce("success", F.lit(False)).alias("success")
     )
-
-
-def stream_ingest(files: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]):
-    """Start a job over a stream of texts (id, organization_id, file_name, file_size, text):
-    each micro-batch is validated, deduplicated within itself by content, chunked and
-    handed to write, which replaces its sources in the index and so may run again."""
-
-    def ingest(batch: DataFrame, number: int) -> None:
-        good = batch.filter(upload_problem(F.col("file_name"), F.col("file_size")).isNull())
-        content = F.sha2(F.coalesce("text", F.lit("")), 256)
-        first = good.withColumn("sha256", content).groupBy("organization_id", "sha256").agg(F.min("id").alias("id"))
-        fresh = good.join(first.select("id", "organization_id"), ["id", "organization_id"], "left_semi")
-        write(chunk_documents(fresh, ["id", "organization_id"]), number)
-
-    return files.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    micros = lambda name: F.unix_micros(F.col(name).cast("timestamp")) if name in users.columns else F.lit(None).cast("long")
+    failed = F.col("failed_login_attempts").cast("long") if "failed_login_attempts" in users.columns else F.lit(0).cast("long")
+    known = users.filter("id IS NOT NULL").select(
+        F.col("id").cast("string").alias("user_id"), F.coalesce("is_active", F.lit(False)).alias("is_active"),
+        F.coalesce(failed, F.lit(0).cast("long")).alias("failures"), F.coalesce(micros("locked_until"), F.lit(0).cast("long")).alias("locked"),
+        F.coalesce(micros("last_login"), F.lit(NEVER)).alias("seen"),
+    ).groupBy("user_id")
+    lockout = Lockout(["t", "id", "success"], f"t long, id {kinds['id']}, success boolean", ["user_id", "id", "outcome", "failures", "locked", "seen"])
+    schema = f"user_id string, id {kinds['id']}, outcome string, failures long, locked long, seen long"
+    steps = rows.groupBy("user_id").transformWithStateInPandas(lockout, schema, "append", "EventTime", initialState=known)
+    return steps.withColumns({"user_id": F.col("user_id").cast(kinds["user_id"]), "locked_until": F.timestamp_micros("locked"), "last_login": F.timestamp_micros("seen")}).drop("locked", "seen")
