@@ -1,17 +1,22 @@
-"""Operator 10: globally repeated passages of lines, found as windows of two lines.
-
-A line of at least LONG_LINE words is a passage of its own. Besides, every two lines next to
-each other are a span: a repeated run of two lines or more is the union of the repeated
-spans in it, wherever it begins and ends, so no line of it is lost. Hashes of spans roll
-over the hashes of lines; spans whose hash occurs again are compared by their bytes. Of a
-span that occurs again, in the same or another document, all but the first occurrence
-(smallest doc_id, then line) go. chunk_lines cuts a text into content-defined chunks: a
-boundary is a local minimum of a rolling hash.
+"""Operator 10: globally repeated passages of lines, by content-defined chunks.
+
+Hashes roll over the hashes of lines; a boundary is a local minimum of the rolled hash, so
+that it moves with the lines around it. Chunks whose hash occurs again are compared by their
+bytes, and all but the first occurrence (smallest doc_id, then line) go. That leaves the ends
+of a repeated run, which share a chunk with lines outside of it, and runs that hold no whole
+chunk: a boundary that looks at the lines inside a run of two alone would have to be at every
+line. So each chunk that went is extended line by line, and what no chunk reaches is found,
+by windows of two neighbouring lines: those inside a chunk that went are left out, which are
+most of a long repeat, and those across a boundary or with a line that is still there are
+compared in the same way. The result is that of comparing all windows.
+
+A chunk or window has two lines at least, or is one line of at least LONG_LINE words: what a
+repeated line that stands alone has to have to be a passage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,13 +26,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_KEY, bounded_batches, key_of, save
+from tidemark.llm.common import NULL_KEY, bounded_batches, key_of, save, small
 
 LONG_LINE, LEAST_LINES, MOST_LINES = 20, 2, 16
 _MASK = (1 << 64) - 1
-#: Bits of the table that tells spans that may be repeated: its size is fixed, and where it
-#: is fuller more spans are compared, none is left out.
-FILTER_BITS = 1 << 26
+#: Bits of the table that tells spans that may be repeated: some for each repeated hash, from
+#: a least to a largest size; where it is fuller more spans are compared, none is left out.
+FILTER_BITS, MOST_FILTER_BITS, BITS_A_HASH = 1 << 20, 1 << 28, 16
+#: Tells hashes of chunks from those of windows of the same lines.
+_CHUNK = np.uint64(0xA5A5A5A5A5A5A5A5)
 _ROLL = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
@@ -91,19 +98,46 @@ def span_hashes(lines: list[str], spans: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
+def chunk_spans(lines: list[str]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Chunks to compare (first line, number of lines), and the number of the chunk of each
+    line. Single short lines and blank lines alone are no chunks to compare; of blank lines at
+    an end of a chunk one is left, as more of them are in no window with a line of the chunk."""
+    spans, of_line = [], []
+    for number, (first, count) in enumerate(chunk_lines(lines)):
+        of_line += [number] * count
+        end = first + count
+        while end - first > 1 and not lines[first].strip() and not lines[first + 1].strip():
+            first += 1
+        while end - first > 1 and not lines[end - 1].strip() and not lines[end - 2].strip():
+            end -= 1
+        if end - first >= LEAST_LINES or _is_long(lines[first]):
+            spans.append((first, end - first))
+    return spans, of_line
+
+
+def _of(lines: list[str], hashes_of: Callable) -> tuple[list[tuple[int, int]], list[int], np.ndarray]:
+    """Spans of a text, chunks first, then windows; the chunk that each is in, for a chunk the
+    negative of its number less 2, for a window across chunks -1; and their hashes."""
+    chunks, of_line = chunk_spans(lines)
+    windows = [(f, n) for f, n in spans_of(lines) if n > 1]
+    inside = [-2 - of_line[f] for f, _ in chunks] + [of_line[f] if of_line[f] == of_line[f + n - 1] else -1 for f, n in windows]
+    found = hashes_of(lines, chunks + windows)
+    found[: len(chunks), 0] ^= _CHUNK
+    return chunks + windows, inside, found
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first hash of every span of the texts."""
     for batch in batches:
         found = [np.empty(0, "<u8")]
         for text in batch.column("text"):
-            lines = text.as_py().split("\n")
-            found.append(span_hashes(lines, spans_of(lines))[:, 0])
+            found.append(_of(text.as_py().split("\n"), span_hashes)[2][:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h1"])
 
 
 def _spans(seen: Broadcast):
-    """Spans (key, tie, first, count, h1, h2, chunk) whose first hash may occur again: its
-    bit is set in seen, a table of as many bits as its length says."""
+    """Spans (key, tie, inside, first, count, h1, h2, chunk) whose first hash may occur again:
+    its bit is set in seen, a table of as many bits as its length says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(seen.value, np.uint8)
@@ -111,23 +145,23 @@ def _spans(seen: Broadcast):
             rows, hashes = [], [np.empty((0, 2), "<u8")]
             for key, tie, text in zip(batch.column("key").to_pylist(), batch.column("tie").to_pylist(), batch.column("text"), strict=True):
                 lines = text.as_py().split("\n")
-                spans = spans_of(lines)
-                found = span_hashes(lines, spans)
+                spans, inside, found = _of(lines, span_hashes)
                 at = found[:, 0] % np.uint64(8 * len(bits))
                 again = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
                 hashes.append(found[again])
-                for first, count in (spans[i] for i in again.tolist()):
-                    rows.append((key, tie, first, count, "\n".join(lines[first : first + count])))
+                for i in again.tolist():
+                    first, count = spans[i]
+                    rows.append((key, tie, inside[i], first, count, "\n".join(lines[first : first + count])))
             h1, h2 = np.concatenate(hashes).view(np.int64).T
-            key, tie, first, count, chunk = zip(*rows) if rows else [()] * 5
-            columns = [pa.array(key, pa.int64()), pa.array(tie, pa.int64()), pa.array(first, pa.int32()), pa.array(count, pa.int32())]
-            columns += [pa.array(h1), pa.array(h2), pa.array(chunk, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SPANS.split(", ")])
+            columns = zip(*rows) if rows else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            *columns, chunk = (pa.array(c, k) for c, k in zip(columns, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(h1), pa.array(h2), chunk], [c.split()[0] for c in _SPANS.split(", ")])
 
     return run
 
 
-_SPANS = "key long, tie long, first int, count int, h1 long, h2 long, chunk string"
+_SPANS = "key long, tie long, inside int, first int, count int, h1 long, h2 long, chunk string"
 
 
 def _bits_of(repeated: DataFrame, size: int) -> bytes:
@@ -159,6 +193,19 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": batch["key"], "text": texts, "removed_lines": removed, "removed_spans": spans})
 
 
+def _later(spans: DataFrame) -> DataFrame:
+    """(key, tie, inside, first, count) of the spans that occurred before; one that overlaps
+    its first occurrence stays with it. Only first places and counts are shuffled by hash."""
+    groups = spans.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("key", "tie", "first", "count")).alias("keep"))
+    apart = (
+        (F.col("key") != F.col("keep.key"))
+        | (F.col("tie") != F.col("keep.tie"))
+        | (F.col("first") >= F.col("keep.first") + F.col("keep.count"))
+    )
+    found = spans.join(groups.filter("times > 1"), ["h1", "h2"]).filter(apart)
+    return found.select("key", "tie", "inside", "first", "count")
+
+
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, the text without its repeated chunks,
     removed_lines, and removed_spans (first line:end line, comma-joined).
@@ -174,27 +221,23 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     ).withColumn("tie", F.xxhash64("text"))
     counted = rows.select("text").mapInArrow(_hashes, "h1 long").groupBy("h1").agg(F.count("*").alias("times"))
     repeated, _ = save(counted.filter("times > 1").select("h1"), "repeated-hashes")
-    seen = spark.sparkContext.broadcast(_bits_of(repeated, FILTER_BITS))
+    size, n_repeated = FILTER_BITS, repeated.count()
+    while size < min(MOST_FILTER_BITS, BITS_A_HASH * n_repeated):
+        size *= 2
+    seen = spark.sparkContext.broadcast(_bits_of(repeated, size))
     spans, _ = save(rows.mapInArrow(_spans(seen), _SPANS), "spans")
     # a hash stands for one sequence of bytes, else it is not used; copies collapse before
     # the shuffle, and only what may be repeated is shuffled with its text
-    place = F.struct("key", "tie", "first", "count")
-    same = spans.groupBy("h1", "h2", "chunk").agg(F.count("*").alias("times"), F.min(place).alias("keep"))
-    groups = same.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.max("times").alias("times"), F.min("keep").alias("keep"))
-    groups = groups.filter("texts = 1 AND times > 1").select("h1", "h2", "keep")
-    # an occurrence that overlaps the one that stays stays with it
-    apart = (
-        (F.col("key") != F.col("keep.key"))
-        | (F.col("tie") != F.col("keep.tie"))
-        | (F.col("first") >= F.col("keep.first") + F.col("keep.count"))
-    )
-    victims = (
-        spans.drop("chunk")
-        .join(groups, ["h1", "h2"])
-        .filter(apart)
-        .groupBy("key", "tie")
-        .agg(F.collect_set(F.struct("first", "count")).alias("gone"))
-    )
+    texts = spans.groupBy("h1", "h2", "chunk").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("texts"))
+    several, _ = save(texts.filter("texts > 1").select("h1", "h2"), "several-texts")
+    slim = spans.drop("chunk")
+    if n_several := several.count():
+        slim = slim.join(small(several, n_several, 16), ["h1", "h2"], "left_anti")
+    chunks, _ = save(_later(slim.filter("inside < -1")), "later-chunks")
+    went = chunks.select("key", "tie", (-2 - F.col("inside")).alias("inside"))
+    windows = slim.filter("inside >= -1").join(went, ["key", "tie", "inside"], "left_anti")
+    victims = chunks.drop("inside").unionByName(_later(windows).drop("inside"))
+    victims = victims.groupBy("key", "tie").agg(F.collect_set(F.struct("first", "count")).alias("gone"))
     cleaned = rows.join(victims, ["key", "tie"], "left").select("key", "text", "gone").mapInPandas(
         _remove, "doc_id long, text string, removed_lines long, removed_spans string"
     )
