@@ -17,10 +17,12 @@ from collections.abc import Iterator, Sequence
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, drop, save
+from tidemark.llm.common import bounded_batches, drop, lean, quoted, save
 
 #: Decimal logarithm of the guesses from which a value counts as a secret.
 MIN_COST = 8.0
@@ -32,10 +34,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: What every credential word has one of.
 _HINTS = ("pass", "pwd", "pin", "secret", "token", "bearer", "credential", "auth", "key")
-# a credential word, a separator or "is", and a value up to white space or a quote
+# a credential word, a separator or "is", perhaps the scheme of an authorisation, and a value
+# up to white space or a quote
 _CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code|key)?|pwd|pin|secret|token|bearer|credentials?|auth(?:orization)?"""
-    r"""|(?:api|access|private|secret|signing|encryption)[_-]?key)["']?[\x20\t]*(?:[:=]>?|\bis\b)[\x20\t]*["']?([^\s"'<>]{6,})""",
+    r"""|(?:api|access|private|secret|signing|encryption)[_-]?key)["']?[\x20\t]*(?:[:=]>?|\bis\b)[\x20\t]*"""
+    r"""["']?(?:(?:bearer|basic|digest|token)[\x20\t]+)?["']?([^\s"'<>]{6,})""",
     re.I | re.A,
 )
 # ---- fixed values: words that guessers try first, in the order they are tried, and words
@@ -58,9 +62,11 @@ WALKS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqr
 #: Letters that stand for others in words.
 LEET = str.maketrans("4@3105$7!", "aaelosstl")
 # ---- end of fixed values
-#: Words of a corpus that join the dictionary, at most; their letters, and least occurrences.
-MOST_WORDS, WORD_LETTERS, LEAST_TIMES = 50_000, (3, 24), 2
-#: Units of repeats have so many characters at most.
+#: Words of a corpus that join the dictionary, at most, as it is sent to every task; their
+#: letters; and how often they stand in prose, at least, and for each time in a context.
+MOST_WORDS, WORD_LETTERS, LEAST_TIMES, PROSE_TIMES = 50_000, (3, 64), 2, 5
+#: Units of repeats have so many characters at most: longer ones cost more than MIN_COST
+#: themselves, a digit a tenfold, so that no such repeat makes a value cheap.
 LONGEST_UNIT = 8
 _DATE = re.compile(
     r"(?=((?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d))"
@@ -173,25 +179,80 @@ def guess_cost(value: str) -> float:
     return _guesser().cost(value)
 
 
-def common_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS) -> list[str]:
+def contexts(text: str) -> Iterator[re.Match]:
+    """Values in credential contexts, from left to right. The search goes on behind the first
+    character of each, so that a credential word which is itself a value has its own value."""
+    m = _CONTEXT.search(text)
+    while m:
+        yield m
+        m = _CONTEXT.search(text, m.start(1))
+
+
+_COUNTED = "word string, n long, in_context long, h_least long, h_most long, s_least long, s_most long"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of batches of texts: how often in prose and in contexts, and the least and the
+    greatest hash of the texts and of the sources that have them in prose."""
+    names = [c.split()[0] for c in _COUNTED.split(", ")]
+
+    def words_of(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        split = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}]+")
+        words, owner = split.flatten(), pc.list_parent_indices(split)
+        fit = pc.and_(pc.greater_equal(pc.utf8_length(words), WORD_LETTERS[0]), pc.less_equal(pc.utf8_length(words), WORD_LETTERS[1]))
+        return words.filter(fit), owner.filter(fit)
+
+    for batch in batches:
+        texts, values = [], []
+        for text in batch.column("text").to_pylist():
+            low = text.lower()
+            if any(h in low for h in _HINTS):
+                values += [m[1] for m in contexts(text)]
+                text = _CONTEXT.sub(" ", text)
+            texts.append(text)
+        words, owner = words_of(pa.array(texts, pa.string()))
+        table = pa.table({"word": words, "h": batch.column("h").take(owner), "s": batch.column("s").take(owner)})
+        prose = table.group_by("word").aggregate([([], "count_all"), ("h", "min"), ("h", "max"), ("s", "min"), ("s", "max")])
+        zero = pa.array(np.zeros(len(prose), np.int64))
+        columns = [prose[c].combine_chunks() for c in ("word", "count_all", "h_min", "h_max", "s_min", "s_max")]
+        yield pa.RecordBatch.from_arrays([columns[0], columns[1], zero, *columns[2:]], names)
+        counts = words_of(pa.array(values, pa.string()))[0].value_counts()
+        if len(counts):
+            none = pa.nulls(len(counts), pa.int64())
+            zero = pa.array(np.zeros(len(counts), np.int64))
+            yield pa.RecordBatch.from_arrays([counts.field("values"), zero, counts.field("counts"), none, none, none, none], names)
+
+
+def common_words(docs: DataFrame, text_col: str = "text", source_col: str = "source", most: int = MOST_WORDS) -> list[str]:
     """The most frequent words of all texts, lower-cased, most frequent first: a dictionary
-    for guessing. Values in credential contexts do not count, nor do words that occur less
-    than LEAST_TIMES. At most `most` words reach the driver: where counts of about one size
-    would pass that, none with them or lower ones joins. Null texts have no words."""
-    text, low = F.col(text_col), F.lower(F.col(text_col))
-    context = F.reduce(F.array(*(F.contains(low, F.lit(w)) for w in _HINTS)), F.lit(False), lambda a, b: a | b)
-    clean = F.lower(F.when(context, F.regexp_replace(text, f"(?i){_CONTEXT.pattern}", " ")).otherwise(text))
-    words = docs.select(F.explode(F.split(clean, r"[^\p{L}]+")).alias("word"))
-    words = words.filter(F.char_length("word").between(*WORD_LETTERS)).groupBy("word").agg(F.count("*").alias("n"))
-    words, path = save(words.filter(F.col("n") >= LEAST_TIMES), "words")
+    for guessing. So what is found in a text depends on the corpus that it is scanned with.
+
+    A word stands LEAST_TIMES in prose, in two different texts and, where there are several
+    sources, in two of them, so that copies of a text with a secret teach nothing; and
+    PROSE_TIMES as often in prose as in credential contexts, so that a secret which is spoken
+    of elsewhere is none. At most `most` words reach the driver: where counts of about one
+    size would pass that, none with them or lower ones joins. Null texts have no words, a null
+    source is a source; without source_col all texts have one.
+    """
+    bounded_batches(docs.sparkSession)
+    source = F.xxhash64(F.col(source_col).cast("string")) if source_col in docs.columns else F.lit(0).cast("long")
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("h"), source.alias("s"))
+    counted = rows.mapInArrow(lean(_counted), _COUNTED).groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("in_context").alias("in_context"), F.min("h_least").alias("h_least"), F.max("h_most").alias("h_most"),
+        F.min("s_least").alias("s_least"), F.max("s_most").alias("s_most"),
+    )
+    words, path = save(counted.filter(F.col("n") >= LEAST_TIMES), "words")
+    one_source = words.agg(F.min("s_least") == F.max("s_most")).first()[0]
+    spread = (F.col("h_least") < F.col("h_most")) & (F.lit(bool(one_source)) | (F.col("s_least") < F.col("s_most")))
+    fit = words.filter(spread & (F.col("n") >= PROSE_TIMES * F.col("in_context"))).select("word", "n")
     size = F.floor(64 * F.log2("n")).cast("int")  # some 4,000 sizes at most
     least, total = 1 << 30, 0
-    for at, n in sorted(map(tuple, words.groupBy(size.alias("size")).count().collect()), reverse=True):
+    for at, n in sorted(map(tuple, fit.groupBy(size.alias("size")).count().collect()), reverse=True):
         total += n
         if total > most:
             break
         least = at
-    top = words.filter(size >= least).collect()
+    top = fit.filter(size >= least).collect()
     drop(docs.sparkSession, path)
     return [r.word for r in sorted(top, key=lambda r: (-r.n, r.word))]
 
@@ -205,12 +266,17 @@ def find_secrets(text: str, guesser: Guesser | None = None) -> tuple[list[tuple[
     spans += [(*m.span(), "access") for m in _ACCESS.finditer(text)]
     spans += [(*m.span(), "hex") for m in _HEX.finditer(text)]
     most = max((guess_cost(v) for _, _, v in assign), default=0.0)
-    for m in _CONTEXT.finditer(text):
+    covered = 0
+    for m in contexts(text):
         start, end = m.span(1)
+        if start < covered:
+            continue  # part of a value that is a secret as a whole
         cost = guess_cost(m[1])
         most = max(most, cost)
         if cost >= MIN_COST and not any(s < end and start < e for s, e, _ in assign):
             spans.append((start, end, "guess"))
+        if cost >= MIN_COST:
+            covered = end
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])), most
 
 
@@ -241,7 +307,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranked words besides WORDS that guessers know, as from common_words.
 
     A null text counts as empty and has no span; a null id stays null; repeated rows give
-    a row each; an empty table gives an empty result; other columns are not read.
+    a row each; with words from a corpus the guess spans depend on that corpus; an empty table gives an empty result; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -268,4 +334,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret
 
         return texts.map(one)
 
-    return docs.withColumn(text_col, redact(F.col(f"`{text_col}`")))
+    return docs.withColumn(text_col, redact(F.col(quoted(text_col))))
