@@ -474,6 +474,19 @@ def test_every_line_of_a_repeated_run_goes(spark):
     assert got == want
 
 
+def test_repeated_items_are_one_text(spark, monkeypatch):
+    """An item in a third of the rows, under one id and under many, is held once."""
+    passage = " ".join(f"word{i}" for i in range(30))
+    held, real = [], decontaminate.Sketches
+    monkeypatch.setattr(decontaminate, "Sketches", lambda rows: held.append(len(rows)) or real(rows))
+    items = spark.createDataFrame([(1, passage)] * 300 + [(100 + i, passage) for i in range(300)] + [(1000 + i, f"other item {i} of some more words") for i in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (1, f"a {passage} b"), (2, "none of it")], "doc_id long, text string")
+    got = decontaminate.contained_items(docs, items, block_bytes=600)
+    assert got.count() == 2 * 600 and got.select("item_id").distinct().count() == 301
+    assert sum(held) == 41 and max(held) < 15
+    assert decontaminate.decontaminate(docs, items, block_bytes=600).count() == 1
+
+
 @pytest.mark.parametrize("shared", ["one id", "no id", "one row", "no id, one row"])
 def test_mixing_meets_targets_with_shared_rows(spark, shared):
     """A third of the rows with one id or none, or alike throughout: each row draws for itself."""

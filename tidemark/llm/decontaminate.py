@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, lean, save
+from tidemark.llm.common import bounded_batches, lean, quoted, save, small
 
 SHINGLE_WORDS, THRESHOLD_PERCENT = 5, 80
 #: Bytes of item texts that a task holds at once.
@@ -107,14 +107,19 @@ class Sketches:
         return found
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[Sketches, bool]]:
-    """Sketches of the items, block by block, and whether it is the last; the number of
-    blocks grows with the items, and the driver holds one at a time."""
-    items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = total // block_bytes + 1
+def item_key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def item_blocks(items: DataFrame, text_col: str, block_bytes: int) -> Iterator[tuple[Sketches, bool]]:
+    """Sketches of the distinct texts of the items (with item_key), block by block, and whether
+    it is the last; the number of blocks grows with these texts, and the driver holds one at a
+    time, however often an item is repeated."""
+    texts = items.select(item_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
+    total, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    blocks = (total + 64 * rows) // block_bytes + 1
     for n in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == n).orderBy("id", "text")
+        part = texts.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == n).orderBy("key")
         yield Sketches([tuple(r) for r in part.collect()]), n == blocks - 1
 
 
@@ -134,7 +139,7 @@ def contained_items(
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, item_shingles long, shared_shingles long"
+    schema = "doc_id long, key string, item_shingles long, shared_shingles long"
 
     def search(sketches: Sketches):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,20 +150,24 @@ def contained_items(
                     for i, text in enumerate(batch["text"])
                     for found in sketches.search(text)
                 ]
-                frame = pd.DataFrame(out, columns=["doc_id", "item_id", "item_shingles", "shared_shingles"])
-                yield frame.astype("Int64")
+                frame = pd.DataFrame(out, columns=["doc_id", "key", "item_shingles", "shared_shingles"])
+                yield frame.astype({c: "Int64" for c in frame.columns if c != "key"} | {"key": object})
 
         return run
 
     found = None
-    for sketches, last in item_blocks(items, "item_id", "text", block_bytes):
+    for sketches, last in item_blocks(items, "text", block_bytes):
         part = rows.mapInPandas(search(sketches), schema)
         part = part if last and found is None else save(part, "items-found")[0]
         found = part if found is None else found.unionByName(part)
-    return found.withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
+    # an item that is repeated, under one id or several, is found once and given for each row
+    ids = items.select(F.col("item_id").cast("long").alias("item_id"), item_key(F.col("text")).alias("key"))
+    pairs = found.join(small(ids, ids.count(), 100), "key").select("doc_id", "item_id", "item_shingles", "shared_shingles")
+    return pairs.withColumn("containment", F.col("shared_shingles") / F.col("item_shingles"))
 
 
 def contains_any(text: Column, sketches: Sketches) -> Column:
+    """Whether a text contains an item; a null text or one without words does not."""
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([bool(sketches.search(t)) for t in texts], dtype=bool)
@@ -178,8 +187,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", blo
     table stays empty; all columns are kept.
     """
     bounded_batches(docs.sparkSession)
-    for sketches, last in item_blocks(items, "item_id", "text", block_bytes):
-        docs = docs.filter(~contains_any(F.col(f"`{text_col}`"), sketches))
+    for sketches, last in item_blocks(items, "text", block_bytes):
+        docs = docs.filter(~contains_any(F.col(quoted(text_col)), sketches))
         docs = docs if last else save(docs, "decontaminated")[0]
     return docs
 
