@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import index, retrieval
 from tidemark.operators.bounds import small
+from tidemark.sources.shared import save
 
 
 def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = retrieval.TOP_K) -> DataFrame:
     """The k best chunks of each question by keywords alone, with rank and excerpt.
 
-    The ranked rows are at most k a question; below a bound they are broadcast, so the
-    chunks' texts are not shuffled to be looked up.
+    Chunks are stored first, as they are read for postings and for excerpts. The ranked rows
+    are at most k a question; below a bound they are broadcast, so the chunks' texts are not
+    shuffled to be looked up.
     """
+    chunks = save(chunks, "chunks")
     terms = retrieval.query_terms(questions)
     found = retrieval.keyword_candidates(terms, index.postings(chunks, terms))
     best = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), "chunk_id")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import vectors as vx
 from tidemark.operators import access, answers, chunking, index, retrieval
+from tidemark.operators import postings as postings_store
+from tidemark.operators.bounds import small
 from tidemark.plans import hybrid, ingest
 from tidemark.plans import standins as st
+from tidemark.sources.shared import save, shared_dir
 
 QUERIES, SQL = {}, {}
 
@@ -187,13 +192,26 @@ def _fused(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir):
-    """The ranked chunks, a few rows a question, with what answers need of them."""
-    ranked = retrieval.fused_topk(_fused(spark, sf_dir))
+    """The ranked chunks, a few rows a question and stored, with what answers need of them:
+    only then are texts looked up, and whatever uses the list twice reads what is stored."""
+    ranked = save(retrieval.fused_topk(_fused(spark, sf_dir)), "ranked")
     about = st.vector_rows(spark, sf_dir).select(
         "chunk_id", "content", F.lit("document").alias("source_type"), F.col("chunk_id").alias("source_id"),
         F.concat_ws("-", "lang", F.col("chunk_id").cast("string")).alias("source_title"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("section"),
     )
-    return ranked.join(about, "chunk_id")
+    return save(small(ranked, ranked.count(), 128).join(about, "chunk_id"), "ranked-texts")
+
+
+@query(SEARCHED + " SELECT query_id, chunk_id, keyword_score FROM keyword_pool")
+def keyword_candidates_stored(spark, sf_dir):
+    """The same candidates from postings that are stored in blocks first, and then searched
+    with bounds of their scores; a tenth of the chunks join them by an update."""
+    chunks = save(st.chunks(spark, sf_dir, st.live(spark, sf_dir)), "chunks")
+    table = postings_store.stored_postings(spark, f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}", 16)
+    late = F.pmod(F.xxhash64("chunk_id"), F.lit(10)) == 0
+    postings_store.write_postings(table, chunks.filter(~late))
+    postings_store.update_postings(table, chunks.limit(0), chunks.filter(late))
+    return postings_store.search_stored(retrieval.query_terms(st.questions(spark, sf_dir)), table)
 
 
 @query(HYBRID + " SELECT query_id, chunk_id, vector_score FROM vector_pool")

@@ -72,6 +72,11 @@ class BucketedTable:
     def read(self) -> DataFrame:
         return self._read(self.current()[1])
 
+    def read_keys(self, rows: DataFrame) -> DataFrame:
+        """The buckets that the keys of rows lie in; other keys of these buckets are there too."""
+        wanted = {r.bucket for r in rows.select(self.bucket().alias("bucket")).distinct().collect()}  # numbers of buckets
+        return self._read({b: v for b, v in self.current()[1].items() if b in wanted})
+
     def _same(self, other: DataFrame, prefix: str) -> tuple[DataFrame, Column]:
         names = {k: f"{prefix} {k}" for k in self.keys}
         renamed = other.select(*self.keys).distinct().withColumnsRenamed(names)
