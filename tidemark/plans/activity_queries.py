@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import workflow
+from tidemark.plans import review
 from tidemark.plans import standins as st
 from tidemark.sources import tables
 from tidemark.streaming import replay
@@ -129,6 +130,17 @@ def knowledge_transitions(spark, sf_dir):
     return workflow.knowledge_transitions(requests).drop("reviewed_at", "approved_by", "published_at")
 
 
+@query(
+    f"""SELECT 'knowledge' AS resource_type, item_id AS resource_id, seq, CASE target WHEN 'UNDER_REVIEW' THEN 'KNOWLEDGE_SUBMIT' WHEN 'APPROVED' THEN 'KNOWLEDGE_APPROVE'
+      WHEN 'PUBLISHED' THEN 'KNOWLEDGE_PUBLISH' WHEN 'DRAFT' THEN 'KNOWLEDGE_REJECT' ELSE 'KNOWLEDGE_ARCHIVE' END AS event_code,
+      '{{"previousStatus":"' || previous || '","newStatus":"' || status || '"}}' AS metadata
+    FROM (SELECT *, coalesce(lag(status) OVER (PARTITION BY item_id ORDER BY seq), 'DRAFT') AS previous FROM ({SQL["knowledge_transitions"]})) WHERE accepted"""
+)
+def knowledge_events(spark, sf_dir):
+    """The audit events of the accepted requests."""
+    return review.knowledge_events(knowledge_transitions(spark, sf_dir))
+
+
 @query(
     """WITH a AS (SELECT user_id AS item_id, event_id AS seq, ts, CASE event_type WHEN 'view' THEN 'submit' WHEN 'click' THEN 'approve' WHEN 'purchase' THEN 'publish'
       WHEN 'signup' THEN 'reject' ELSE 'archive' END AS action, event_id % 7 AS actor, CASE WHEN event_id % 2 = 0 THEN props END AS notes
