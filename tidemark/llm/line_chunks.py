@@ -16,6 +16,7 @@ repeated line that stands alone has to have to be a passage.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,22 +40,34 @@ _ROLL = (0x243F6A8885A308D3, 0x13198A2E03707344)
 
 
 def _is_long(line: str) -> bool:
-    return len(line) >= 2 * LONG_LINE - 1 and len(line.split()) >= LONG_LINE
+    return len(line) >= 2 * LONG_LINE - 1 and len(line.split(None, LONG_LINE)) >= LONG_LINE
+
+
+_last: list = [None, None, None]
+
+
+def _known(lines: list[str]) -> tuple[list[tuple[int, int]], list[bool]]:
+    """Two hashes of 64 bits of each line, and whether it is long. Those of the list asked for
+    last are kept."""
+    if _last[0] is not lines:
+        raw = b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines])
+        _last[:] = lines, list(struct.iter_unpack("<QQ", raw)), list(map(_is_long, lines))
+    return _last[1], _last[2]
 
 
 def chunk_lines(lines: list[str]) -> list[tuple[int, int]]:
     """(first line, number of lines) of the content-defined chunks, in order."""
     chunks: list[tuple[int, int]] = []
-    n, at = len(lines), 0
+    n, at, (hashes, long) = len(lines), 0, _known(lines)
     while at < n:
-        if _is_long(lines[at]):
+        if long[at]:
             chunks.append((at, 1))
             at += 1
             continue
         end = at
-        while end < n and not _is_long(lines[end]):
+        while end < n and not long[end]:
             end += 1
-        own = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines[at:end]]
+        own = [h for h, _ in hashes[at:end]]
         rolled = [((a * 0x9E3779B97F4A7C15 ^ b) * 0xC2B2AE3D27D4EB4F) & _MASK for a, b in zip([0, *own], own)]
         start = at
         for i in range(at, end):
@@ -71,7 +84,7 @@ def spans_of(lines: list[str]) -> list[tuple[int, int]]:
     """Spans to compare: long lines, and all windows of LEAST_LINES lines but those of two
     long lines, which are compared one by one. Spans of blank lines are left out; more than
     two of them are in a span with the lines around them."""
-    long = [_is_long(x) for x in lines]
+    long = _known(lines)[1]
     blank = [not x.strip() for x in lines]
     spans = [(i, 1) for i, x in enumerate(long) if x]
     windows = range(len(lines) - LEAST_LINES + 1)
@@ -87,22 +100,21 @@ def spans_of(lines: list[str]) -> list[tuple[int, int]]:
 
 def span_hashes(lines: list[str], spans: list[tuple[int, int]]) -> np.ndarray:
     """(spans, 2) hashes of 64 bits, rolled over the 128-bit hashes of the lines in a span."""
-    raw = b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines])
-    of_line, places = np.frombuffer(raw, "<u8").reshape(-1, 2), np.array(spans, np.int64).reshape(-1, 2)
-    first, count = places.T
-    out = np.tile(np.array(_ROLL, "<u8"), (len(spans), 1))
-    for k in range(int(count.max(initial=0))):
-        on = np.flatnonzero(count > k)
-        mixed = (out[on] ^ of_line[first[on] + k]) * np.uint64(0x9E3779B97F4A7C15)
-        out[on] = mixed ^ (mixed >> np.uint64(29))
-    return out
+    hashes, out = _known(lines)[0], []
+    for first, count in spans:
+        one, two = _ROLL
+        for x, y in hashes[first : first + count]:
+            one, two = (one ^ x) * 0x9E3779B97F4A7C15 & _MASK, (two ^ y) * 0x9E3779B97F4A7C15 & _MASK
+            one, two = one ^ one >> 29, two ^ two >> 29
+        out.append((one, two))
+    return np.array(out, "<u8").reshape(-1, 2)
 
 
 def chunk_spans(lines: list[str]) -> tuple[list[tuple[int, int]], list[int]]:
     """Chunks to compare (first line, number of lines), and the number of the chunk of each
     line. Single short lines and blank lines alone are no chunks to compare; of blank lines at
     an end of a chunk one is left, as more of them are in no window with a line of the chunk."""
-    spans, of_line = [], []
+    spans, of_line, long = [], [], _known(lines)[1]
     for number, (first, count) in enumerate(chunk_lines(lines)):
         of_line += [number] * count
         end = first + count
@@ -110,7 +122,7 @@ def chunk_spans(lines: list[str]) -> tuple[list[tuple[int, int]], list[int]]:
             first += 1
         while end - first > 1 and not lines[end - 1].strip() and not lines[end - 2].strip():
             end -= 1
-        if end - first >= LEAST_LINES or _is_long(lines[first]):
+        if end - first >= LEAST_LINES or long[first]:
             spans.append((first, end - first))
     return spans, of_line
 
