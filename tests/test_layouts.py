@@ -189,3 +189,27 @@ def test_limits_of_one_key_in_batches(spark):
     df = spark.createDataFrame(rows, "key string, action string, ts string, id int").withColumn("ts", F.to_timestamp("ts"))
     got = replay.sliding_log_limit(df).orderBy("id").collect()
     assert [(r.allowed, r.remaining) for r in got] == [(True, 4), (True, 3), (True, 2), (True, 1), (True, 0), (False, 0), (False, 0)]
+
+
+def test_a_hot_item_is_replayed_in_pieces(spark):
+    """An item with most requests, cut in pieces: statuses, decisions and stamps as of the
+    sequential fold, which is that of no hot item."""
+    import random
+
+    from tidemark.operators import workflow
+
+    rng = random.Random(4)
+    targets = ["UNDER_REVIEW", "APPROVED", "PUBLISHED", "DRAFT", "DRAFT", "UNDER_REVIEW", "ODD", ""]
+    rows = [(5 if i % 4 else i % 12, i, rng.choice(targets), rng.randrange(9), i * 10, rng.random() < 0.9) for i in range(3000)]
+    rows += [(5, 2999, "ARCHIVED", 1, 7, True), (None, 1, "UNDER_REVIEW", 1, 1, True)] + [(6, i, "ARCHIVED" if i == 100 else "UNDER_REVIEW", 2, i, True) for i in range(400)]
+    df = spark.createDataFrame(rows, "item_id int, seq long, target string, user_id int, ts long, permitted boolean")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for df_of in (df, df.drop("user_id")):
+            want = rows_of(workflow.knowledge_transitions(df_of))
+            assert rows_of(workflow.knowledge_transitions(df_of, 300)) == want
+        pieces = segments.pieces_of(df.filter("item_id = 5"), ["item_id"], ["seq"], "piece", "at")
+        assert pieces.select("piece").distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert any(r[3] for r in want) and not all(r[3] for r in want)

@@ -27,6 +27,12 @@ def _pieces(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFr
     return save(dealt.withColumn(_PIECE, F.shiftrightunsigned(_AT, 33)), "segments")
 
 
+def pieces_of(df: DataFrame, keys: list[str], order: list[Column | str], piece: str, at: str) -> DataFrame:
+    """df stored, with the piece of its key that each row lies in and its place: pieces of a key
+    follow each other, and so do places."""
+    return _pieces(df, keys, order).withColumnsRenamed({_PIECE: piece, _AT: at})
+
+
 def _with_edges(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """rows with the columns of edges, one row for each piece of a key."""
     names = {c: f"edge {c}" for c in (*keys, _PIECE)}
