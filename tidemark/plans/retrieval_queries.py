@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import vectors as vx
-from tidemark.operators import access, answers, chunking, index, retrieval
+from tidemark.operators import access, answers, cells, chunking, index, retrieval
 from tidemark.operators import postings as postings_store
 from tidemark.operators.bounds import small
 from tidemark.plans import hybrid, ingest
@@ -232,6 +232,16 @@ def vector_topk(spark, sf_dir):
     return retrieval.vector_candidates(asked, rows)
 
 
+@query(SQL["vector_topk"])
+def vector_topk_cells(spark, sf_dir):
+    """The same nearest vectors, from cells of which those out of reach are skipped."""
+    rows = st.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"), F.col("label").alias("organization_id"), "embedding"
+    )
+    asked = rows.filter("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+    return cells.search_cells(asked, *cells.build_cells(rows))[0]
+
+
 @query(HYBRID + " SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, chunk_id) - 1 AS rank0 FROM vector_pool")
 def candidate_ranks(spark, sf_dir):
     ranks = retrieval.candidate_ranks(vector_candidates(spark, sf_dir), "vector_score")
