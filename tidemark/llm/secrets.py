@@ -32,6 +32,8 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+#: Tells bytes that may be in a hex run, so that runs are sought only where there are long ones.
+_HEX_BYTES = bytes(ord("x") if chr(b) in "0123456789abcdef" else ord(" ") for b in range(256))
 #: What every credential word has one of.
 _HINTS = ("pass", "pwd", "pin", "secret", "token", "bearer", "credential", "auth", "key")
 # a credential word, a separator or "is", perhaps the scheme of an authorisation, and a value
@@ -261,13 +263,17 @@ def find_secrets(text: str, guesser: Guesser | None = None) -> tuple[list[tuple[
     """Spans (start, end, kind) by start, then kind as in KINDS; and the highest cost of a
     value in a credential context (0 without any)."""
     guess_cost = (guesser or _guesser()).cost
-    assign = [(m.start(), m.end(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    low = text.lower()
+    hinted = any(h in low for h in _HINTS)
+    assign = [(m.start(), m.end(), m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6] if hinted else []
     spans = [(s, e, "assign") for s, e, _ in assign]
-    spans += [(*m.span(), "access") for m in _ACCESS.finditer(text)]
-    spans += [(*m.span(), "hex") for m in _HEX.finditer(text)]
+    if "AKIA" in text:
+        spans += [(*m.span(), "access") for m in _ACCESS.finditer(text)]
+    if b"x" * 24 in text.encode("utf-8", "surrogatepass").translate(_HEX_BYTES):
+        spans += [(*m.span(), "hex") for m in _HEX.finditer(text)]
     most = max((guess_cost(v) for _, _, v in assign), default=0.0)
     covered = 0
-    for m in contexts(text):
+    for m in contexts(text) if hinted else ():
         start, end = m.span(1)
         if start < covered:
             continue  # part of a value that is a secret as a whole
