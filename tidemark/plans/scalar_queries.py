@@ -89,38 +89,33 @@ def client_ip(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, 'عنوان: ' || substr(q, 1, 60) || chr(10) || chr(10) || 'مسئله (Problem): ' || q || chr(10) || chr(10) ||
-      'اقدامات انجام‌شده (Actions Taken): ' || a || chr(10) || chr(10) || 'درس آموخته (Lesson Learned): ' || substr(a, 1, 200) ||
+    f"""SELECT conv_id, turn, 'عنوان: ' || q || chr(10) || chr(10) || 'مسئله (Problem): ' || q || chr(10) || chr(10) ||
+      'اقدامات انجام‌شده (Actions Taken): ' || a || chr(10) || chr(10) || 'درس آموخته (Lesson Learned): ' || a ||
       chr(10) || chr(10) || 'برچسب‌ها: ' || 'user، assistant' AS text
-    FROM (SELECT conv_id, max(text) FILTER (role = 'user') AS q, max(text) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id)
-    WHERE q <> '' AND a <> ''"""
+    FROM {st.EXCHANGES_SQL}"""
 )
 def experience_text(spark, sf_dir):
-    """Lessons made from conversations: a question as problem, an answer as action."""
+    """Lessons made from conversations: each question as problem, its answer as action."""
     rows, fields = _lessons(spark, sf_dir)
-    return rows.select("conv_id", tx.experience_text(fields, F.array(F.lit("user"), F.lit("assistant"))).alias("text"))
+    return rows.select("conv_id", "turn", tx.experience_text(fields, F.array(F.lit("user"), F.lit("assistant"))).alias("text"))
 
 
 def _lessons(spark, sf_dir):
-    said = lambda role: F.max(F.when(F.col("role") == role, F.col("text")))
-    rows = st.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said("user").alias("q"), said("assistant").alias("a"))
     fields = {
-        "title": F.substring("q", 1, 60), "subject": F.lit(""), "problem_description": F.col("q"), "root_cause": F.lit(None).cast("string"),
-        "actions_taken": F.col("a"), "lessons_learned": F.substring("a", 1, 200),
+        "title": F.col("q"), "subject": F.lit(""), "problem_description": F.col("q"), "root_cause": F.lit(None).cast("string"),
+        "actions_taken": F.col("a"), "lessons_learned": F.col("a"),
     }
-    return rows.filter("q <> '' AND a <> ''"), fields
+    return st.exchanges(spark, sf_dir), fields
 
 
 @query(
-    """SELECT conv_id, concat_ws(chr(10), substr(q, 1, 60), q, substr(a, 1, 200), a) AS at_first,
-      concat_ws(chr(10) || chr(10), substr(q, 1, 60), q, a, substr(a, 1, 200)) AS published
-    FROM (SELECT conv_id, max(text) FILTER (role = 'user') AS q, max(text) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id)
-    WHERE q <> '' AND a <> ''"""
+    f"""SELECT conv_id, turn, concat_ws(chr(10), q, q, a, a) AS at_first, concat_ws(chr(10) || chr(10), q, q, a, a) AS published
+    FROM {st.EXCHANGES_SQL}"""
 )
 def experience_embedding_text(spark, sf_dir):
     rows, fields = _lessons(spark, sf_dir)
     text = tx.experience_embedding_text
-    return rows.select("conv_id", text(fields, False).alias("at_first"), text(fields, True).alias("published"))
+    return rows.select("conv_id", "turn", text(fields, False).alias("at_first"), text(fields, True).alias("published"))
 
 
 @query("SELECT doc_id, substr(text, 1, 300) AS excerpt, CASE WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 197) || '...' END AS short FROM documents")

@@ -87,26 +87,35 @@ chunks AS (
   FROM steps JOIN headed d ON steps.id = d.id WHERE closed IS NOT NULL)"""
 
 
+def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, q, a): each question of a conversation with the answer that follows."""
+    rows = table(spark, sf_dir, "conversations")
+    asked = rows.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("q"))
+    said = rows.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("a"))
+    return asked.join(said, ["conv_id", "turn"]).filter("q <> '' AND a <> ''")
+
+
+EXCHANGES_SQL = """(SELECT u.conv_id, u.turn, u.text AS q, s.text AS a FROM conversations u JOIN conversations s
+  ON u.conv_id = s.conv_id AND s.turn = u.turn + 1 WHERE u.role = 'user' AND s.role = 'assistant' AND u.text <> '' AND s.text <> '')"""
+
+
 def lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as lessons: the last said question and answer, by code point, as
-    problem and action; ids are negative, so that none is a document's."""
-    said = lambda role: F.max(F.when(F.col("role") == role, F.col("text")))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(said("user").alias("q"), said("assistant").alias("a"))
+    """Exchanges of conversations as lessons: question and answer as problem and action; ids
+    are negative, so that none is a document's."""
     number = F.col("conv_id")
     status = F.element_at(F.array(*map(F.lit, ("PUBLISHED", "published", "APPROVED", "DRAFT"))), (number % 4 + 1).cast("int"))
-    return rows.filter("q <> '' AND a <> ''").select(
-        (-number - 1).alias("id"), F.concat(F.lit("src"), (number % ORGANIZATIONS).cast("string")).alias("organization_id"),
-        F.substring("q", 1, 60).alias("title"), F.col("q").alias("problem_description"), F.col("a").alias("actions_taken"),
-        F.substring("a", 1, 200).alias("lessons_learned"), F.array(F.lit("chat")).alias("tags"),
+    return exchanges(spark, sf_dir).select(
+        (-(number * 100_000 + F.col("turn")) - 1).alias("id"), F.concat(F.lit("src"), (number % ORGANIZATIONS).cast("string")).alias("organization_id"),
+        F.col("q").alias("title"), F.col("q").alias("problem_description"), F.col("a").alias("actions_taken"),
+        F.col("a").alias("lessons_learned"), F.array(F.lit("chat")).alias("tags"),
         status.alias("status"), (number % 9 == 0).alias("is_deleted"),
     )
 
 
-LESSONS_SQL = r"""lessons AS (
-  SELECT -conv_id - 1 AS id, 'src' || conv_id % 20 AS organization_id, q, a,
+LESSONS_SQL = f"""lessons AS (
+  SELECT -(conv_id * 100000 + turn) - 1 AS id, 'src' || conv_id % 20 AS organization_id, q, a,
          ['PUBLISHED', 'published', 'APPROVED', 'DRAFT'][conv_id % 4 + 1] AS status, conv_id % 9 = 0 AS is_deleted
-  FROM (SELECT conv_id, max(text) FILTER (role = 'user') AS q, max(text) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id)
-  WHERE q <> '' AND a <> '')"""
+  FROM {EXCHANGES_SQL})"""
 
 
 def experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
