@@ -198,7 +198,10 @@ def keep_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of a model that never saw held-out rows."""
+    """doc_id, held_out, score, predicted of a model that never saw held-out rows: a row for
+    each row of docs. A null or wordless text has the score of the bias alone; a null id is not
+    held out and has no label; repeated rows score alike; without labels all score 0.5 or
+    more; an empty table gives an empty result; other columns are not read."""
     model = train(docs, labels, condition=not_held_out())
     held_out = F.coalesce(~not_held_out(), F.lit(False))
     return score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")

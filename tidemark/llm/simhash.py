@@ -503,7 +503,10 @@ def deduplicate_similar(
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint as 16 lowercase hex digits, and component_id."""
+    """doc_id, fingerprint as 16 lowercase hex digits, and component_id: a row for each row of
+    docs. Null and wordless texts have fingerprint zero and are linked like any other; a null
+    id comes first, and is the component_id of what it is linked to; repeated rows are in one
+    component; an empty table gives an empty result; other columns are not read."""
     return near_duplicates(docs).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )

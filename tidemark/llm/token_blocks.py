@@ -275,7 +275,7 @@ def write_blocks(
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks with first_id: the number of ids in all blocks before."""
+    """Blocks with first_id: the number of ids in all blocks before. No documents, no blocks."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select(
@@ -286,12 +286,15 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (binary, unsigned 32-bit) of each document."""
+    """doc_id, start, n_tokens and ids (binary, unsigned 32-bit) of each document: a row for
+    each row that was written, null ids and repeated rows among them, texts without words with
+    the end id alone."""
     return _read(spark, path, "doc_id long, start long, n_tokens long, ids binary", lambda ids: ids.tobytes(), "ids")
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, read back from the blocks."""
+    """doc_id, start, n_tokens and ids_crc32 of each document, read back from the blocks; rows
+    are as read_documents says."""
     return _read(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda ids: zlib.crc32(ids), "ids_crc32")
 
 
@@ -318,7 +321,9 @@ def _read(spark: SparkSession, path: str, schema: str, value, name: str) -> Data
 
 
 def token_report(docs: DataFrame, tokenizer_path: str, vocabulary: int | None = None) -> DataFrame:
-    """Write docs to a new folder of blocks, and what read_checksums reads back."""
+    """Write docs to a new folder of blocks, and what read_checksums reads back: a row for each
+    row of docs, in ascending order of ids, null first; a null text counts as empty; an empty
+    table gives an empty result; other columns are not read."""
     path = f"{shared_dir(docs.sparkSession)}/blocks-{uuid.uuid4().hex}"
     write_blocks(docs, path, tokenizer_path, vocabulary)
     return read_checksums(docs.sparkSession, path)
