@@ -147,7 +147,8 @@ def test_the_fold_holds_one_page(spark):
     def batches():
         for i in range(2000):
             taken.append(i)
-            yield pa.RecordBatch.from_pydict({"s": [1], "page": pa.array([i], pa.int32()), "texts": pa.array([["t" * 50] * 20]), "headings": pa.array([[None] * 20], pa.list_(pa.string()))})
+            parts = pa.array([[{"text": "t" * 50, "heading": None}] * 20], pa.list_(pa.struct([("text", pa.string()), ("heading", pa.string())])))
+            yield pa.RecordBatch.from_pydict({"s": [1], "page": pa.array([i], pa.int32()), "parts": parts})
 
     made = chunking.packer(["s"], False, 100, 10)(batches())
     first = next(made)

@@ -36,12 +36,12 @@ TAGS_LABEL, TAG_JOINER = "برچسب‌ها: ", "، "
 MOST_TERMS, EXCERPT_CHARS = 12, 300
 
 
-_SPACE = f"[{SPACE}]"
+_SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def trim_space(text: Column) -> Column:
     """text without white space at its ends."""
-    return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def collapse(text: Column) -> Column:

@@ -22,7 +22,7 @@ def paragraphs(page_text: Column) -> Column:
 
 
 def packer(keys: list[str], each: bool, size: int, overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pages (keys, page, texts, headings) in order to chunks (keys, section, page, chunk_index,
+    """Pages (keys, page, parts) in order, parts being (text, heading) each, to chunks (keys, section, page, chunk_index,
     open), where open is the text of the chunk with its outer white space.
 
     The open buffer, the last heading and the next index are all that is carried on, over the
@@ -37,11 +37,14 @@ def packer(keys: list[str], each: bool, size: int, overlap: int) -> Callable[[It
         for batch in batches:
             owners = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
             pages, rows, out = batch.column("page").to_pylist(), [], []
-            for i, (texts, headings) in enumerate(zip(batch.column("texts"), batch.column("headings"), strict=True)):
+            parts = batch.column("parts")
+            ends, every = parts.offsets.to_pylist(), parts.values
+            texts, headings = every.field("text"), every.field("heading")
+            for i, (first, end) in enumerate(zip(ends, ends[1:])):
                 if each or owner is None or owners[i] != owner[0]:
                     owner, section, index = (owners[i],), None, 0
                 open_ = ""
-                for paragraph, heading in zip(texts.as_py(), headings.as_py(), strict=True):
+                for paragraph, heading in zip(texts[first:end].to_pylist(), headings[first:end].to_pylist(), strict=True):
                     section = heading or section
                     if len(open_) + 2 + len(paragraph) > size:
                         if open_.strip(tx.SPACE):
@@ -79,7 +82,6 @@ def chunk_documents(docs: DataFrame, keys: list[str], size: int = CHUNK_CHARS, o
 def _chunks(rows: DataFrame, keys: list[str], each: bool, size: int, overlap: int) -> DataFrame:
     bounded_batches(rows.sparkSession)
     split = rows.select(*keys, "page", paragraphs(F.coalesce("text", F.lit(""))).alias("parts"))
-    split = split.select(*keys, "page", F.col("parts.text").alias("texts"), F.col("parts.heading").alias("headings"))
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "section string, page int, chunk_index int, open string"])
     packed = split.mapInArrow(packer(keys, each, size, overlap), schema)
