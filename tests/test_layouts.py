@@ -214,3 +214,20 @@ def test_a_hot_item_is_replayed_in_pieces(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert any(r[3] for r in want) and not all(r[3] for r in want)
+
+
+def test_streams_stay_whole_above_a_join(spark):
+    """A join by the same key whose one side turns out to be small reads the other as it was
+    written; the attempts of a user still meet in one task."""
+    attempts = spark.range(40_000).select((F.col("id") % 50).alias("user_id"), F.timestamp_seconds(F.col("id") * 1000).alias("ts"), "id", F.lit(False).alias("success"))
+    users = spark.range(400_000).select((F.col("id") % 50).alias("id"), F.lit(True).alias("is_active")).distinct()
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "1m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = replay.login_lockout(attempts.repartition(4), users).groupBy("user_id").agg(F.max("failures").alias("n")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {r.user_id: r.n for r in got} == dict.fromkeys(range(50), 800)

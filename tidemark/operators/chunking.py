@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators.segments import running_last, running_number
+from tidemark.operators.segments import running_last, running_number, streamed
 from tidemark.sources.shared import bounded_batches
 
 CHUNK_CHARS, OVERLAP_CHARS = 800, 120
@@ -70,7 +70,7 @@ def chunk_pages(pages: DataFrame, keys: list[str], size: int = CHUNK_CHARS, over
     """Chunks (keys, section, page, chunk_index, content, token_count) of pages
     (keys, page, text): the pages of a source stream through one task in their order, which
     holds one page at a time."""
-    ordered = pages.select(*keys, F.col("page").cast("int").alias("page"), "text").repartition(*keys).sortWithinPartitions(*keys, "page", "text")
+    ordered = streamed(pages.select(*keys, F.col("page").cast("int").alias("page"), "text"), keys, "page", "text")
     return _chunks(ordered, keys, False, size, overlap)
 
 

@@ -18,6 +18,14 @@ from tidemark.sources.shared import save
 _AT, _PIECE = "segment at", "segment piece"
 
 
+def streamed(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+    """df dealt by keys, each key whole in one part and in order, for a task that carries
+    something on from row to row. Rows are dealt by a hash of the keys: a plain repartition
+    by the keys of a join below it is left out as done, and the join's parts may then be cut
+    or read as they were written, which takes the rows of a key apart."""
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def _pieces(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """df stored in order of keys and order, numbered, with the piece that each row lies in.
     Rows alike in all of these are dealt by their place in the table that is stored first."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.bounds import small
-from tidemark.operators.segments import pieces_of
+from tidemark.operators.segments import pieces_of, streamed
 from tidemark.sources.shared import save
 
 # ---- fixed values: from which status each target may be reached, and what actions set
@@ -177,16 +177,16 @@ def knowledge_transitions(requests: DataFrame, hot_requests: int = HOT_REQUESTS)
     n_hot = hot.count()
     whole = rows if not n_hot else rows.join(small(hot, n_hot, 64), "item_id", "left_anti")
     whole = whole.withColumns({"piece": F.lit(0).cast("long"), **none})
-    done = whole.repartition("item_id").sortWithinPartitions(*order).mapInArrow(replay, schema)
+    done = streamed(whole, order[:1], *order[1:]).mapInArrow(replay, schema)
     if not n_hot:
         return done
     cut = pieces_of(rows.join(small(hot, n_hot, 64), "item_id", "left_semi"), ["item_id"], ["seq", "target"], "piece", "at")
     of_map = ", ".join(f"set_{s}_{what} boolean, {s}_{what} {kind}" for s, what, kind in stamps)
-    mapped = cut.repartition("item_id", "piece").sortWithinPartitions("item_id", "piece", "at").mapInArrow(
+    mapped = streamed(cut, ["item_id", "piece"], "at").mapInArrow(
         maps, f"item_id {kinds['item_id']}, piece long, begins string, ends string" + (f", {of_map}" if of_map else "")
     )
-    starts = save(mapped.repartition("item_id").sortWithinPartitions("item_id", "piece").mapInArrow(follow, f"item_id {kinds['item_id']}, piece long, {begun}"), "starts")
-    ready = cut.join(small(starts, starts.count(), 256), ["item_id", "piece"]).repartition("item_id", "piece").sortWithinPartitions("item_id", "piece", "at")
+    starts = save(streamed(mapped, ["item_id"], "piece").mapInArrow(follow, f"item_id {kinds['item_id']}, piece long, {begun}"), "starts")
+    ready = streamed(cut.join(small(starts, starts.count(), 256), ["item_id", "piece"]), ["item_id", "piece"], "at")
     return done.unionByName(ready.mapInArrow(replay, schema))
 
 

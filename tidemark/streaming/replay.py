@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.segments import streamed
+
 # ---- fixed values: attempts allowed and minutes, by action
 LIMITS = {"login": (5, 15), "chat": (30, 1), "upload": (10, 60), "default": (100, 60)}
 WINDOW_SECONDS, WINDOW_MOST = 60, 60
@@ -94,7 +96,7 @@ def sliding_log_limit(attempts: DataFrame, limits=LIMITS) -> DataFrame:
 
     kinds = dict(attempts.dtypes)
     schema = f"key {kinds['key']}, action string, t long, id {kinds['id']}, allowed boolean, remaining long, reset long"
-    ordered = rows.repartition("key", "action").sortWithinPartitions("key", "action", "t", "id")
+    ordered = streamed(rows, ["key", "action"], "t", "id")
     timed = ordered.mapInArrow(run, schema)
     return timed.withColumns({"ts": F.timestamp_micros("t"), "reset_at": F.timestamp_micros("reset")}).drop("t", "reset")
 
@@ -155,5 +157,5 @@ def login_lockout(attempts: DataFrame, users: DataFrame) -> DataFrame:
 
     kinds = dict(rows.dtypes)
     schema = f"user_id {kinds['user_id']}, id {kinds['id']}, outcome string, failures long, locked long, seen long"
-    steps = rows.repartition("user_id").sortWithinPartitions("user_id", "t", "id").mapInArrow(run, schema)
+    steps = streamed(rows, ["user_id"], "t", "id").mapInArrow(run, schema)
     return steps.withColumns({"locked_until": F.timestamp_micros("locked"), "last_login": F.timestamp_micros("seen")}).drop("locked", "seen")
