@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.bounds import small
 from tidemark.operators.segments import running_number
+from tidemark.sources.shared import save
 
 ADMIN_ROLES = ("SUPER_ADMIN", "ORG_ADMIN")
 
@@ -31,16 +33,23 @@ def effective_permissions(
 ) -> DataFrame:
     """Distinct (user_id, code). A superadmin has every code.
 
-    Each role's codes are first gathered as an array, so the join of users and roles
-    carries one row a grant; sets of arrays are joined before codes are exploded.
+    Each user's roles meet as a set, and each set of roles gets its distinct codes once; users
+    are joined to these sets and codes are exploded last, so no task holds the exploded rows.
     """
     codes = permissions.select(F.col("id").alias("permission_id"), "code")
     of_role = role_permissions.join(codes, "permission_id").groupBy("role_id").agg(F.collect_set("code").alias("codes"))
-    granted = user_roles.join(of_role, "role_id").select("user_id", F.explode("codes").alias("code"))
     everything = permissions.agg(F.collect_set("code").alias("codes"))  # one row, the list of codes
-    supers = users.filter("is_superadmin").select(F.col("id").alias("user_id"))
-    supers = supers.join(F.broadcast(everything)).select("user_id", F.explode("codes").alias("code"))
-    return granted.unionByName(supers).distinct()
+    supers = users.filter("is_superadmin").select(F.col("id").alias("user_id"), F.lit(None).alias("role_id"), F.lit(True).alias("anything"))
+    held = user_roles.select("user_id", "role_id", F.lit(False).alias("anything")).unionByName(supers)
+    held = held.groupBy("user_id").agg(F.sort_array(F.collect_set("role_id")).alias("roles"), F.bool_or("anything").alias("anything"))
+    held = save(held, "role-sets")
+    sets = save(held.filter("NOT anything").select("roles").distinct(), "distinct-role-sets")
+    of_set = sets.select("roles", F.explode("roles").alias("role_id")).join(of_role, "role_id").groupBy("roles").agg(
+        F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes")
+    )
+    granted = held.filter("NOT anything").join(small(of_set, sets.count(), 4096), "roles")
+    supers = held.filter("anything").join(F.broadcast(everything))
+    return granted.select("user_id", F.explode("codes").alias("code")).unionByName(supers.select("user_id", F.explode("codes").alias("code")))
 
 
 def check_permissions(permissions: DataFrame, required: DataFrame, users: DataFrame | None = None) -> DataFrame:

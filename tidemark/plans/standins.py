@@ -306,7 +306,8 @@ def permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     code = F.concat_ws(".", F.lower("l_returnflag"), F.lower("l_linestatus"), F.col("l_linenumber").cast("string"))
-    codes = table(spark, sf_dir, "lineitem").select(code.alias("code")).distinct()
+    flags = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").distinct()
+    codes = flags.select(code.alias("code")).distinct()
     return codes.withColumn("id", F.row_number().over(Window.orderBy("code")).cast("long"))
 
 
