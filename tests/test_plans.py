@@ -31,3 +31,17 @@ def test_codes_are_exploded_last(spark):
     assert sorted(map(tuple, held.collect()), key=str) == sorted(((u, c) for u, cs in want.items() for c in cs), key=str)
     steps = plan(held)
     assert "Generate explode" in steps and ("Exchange" not in steps or steps.index("Generate explode") < steps.index("Exchange"))
+
+
+def test_words_are_counted_with_their_chunk(spark, no_size_known):
+    """Texts are shuffled by chunk, their words not; a chunk in several rows is one text."""
+    rows = [("o", 1, "b a A"), ("o", 1, "a c"), ("p", 1, "a"), (None, 2, "x"), ("o", 3, None), ("o", 4, "…"), ("o", 5, "سلام b_1 سلام")]
+    chunks = spark.createDataFrame(rows, "organization_id string, chunk_id long, content string")
+    found = index.postings(chunks)
+    want = [("o", "a", 1, 3), ("o", "b", 1, 1), ("o", "c", 1, 1), ("p", "a", 1, 1), (None, "x", 2, 1), ("o", "سلام", 5, 2), ("o", "b_1", 5, 1)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    assert plan(found).count("Exchange") == 1
+    terms = retrieval.query_terms(spark.createDataFrame([(1, "o", "a b_1"), (2, None, "x")], "query_id long, organization_id string, text string"))
+    own = index.postings(chunks, terms)
+    assert sorted(map(tuple, own.select("term", "tf").collect())) == [("a", 3), ("b_1", 1)]
+    assert "SortMergeJoin" not in plan(own)

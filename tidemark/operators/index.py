@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.operators.bounds import small
+from tidemark.sources.shared import bounded_batches
 
 
 def live_sources(documents: DataFrame, experiences: DataFrame) -> DataFrame:
@@ -32,17 +38,39 @@ def replace_index(index: DataFrame, fresh: DataFrame, reindexed: DataFrame | Non
     return index.join(keys, ["source_type", "source_id"], "left_anti").unionByName(fresh)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(organization_id, term, chunk_id, tf) of rows (organization_id, chunk_id, terms)."""
+    for batch in batches:
+        listed = batch.column("terms")
+        words = listed.flatten().dictionary_encode()
+        n_words = len(words.dictionary)
+        if not n_words:
+            continue
+        row = np.repeat(np.arange(batch.num_rows), listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        pairs, tf = np.unique(row * n_words + words.indices.to_numpy(), return_counts=True)
+        row, word = (pa.array(x) for x in np.divmod(pairs, n_words))
+        columns = [batch.column("organization_id").take(row), words.dictionary.take(word), batch.column("chunk_id").take(row), pa.array(tf.astype("int64"))]
+        yield pa.RecordBatch.from_arrays(columns, ["organization_id", "term", "chunk_id", "tf"])
+
+
 def postings(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(organization_id, term, chunk_id, tf), of the wanted (organization_id, term) only
-    where they are given: other words then go before anything is shuffled for counting.
+    where they are given.
 
-    Counted with the chunk in the key, so the partial counts before the shuffle are
-    already final for most rows.
+    Contents meet by chunk and are counted there: what is shuffled are the texts, a row a
+    chunk, not a row for each of its words. Wanted terms, if they are few enough, go to all
+    tasks, so that other words' counts are shuffled nowhere.
     """
-    terms = chunks.select("organization_id", "chunk_id", F.explode(tx.posting_terms(F.col("content"))).alias("term"))
-    if wanted is not None:
-        terms = terms.join(wanted.select("organization_id", "term").distinct(), ["organization_id", "term"], "left_semi")
-    return terms.groupBy("organization_id", "term", "chunk_id").agg(F.count("*").alias("tf"))
+    bounded_batches(chunks.sparkSession)
+    # a chunk that comes in several rows is counted as one text; no term has a newline in it
+    whole = chunks.groupBy("organization_id", "chunk_id").agg(F.array_join(F.collect_list("content"), "\n").alias("content"))
+    listed = whole.select("organization_id", "chunk_id", tx.posting_terms(F.col("content")).alias("terms"))
+    kinds = dict(chunks.dtypes)
+    counts = listed.mapInArrow(_counted, f"organization_id {kinds['organization_id']}, term string, chunk_id {kinds['chunk_id']}, tf long")
+    if wanted is None:
+        return counts
+    few = wanted.select("organization_id", "term").distinct()
+    return counts.join(small(few, few.count(), 96), ["organization_id", "term"], "left_semi")
 
 
 def duplicate_uploads(incoming: DataFrame, stored: DataFrame) -> DataFrame:
