@@ -40,8 +40,22 @@ def test_words_are_counted_with_their_chunk(spark, no_size_known):
     found = index.postings(chunks)
     want = [("o", "a", 1, 3), ("o", "b", 1, 1), ("o", "c", 1, 1), ("p", "a", 1, 1), (None, "x", 2, 1), ("o", "سلام", 5, 2), ("o", "b_1", 5, 1)]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
-    assert plan(found).count("Exchange") == 1
-    terms = retrieval.query_terms(spark.createDataFrame([(1, "o", "a b_1"), (2, None, "x")], "query_id long, organization_id string, text string"))
+    steps = plan(index.postings(chunks))
+    assert steps.count("Exchange") == 1 and "hashpartitioning(organization_id" in steps and "term" not in steps.split("Exchange")[1].split("\n")[0]
+    terms = retrieval.query_terms(spark.createDataFrame([(1, "o", "b_1 سلام"), (2, "q", "سلام")], "query_id long, organization_id string, text string"))
     own = index.postings(chunks, terms)
-    assert sorted(map(tuple, own.select("term", "tf").collect())) == [("a", 3), ("b_1", 1)]
-    assert "SortMergeJoin" not in plan(own)
+    assert sorted(map(tuple, own.select("term", "tf").collect())) == [("b_1", 1), ("سلام", 2)]
+    assert "SortMergeJoin" not in plan(index.postings(chunks, terms))
+
+
+def test_postings_and_texts_stay_where_they_are(spark, sf_dir, no_size_known, monkeypatch):
+    """Terms go to the postings and ids to the texts: neither is shuffled to be joined."""
+    terms = spark.createDataFrame([(1, "o", "a", 1)], "query_id long, organization_id string, term string, n_terms int")
+    stored = spark.createDataFrame([("o", "a", 5, 2)], "organization_id string, term string, chunk_id long, tf long")
+    steps = plan(retrieval.keyword_candidates(terms, stored))
+    assert "BroadcastHashJoin" in steps and "SortMergeJoin" not in steps
+    monkeypatch.setattr(st, "save", lambda df, name: df)
+    texts = st.vector_texts(spark, sf_dir)
+    assert "BroadcastHashJoin" in plan(texts) and "hashpartitioning" not in plan(texts)
+    want = st.vector_rows(spark, sf_dir).select("chunk_id", "organization_id", "content", "lang")
+    assert sorted(map(tuple, texts.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))

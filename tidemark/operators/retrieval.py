@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import vectors as vx
+from tidemark.operators.bounds import small
 
 TOP_K, MIN_SCORE = 8, 0.15
 POOL = max(30, 4 * TOP_K)
@@ -30,8 +31,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def keyword_candidates(terms: DataFrame, postings: DataFrame, pool: int = POOL) -> DataFrame:
     """(query_id, chunk_id, keyword_score): the best chunks of each question with at least
-    one of its terms; ties by chunk id. Scores are summed by partial aggregation."""
-    hits = terms.join(postings, ["organization_id", "term"])
+    one of its terms; ties by chunk id. Scores are summed by partial aggregation; few terms go
+    to all tasks, so that postings are not shuffled for them."""
+    hits = small(terms, terms.count(), 96).join(postings, ["organization_id", "term"])
     score = vx.keyword_rank(F.sum(vx.term_rank(F.col("tf"))), F.max("n_terms"))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(score, 9).alias("keyword_score"))
     return top(scored, "keyword_score", pool)

@@ -19,7 +19,7 @@ def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = retrieval.T
     shuffled to be looked up.
     """
     chunks = save(chunks, "chunks")
-    terms = retrieval.query_terms(questions)
+    terms = save(retrieval.query_terms(questions), "terms")
     found = retrieval.keyword_candidates(terms, index.postings(chunks, terms))
     best = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
@@ -29,9 +29,10 @@ def keyword_search(questions: DataFrame, chunks: DataFrame, k: int = retrieval.T
     )
 
 
-def fused(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Candidates of questions (with embedding) by vectors and by keywords, fused."""
-    by_vector = retrieval.vector_candidates(questions, chunks)
-    terms = retrieval.query_terms(questions)
+def fused(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """Candidates of questions (with embedding) by vectors and by keywords, fused. The chunks'
+    vectors may be a table of their own, so that they need not be joined to the texts."""
+    by_vector = retrieval.vector_candidates(questions, chunks if vectors is None else vectors)
+    terms = save(retrieval.query_terms(questions), "terms")
     by_keyword = retrieval.keyword_candidates(terms, index.postings(chunks, terms))
     return retrieval.fuse_candidates(by_vector, by_keyword)

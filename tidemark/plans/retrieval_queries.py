@@ -183,19 +183,21 @@ def chunk_index(spark, sf_dir):
 @query(SEARCHED + " SELECT query_id, chunk_id, keyword_score FROM keyword_pool")
 def keyword_candidates(spark, sf_dir):
     chunks = index.eligible_chunks(st.chunks(spark, sf_dir), st.live(spark, sf_dir))
-    terms = retrieval.query_terms(st.questions(spark, sf_dir))
+    terms = save(retrieval.query_terms(st.questions(spark, sf_dir)), "terms")
     return retrieval.keyword_candidates(terms, index.postings(chunks, terms))
 
 
-def _fused(spark, sf_dir):
-    return hybrid.fused(st.vector_questions(spark, sf_dir), st.vector_rows(spark, sf_dir))
+def _fused(spark, sf_dir, texts=None):
+    asked = save(st.vector_questions(spark, sf_dir), "questions")
+    return hybrid.fused(asked, st.vector_texts(spark, sf_dir) if texts is None else texts, st.vectors_alone(spark, sf_dir))
 
 
 def _ranked(spark, sf_dir):
     """The ranked chunks, a few rows a question and stored, with what answers need of them:
     only then are texts looked up, and whatever uses the list twice reads what is stored."""
-    ranked = save(retrieval.fused_topk(_fused(spark, sf_dir)), "ranked")
-    about = st.vector_rows(spark, sf_dir).select(
+    texts = st.vector_texts(spark, sf_dir)
+    ranked = save(retrieval.fused_topk(_fused(spark, sf_dir, texts)), "ranked")
+    about = texts.select(
         "chunk_id", "content", F.lit("document").alias("source_type"), F.col("chunk_id").alias("source_id"),
         F.concat_ws("-", "lang", F.col("chunk_id").cast("string")).alias("source_title"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("section"),
     )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import chunking, index
+from tidemark.operators.bounds import small
+from tidemark.sources.shared import save
 
 #: Number of sources of documents, named src0 and so on.
 ORGANIZATIONS = 20
@@ -173,6 +175,19 @@ def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(vectors, "chunk_id")
 
 
+def vector_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vector_rows without their vectors, stored: few enough ids go to the texts, which are
+    then not shuffled."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "lang")
+    owners = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("organization_id"))
+    return save(docs.join(small(owners, owners.count(), 40), "chunk_id"), "vector-texts")
+
+
+def vectors_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vector_rows without their texts."""
+    return vector_rows(spark, sf_dir).select("chunk_id", "organization_id", "embedding")
+
+
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set of searches: every row whose id is divisible by 100."""
     rows = vector_rows(spark, sf_dir).filter("chunk_id % 100 = 0")
