@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidemark.operators import access, index, retrieval
+from tidemark.operators import access, index, postings, retrieval
 from tidemark.plans import standins as st
 
 
@@ -59,3 +59,23 @@ def test_postings_and_texts_stay_where_they_are(spark, sf_dir, no_size_known, mo
     assert "BroadcastHashJoin" in plan(texts) and "hashpartitioning" not in plan(texts)
     want = st.vector_rows(spark, sf_dir).select("chunk_id", "organization_id", "content", "lang")
     assert sorted(map(tuple, texts.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_blocks_are_cut_as_they_are_ranked(spark, no_size_known):
+    """Postings are shuffled once, to be ranked; a term in several pieces has blocks in order."""
+    rows = spark.range(6000).selectExpr("IF(id % 3 = 0, NULL, 'o') AS organization_id", "IF(id % 7 < 5, 'hot', concat('t', id % 50)) AS term", "id AS chunk_id", "id % 11 + 1 AS tf")
+    blocks = postings.posting_blocks(rows, 16)
+    found = {}
+    for r in blocks.collect():
+        assert r.most_tf == max(r.tfs) and r.least_chunk == r.chunk_ids[0] and 0 < len(r.chunk_ids) == len(r.tfs) <= 16
+        assert found.setdefault((r.organization_id, r.term), {}).setdefault(r.block, (r.chunk_ids, r.tfs)) == (r.chunk_ids, r.tfs)
+    want = {}
+    for r in rows.collect():
+        want.setdefault((r.organization_id, r.term), []).append((-r.tf, r.chunk_id))
+    assert found.keys() == want.keys() and sum(len(b) for b in found.values()) == blocks.count()
+    for key, own in found.items():
+        assert sorted(own) == list(range(len(own)))
+        assert [(-t, c) for b in sorted(own) for c, t in zip(*own[b])] == sorted(want[key])
+    steps = plan(postings.posting_blocks(rows, 16))
+    assert "collect_list" not in steps and "SortMergeJoin" not in steps
+    assert postings.posting_blocks(rows.limit(0)).count() == 0

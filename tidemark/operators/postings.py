@@ -9,20 +9,25 @@ holds no chunk of the pool, so the answer is that of reading all.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as vx
 from tidemark.operators import index, retrieval
 from tidemark.operators.bounds import small
-from tidemark.operators.segments import running_number
 from tidemark.sources.buckets import BucketedTable
-from tidemark.sources.shared import save
+from tidemark.sources.shared import bounded_batches, save
 
 #: Postings of a block; more than a pool, so that first blocks can fill one.
 BLOCK = 128
 KEYS = ["organization_id", "term"]
 SCHEMA = "organization_id string, term string, block int, most_tf long, least_chunk long, chunk_ids array<long>, tfs array<long>"
+_CUT = [*KEYS, "piece", "most_tf", "least_chunk", "nth", "chunk_ids", "tfs"]
 #: Scores are rounded to nine places; bounds have to pass by more.
 _MARGIN = 1e-8
 
@@ -31,17 +36,65 @@ def stored_postings(spark: SparkSession, path: str, buckets: int = 256) -> Bucke
     return BucketedTable(spark, path, KEYS, SCHEMA, buckets)
 
 
+def _cut(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (organization_id, term, chunk_id, tf, piece) in order to blocks, numbered from 0 for
+    each key. The first and last key of a piece are told by rows of number -1. Only the rows
+    of a block are held back for the next batch."""
+
+    def made(rows: pa.RecordBatch, begins: np.ndarray, end: int, numbers: np.ndarray) -> pa.RecordBatch:
+        offsets, at = pa.array(np.r_[begins, end].astype("int32")), pa.array(begins)
+        lists = [pa.ListArray.from_arrays(offsets, rows.column(c)) for c in ("chunk_id", "tf")]
+        firsts = [rows.column(c).take(at) for c in (*KEYS, "piece", "tf", "chunk_id")]
+        return pa.RecordBatch.from_arrays([*firsts, pa.array(numbers.astype("int64")), *lists], _CUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is None:
+                yield made(batch, np.array([0]), 0, np.array([-1]))
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            first, second = (rows.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in KEYS)
+            starts = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+            place = np.arange(len(first)) - np.repeat(starts, np.diff(np.r_[starts, len(first)]))
+            begins = np.flatnonzero(place % block == 0)
+            numbers = place[begins] // block
+            numbers[: len(begins) if len(starts) == 1 else np.searchsorted(begins, starts[1])] += number
+            if len(begins) > 1:
+                yield made(rows, begins[:-1], begins[-1], numbers[:-1])
+            held, number = rows.slice(begins[-1]), numbers[-1]
+        if held is not None:
+            held = pa.concat_batches([held.slice(0, 0), held])
+            yield made(held, np.array([0]), held.num_rows, np.array([number]))
+            yield made(held, np.array([0]), 0, np.array([-1]))
+
+    return run
+
+
 def posting_blocks(postings: DataFrame, block: int = BLOCK) -> DataFrame:
     """Blocks of postings (organization_id, term, chunk_id, tf). A term of any number of
-    chunks is ranked and cut in pieces, so it does not meet in one task."""
-    placed = running_number(postings, KEYS, [F.desc("tf"), F.col("chunk_id")], "place")
-    rows = placed.groupBy(*KEYS, F.floor((F.col("place") - 1) / block).cast("int").alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("place", "chunk_id", "tf"))).alias("rows")
-    )  # at most as many as a block holds
-    return rows.select(
-        *KEYS, "block", F.array_max("rows.tf").alias("most_tf"), F.col("rows.chunk_id")[0].alias("least_chunk"),
-        F.col("rows.chunk_id").alias("chunk_ids"), F.col("rows.tf").alias("tfs"),
-    )
+    chunks is ranked and cut in pieces, so it does not meet in one task; where a piece ends, a
+    block may hold less. Only the first and last terms of the pieces can lie in several: the
+    numbers of their blocks go on from piece to piece."""
+    kinds = dict(postings.dtypes)
+    bounded_batches(postings.sparkSession)
+    by = [*(F.col(k).asc_nulls_first() for k in KEYS), F.desc("tf"), F.col("chunk_id")]
+    ranked = save(postings.select(*KEYS, "chunk_id", "tf"), "postings").repartitionByRange(*by).sortWithinPartitions(*by)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in KEYS) + f", piece int, most_tf {kinds['tf']}, least_chunk {kinds['chunk_id']}, nth long"
+    cut = ranked.withColumn("piece", F.spark_partition_id()).mapInArrow(_cut(block), f"{schema}, chunk_ids array<{kinds['chunk_id']}>, tfs array<{kinds['tf']}>")
+    cut = save(cut, "cut-blocks")
+    edges = cut.filter("nth < 0").select(*KEYS, "piece").distinct()
+    n_edges = edges.count()  # two a piece at most
+    names = {k: f"edge {k}" for k in (*KEYS, "piece")}
+    same = lambda columns: reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"`{names[k]}`")) for k in columns))
+    before = Window.partitionBy(*KEYS).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    whole = cut.filter("nth >= 0")
+    counts = whole.join(small(edges.withColumnsRenamed(names), n_edges, 128), same([*KEYS, "piece"]), "left_semi").groupBy(*KEYS, "piece").agg(F.count("*").alias("n"))
+    shifts = counts.select(*KEYS, "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")).withColumnsRenamed(names)
+    placed = whole.join(small(shifts, n_edges, 128), same([*KEYS, "piece"]), "left")
+    number = (F.col("nth") + F.coalesce("shift", F.lit(0))).cast("int")
+    return placed.select(*KEYS, number.alias("block"), "most_tf", "least_chunk", "chunk_ids", "tfs")
 
 
 def _exploded(blocks: DataFrame, *columns: str) -> DataFrame:
@@ -61,8 +114,9 @@ def update_postings(table: BucketedTable, gone: DataFrame, fresh: DataFrame, blo
     new, old = index.postings(fresh), index.postings(gone)
     touched = save(new.select(*KEYS).unionByName(old.select(*KEYS)).distinct(), "touched-terms")
     stored = _exploded(table.read_keys(touched).join(touched, KEYS, "left_semi"), *KEYS)
-    kept = stored.join(gone.select("organization_id", "chunk_id").distinct(), ["organization_id", "chunk_id"], "left_anti")
-    kept = kept.join(fresh.select("organization_id", "chunk_id").distinct(), ["organization_id", "chunk_id"], "left_anti")
+    place = ["organization_id", "chunk_id"]
+    changed = save(gone.select(*place).unionByName(fresh.select(*place)).distinct(), "changed-chunks")
+    kept = stored.join(small(changed, changed.count(), 48), place, "left_anti")
     blocks = save(posting_blocks(kept.unionByName(new.select(*kept.columns)), block), "blocks")
     return table.replace(blocks, touched, stamp)
 
